@@ -31,7 +31,7 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 BLOCK, KEPT, KEPT_BYTES = 1 << 24, 400_000, 1 << 25
 
 
-def _distinct(x: np.ndarray) -> np.ndarray:
+def distinct(x: np.ndarray) -> np.ndarray:
     """Sorted without repeats."""
     x = np.sort(x)
     return x[np.concatenate([[True], x[1:] != x[:-1]])]
@@ -143,7 +143,7 @@ class Bpe:
         alive[size] = False
         while (top := queue.pop()) is not None:
             r, held = top
-            at = held[0] if len(held) == 1 else _distinct(np.concatenate(held))
+            at = held[0] if len(held) == 1 else distinct(np.concatenate(held))
             at = at[rank[at] == r]
             if not len(at):
                 continue
@@ -160,7 +160,7 @@ class Bpe:
             back = before[at]
             touched = np.concatenate([at, back[back != size]])
             if len(back) > 1 and len(touched) > len(at):
-                touched = _distinct(touched)
+                touched = distinct(touched)
             follow = after[touched]
             fresh = np.where(follow == size, np.int32(self.n), self.rank(ids[touched], ids[follow]))
             rank[touched] = fresh
