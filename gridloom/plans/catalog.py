@@ -1,4 +1,376 @@
-"""All queries by name, with the SQL they are held against."""
+"""All queries of the engine's own operators by name, with the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gridloom.functions import metrics, text
+from gridloom.functions.embedding import hash_embed
+from gridloom.operators import bm25, chunking, components, entity_clusters, evaluation, fusion, replay, vector_index
+from gridloom.plans import pipeline
+from gridloom.plans.oracle import ORACLE
+from gridloom.session import cut
+from gridloom.sources.tables import batch_rows, latest_pages, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+
+
+def query(fn: Query) -> Query:
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return latest_pages(table(spark, d, "page"))
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "passage").dropDuplicates(["passage_id"])
+
+
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "search_query")
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", "embedding")
+
+
+def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors(spark, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "embedding")
+
+
+def _r(name: str):
+    return F.round(name, 6).alias(name)
+
+
+# vectors
+
+@query
+def vec_topk(spark, d):
+    return vector_index.top_k(_vector_queries(spark, d), _vectors(spark, d), 10).select("q", "rank", "vec_id", _r("score"))
+
+
+@query
+def vec_topk_sql(spark, d):
+    return vector_index.top_k_sql(_vector_queries(spark, d), _vectors(spark, d), 10).select("q", "rank", "vec_id", _r("score"))
+
+
+@query
+def vec_topk_after_delete(spark, d):
+    live = _vectors(spark, d)
+    gone = live.where("vec_id % 7 = 0").select(F.col("vec_id").alias("pos"), "vec_id")
+    left = live.join(vector_index.delete_status(live, gone).where("succeeded").select("vec_id"), "vec_id", "left_anti")
+    return vector_index.top_k(_vector_queries(spark, d), left, 10).select("q", "rank", "vec_id", _r("score"))
+
+
+@query
+def vec_query_dedup(spark, d):
+    some = _vector_queries(spark, d)
+    batch = some.union(some.select((F.col("q") + 1_000_000).alias("q"), "embedding"))
+    distinct, same = vector_index.distinct_queries(batch)
+    found = vector_index.top_k(distinct, _vectors(spark, d), 5).withColumnRenamed("q", "rep")
+    return same.join(found, "rep").select("q", "rank", "vec_id", _r("score"))
+
+
+def _initial(rows: DataFrame) -> DataFrame:
+    return rows.where("op = 'insert' and batch = 'scenario_000/op_0000_insert.npy'")
+
+
+@query
+def vec_insert_status(spark, d):
+    """Every insert batch of the log as if it came right after the initial build."""
+    rows = batch_rows(table(spark, d, "changelog"))
+    known = _initial(rows).select("vec_id", F.lit(True).alias("_live"))
+    return rows.where("op = 'insert'").join(known, "vec_id", "left").select("batch", "pos", "vec_id", F.col("_live").isNull().alias("succeeded"))
+
+
+@query
+def vec_delete_status(spark, d):
+    """All deletes of the log as one batch right after the initial build, in the order of batch and place."""
+    rows = batch_rows(table(spark, d, "changelog"))
+    gone = rows.where("op = 'delete'").select(F.struct("batch", "pos").alias("pos"), "vec_id")
+    return vector_index.delete_status(_initial(rows), gone).select("pos.batch", "pos.pos", "vec_id", "succeeded")
+
+
+def _status(spark, d):
+    return replay.statuses(replay.log(table(spark, d, "changelog"), table(spark, d, "manifest")))
+
+
+@query
+def vec_replay_status(spark, d):
+    return _status(spark, d).select("scenario", "seq", "pos", "vec_id", "op", "succeeded")
+
+
+@query
+def vec_replay_results(spark, d):
+    return replay.results(_status(spark, d)).select("scenario", "seq", "op", "succeeded", "failed")
+
+
+@query
+def vec_replay_search(spark, d):
+    at = replay.searches(table(spark, d, "manifest"))
+    return replay.search(_status(spark, d), at, _vector_queries(spark, d), 10).select("scenario", "seq", "q", "rank", "vec_id", _r("score"))
+
+
+# scores
+
+@query
+def jaccard_scores(spark, d):
+    got = replay.results(_status(spark, d))
+    whole = F.array_union("succeeded", "failed")
+    return got.select("scenario", "seq", F.round(metrics.jaccard(F.col("succeeded"), whole), 6).alias("j_succeeded"), F.round(metrics.jaccard(F.col("failed"), whole), 6).alias("j_failed"))
+
+
+def _mutations(spark, d):
+    """An index that lets every operation succeed, scored against the replay."""
+    truth = cut(replay.results(_status(spark, d)))
+    none = F.array().cast("array<bigint>")
+    got = truth.select("scenario", "seq", "op", F.concat("succeeded", "failed").alias("succeeded"), none.alias("failed"))
+    return replay.mutation_scores(got, truth)
+
+
+@query
+def functional_score(spark, d):
+    recalls = replay.searches(table(spark, d, "manifest")).select("scenario", "seq", F.lit(1.0).alias("recall"), F.lit(1).alias("n_queries"))
+    names = ("insert_score", "delete_score", "search_score", "functional")
+    return replay.scenario_scores(_mutations(spark, d), recalls).select("scenario", *[_r(n) for n in names])
+
+
+@query
+def runtime_multiplier(spark, d):
+    ratio = F.col("n_chars") / 1000.0
+    return table(spark, d, "documents").select("doc_id", metrics.runtime_multiplier(ratio).alias("multiplier"))
+
+
+@query
+def recall_at_k(spark, d):
+    top = fusion.ranked(_bm25(spark, d), 10).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "page_id"))), lambda x: x["page_id"]).alias("result"))
+    rows = _queries(spark, d).select("query_id", "relevant").join(top, "query_id", "left")
+    return rows.select("query_id", F.round(metrics.recall_at_k(F.col("result"), F.col("relevant"), 10), 6).alias("recall"))
+
+
+# texts
+
+@query
+def page_id_normalize(spark, d):
+    ids = _pages(spark, d).select(F.concat(F.lit(" \t"), F.col("page_id").cast("string"), F.lit("\n")).alias("raw"))
+    return ids.select(F.length("raw").cast("bigint").alias("raw_length"), text.page_id("raw").alias("page_id"))
+
+
+@query
+def entry_text(spark, d):
+    return _pages(spark, d).select("page_id", text.entry_text("title", "content").alias("entry"))
+
+
+@query
+def sentence_split(spark, d):
+    return _pages(spark, d).select("page_id", F.posexplode(text.sentences("content")).alias("sent_id", "sentence")).select("page_id", F.col("sent_id").cast("bigint").alias("sent_id"), "sentence")
+
+
+@query
+def word_count(spark, d):
+    return _pages(spark, d).select("page_id", text.words("content").cast("bigint").alias("n_words"))
+
+
+def _chunks(pages: DataFrame, target: int) -> DataFrame:
+    return chunking.chunks(pages, target).select("page_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "text")
+
+
+@query
+def chunk_w100(spark, d):
+    return _chunks(_pages(spark, d).withColumn("title", F.lit("")), 100)
+
+
+@query
+def chunk_w150(spark, d):
+    return _chunks(_pages(spark, d).withColumn("title", F.lit("")), 150)
+
+
+@query
+def chunk_titled(spark, d):
+    return _chunks(_pages(spark, d), 100)
+
+
+@query
+def hash_embeddings(spark, d):
+    rows = hash_embed(_passages(spark, d), "passage_id", "text")
+    return rows.select("passage_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+# lexical index
+
+def _index(spark, d):
+    return bm25.build(cut(_pages(spark, d)))
+
+
+def _bm25(spark, d):
+    return bm25.scores(_index(spark, d), _queries(spark, d))
+
+
+@query
+def tokenize(spark, d):
+    return bm25.documents(_pages(spark, d))
+
+
+@query
+def doc_length(spark, d):
+    return bm25.lengths(bm25.documents(_pages(spark, d)))
+
+
+@query
+def term_freq(spark, d):
+    return bm25.frequencies(bm25.documents(_pages(spark, d)))
+
+
+@query
+def vocab_idf(spark, d):
+    return _index(spark, d)["vocab"].select("term", "df", _r("idf"))
+
+
+@query
+def postings(spark, d):
+    return _index(spark, d)["postings"]
+
+
+@query
+def bm25_score(spark, d):
+    return _bm25(spark, d).select("query_id", "page_id", _r("score"))
+
+
+@query
+def bm25_topk(spark, d):
+    return fusion.ranked(_bm25(spark, d), 10).select("query_id", "rank", "page_id", _r("score"))
+
+
+@query
+def number_groups(spark, d):
+    return bm25.number_terms(_queries(spark, d)).select("query_id", F.col("grp").cast("bigint").alias("grp"), "term")
+
+
+@query
+def number_score(spark, d):
+    return bm25.number_scores(_index(spark, d), _queries(spark, d)).select("query_id", "page_id", _r("score"))
+
+
+@query
+def connective_flag(spark, d):
+    return _queries(spark, d).select("query_id", text.connective("query").alias("flag"))
+
+
+# dense scores and fusion
+
+def _embedded(spark, d):
+    return cut(pipeline.embed_passages(_passages(spark, d).select("granularity", "page_id", "chunk_id", "text")))
+
+
+def _dense(spark, d):
+    return fusion.dense(pipeline.embed_queries(_queries(spark, d)), _embedded(spark, d))
+
+
+@query
+def dense_max(spark, d):
+    return _dense(spark, d).select("query_id", "granularity", "page_id", _r("best"))
+
+
+@query
+def dense_lead(spark, d):
+    return _dense(spark, d).where("lead is not null").select("query_id", "granularity", "page_id", _r("lead"))
+
+
+@query
+def zscore_dense(spark, d):
+    return fusion.z_dense(_dense(spark, d), "best", "lead").select("query_id", "granularity", "page_id", _r("z_best"), _r("z_lead"))
+
+
+@query
+def zscore_sparse(spark, d):
+    index = _index(spark, d)
+    z, rest = fusion.z_sparse(bm25.scores(index, _queries(spark, d)), index["corpus"].first()["n_docs"])
+    return z.select("query_id", "page_id", _r("z")).unionByName(rest.select("query_id", F.lit(None).cast("bigint").alias("page_id"), F.round("z0", 6).alias("z")))
+
+
+def _with_clusters(spark, d):
+    leads = _leads(spark, d)
+    pages = cut(_pages(spark, d))
+    index = bm25.build(pages)
+    return index | {"passages": _embedded(spark, d), "clusters": cut(entity_clusters.clusters(pages, entity_clusters.similar_pairs(leads, 0.75)))}
+
+
+def _fused(spark, d):
+    index = _index(spark, d) | {"passages": _embedded(spark, d)}
+    return pipeline.signals(index, _queries(spark, d))
+
+
+@query
+def fusion_score(spark, d):
+    return _fused(spark, d).select("query_id", "page_id", _r("score"))
+
+
+@query
+def fusion_topk(spark, d):
+    return fusion.ranked(_fused(spark, d), 10).select("query_id", "rank", "page_id", _r("score"))
+
+
+def _leads(spark, d):
+    return _passages(spark, d).where("granularity = 100 and chunk_id = 0").select("page_id", "embedding")
+
+
+@query
+def sim_pairs(spark, d):
+    return entity_clusters.similar_pairs(_leads(spark, d), 0.75).select("a", "b", _r("similarity"))
+
+
+@query
+def clusters(spark, d):
+    return entity_clusters.clusters(_pages(spark, d), entity_clusters.similar_pairs(_leads(spark, d), 0.75))
+
+
+@query
+def connected_pairs(spark, d):
+    """Components of the pairs alone."""
+    return components.connected_components(entity_clusters.similar_pairs(_leads(spark, d), 0.75))
+
+
+@query
+def cluster_rerank(spark, d):
+    return fusion.rerank(cut(_fused(spark, d)), clusters(spark, d), 10)
+
+
+@query
+def hybrid_search(spark, d):
+    return pipeline.search_batch(_with_clusters(spark, d), _queries(spark, d), 10)
+
+
+# evaluation
+
+@query
+def dcg(spark, d):
+    return evaluation.dcg(evaluation.gains(fusion.ranked(_bm25(spark, d), 10), _queries(spark, d), 10)).select("query_id", _r("dcg"))
+
+
+@query
+def ndcg_at_k(spark, d):
+    return evaluation.ndcg(fusion.ranked(_bm25(spark, d), 10), _queries(spark, d), 10).select("query_id", _r("ndcg"))
+
+
+@query
+def mean_ndcg(spark, d):
+    return evaluation.mean_ndcg(fusion.ranked(_bm25(spark, d), 10), _queries(spark, d), 10).select("n_queries", _r("mean_ndcg"))
+
+
+@query
+def oracle_ceiling(spark, d):
+    return evaluation.oracle_ceiling(_queries(spark, d), 10).select("n_queries", _r("ceiling"))
+
+
+@query
+def pooled_coverage(spark, d):
+    return evaluation.pooled_coverage(fusion.ranked(_bm25(spark, d), 10), _queries(spark, d), 10).select("found", "possible", _r("coverage"))
+
+
+__all__ = ["ORACLE", "QUERIES"]
