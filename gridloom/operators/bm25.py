@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.functions.text import number_groups, text_of, tokens
+from gridloom.session import cut
 
 K1, B = 2.0, 1.0
 #: Rows of a query side that may be sent to all tasks.
@@ -34,14 +35,17 @@ def vocabulary(freq: DataFrame, n_docs: int) -> DataFrame:
 
 
 def build(pages: DataFrame) -> dict[str, DataFrame]:
-    """postings (term, page_id, tf), vocab (term, df, idf), lengths (page_id, doc_len), corpus (n_docs, avgdl)."""
-    docs = documents(pages)
+    """postings (term, page_id, tf), vocab (term, df, idf), lengths (page_id, doc_len), corpus (n_docs, avgdl).
+
+    Each is written to the shared folder: texts are tokenised once, and queries read tables.
+    """
+    docs = cut(documents(pages))
     lens = lengths(docs)
-    corpus = lens.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("doc_len"), F.lit(1.0)).alias("avgdl"))
+    corpus = cut(lens.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("doc_len"), F.lit(1.0)).alias("avgdl")))
     n = corpus.first()["n_docs"]
-    freq = frequencies(docs)
-    vocab = vocabulary(freq, n)
-    return {"postings": freq.join(vocab.select("term"), "term", "left_semi").select("term", "page_id", "tf"), "vocab": vocab, "lengths": lens, "corpus": corpus}
+    freq = cut(frequencies(docs))
+    vocab = cut(vocabulary(freq, n))
+    return {"postings": cut(freq.join(vocab.select("term"), "term", "left_semi").select("term", "page_id", "tf")), "vocab": vocab, "lengths": cut(lens), "corpus": corpus}
 
 
 def _small(df: DataFrame) -> DataFrame:
