@@ -35,6 +35,19 @@ def counted_pages(pages: DataFrame, *columns: str) -> DataFrame:
     return kept.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "crawled_at")
 
 
+def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About 1.5 x `most` rows drawn by a hash of the key, cut to `most`: for fitting only, never for what is found.
+
+    The hash is filtered before the rows are ordered, so the tasks together send a bounded number of rows to the
+    driver, however many tasks there are.
+    """
+    n = df.count()
+    h = F.xxhash64(key)
+    share = min(1.0, 1.5 * most / max(n, 1))
+    drawn = df if share == 1 else df.where(h < F.lit(int(-(2**63) + share * (2**64 - 1))))
+    return drawn.withColumn("_h", h).orderBy("_h").limit(most).drop("_h")
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 

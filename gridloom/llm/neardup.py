@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridloom.llm.common import BASE, arrow_map, codepoints, counted_pages, mix, squeeze, window_hashes
+from gridloom.llm.common import BASE, arrow_map, bounded_sample, codepoints, counted_pages, mix, squeeze, window_hashes
 from gridloom.session import cut
 
 WIDTH, SIMILARITY, LEAST_CHARS = 5, 0.7, 200
@@ -231,7 +231,7 @@ def near_duplicates(pages: DataFrame, key: str = "page_id", text: str = "content
     members = cut(members)
     reps = all_.join(members.where(F.col(key) == F.col("rep")), key).select("rep", "sketch", "b0", "b1")
     # the sample is bounded; it sets the cost of probes, never what is found
-    sampled = reps.select("sketch", F.xxhash64("rep").alias("_h")).orderBy("_h").limit(SAMPLE).collect()
+    sampled = bounded_sample(reps.select("rep", "sketch"), "rep", SAMPLE).select("sketch").collect()
     sample = np.frombuffer(b"".join(bytes(r[0]) for r in sampled), np.uint16).reshape(-1, VALUES)
     pairs = cut(candidates(reps, sample))
     return verified(pairs, pages, key, text), members

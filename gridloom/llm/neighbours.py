@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridloom.llm.common import arrow_map
+from gridloom.llm.common import arrow_map, bounded_sample
 from gridloom.session import cut
 
 DIM, K, SIMILARITY = 64, 10, 0.85
@@ -121,7 +121,7 @@ def _compare(index: Index, listed: int, queries: np.ndarray, q_ids: np.ndarray,
 
 def fit(reps: DataFrame, n: int) -> Index:
     """An index fitted on at most SAMPLE of the vectors, drawn by a hash of the id."""
-    rows = reps.select("embedding", F.xxhash64("id").alias("_h")).orderBy("_h").limit(SAMPLE).select("embedding").toArrow()
+    rows = bounded_sample(reps.select("id", "embedding"), "id", SAMPLE).select("embedding").toArrow()
     flat = rows.column(0).combine_chunks().flatten().to_numpy()
     return Index(flat.reshape(len(rows), -1), n)
 

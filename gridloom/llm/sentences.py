@@ -119,7 +119,7 @@ def _ends(text: str, start: int, a: int, b: int, lang: str) -> int:
     gap, after = k > c, text[k]
     if after in _CONTINUE:
         return -1
-    if _inside(text, start, a):
+    if _inside(text, start, c):
         return -1
     m = _FIRST_WORD.match(text, k)
     first = m.group(1) if m else ""
