@@ -229,7 +229,7 @@ def near_duplicates(pages: DataFrame, key: str = "page_id", text: str = "content
     all_ = cut(sketches(counted_pages(pages, text), key, text))
     members = all_.select(key, "copy").join(all_.groupBy("copy").agg(F.min(key).alias("rep")), "copy").select(key, "rep")
     members = cut(members)
-    reps = all_.join(members.where(F.col(key) == F.col("rep")), key).select("rep", "sketch", "b0", "b1")
+    reps = cut(all_.join(members.where(F.col(key) == F.col("rep")), key).select("rep", "sketch", "b0", "b1"))
     # the sample is bounded; it sets the cost of probes, never what is found
     sampled = bounded_sample(reps.select("rep", "sketch"), "rep", SAMPLE).select("sketch").collect()
     sample = np.frombuffer(b"".join(bytes(r[0]) for r in sampled), np.uint16).reshape(-1, VALUES)
