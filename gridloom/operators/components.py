@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridloom.session import cut
+from gridloom.session import cut, forget
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:
@@ -21,8 +21,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     links = pairs.where("u <> v")
     before = None
-    for _ in range(most_rounds):
-        links = cut(_small(_large(links)))
+    for round_ in range(most_rounds):
+        old, links = links, cut(_small(_large(links)))
+        if round_:
+            forget(old)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

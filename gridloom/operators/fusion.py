@@ -2,26 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridloom.functions.vectors import dot
+from gridloom.session import prepare
 
 DENSE, LEAD, LEXICAL, NUMBER = 1.0, 0.8, 1.0, 2.5
 CANDIDATES, TOP = 200, 10
+#: Queries that are sent to every task at once.
+QUERY_BLOCK = 4096
 #: Least deviation that a z-score is divided by.
 LEAST_SPREAD = 1e-9
 
 
-def passage_scores(queries: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, granularity, page_id, chunk_id, score): products of the stated queries with every passage."""
-    q = queries.select("query_id", F.col("embedding").alias("_q"))
-    return F.broadcast(q).join(passages).select("query_id", "granularity", "page_id", "chunk_id", dot(F.col("_q"), F.col("embedding")).alias("score"))
-
-
 def dense(queries: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, granularity, page_id, best, lead): greatest product over a page's passages, and that of its first one, in one aggregation."""
-    rows = passage_scores(queries, passages)
-    return rows.groupBy("query_id", "granularity", "page_id").agg(F.max("score").alias("best"), F.max(F.when(F.col("chunk_id") == 0, F.col("score"))).alias("lead"))
+    """(query_id, granularity, page_id, best, lead): greatest product over a page's passages, and that of its first one.
+
+    Stated queries (query_id, embedding) come in blocks that are sent to all tasks; a task multiplies a block with a
+    batch of passages and reduces each page's run of rows, so partial maxima are what is shuffled, not products.
+    Passages and queries without a vector are left out.
+    """
+    prepare(passages.sparkSession)
+    out, held = None, []
+    for row in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
+        held.append(row)
+        if len(held) == QUERY_BLOCK:
+            part = _partial(held, passages)
+            out, held = part if out is None else out.union(part), []
+    if held or out is None:
+        part = _partial(held, passages)
+        out = part if out is None else out.union(part)
+    return out.groupBy("query_id", "granularity", "page_id").agg(F.max("best").alias("best"), F.max("lead").alias("lead"))
+
+
+def _partial(rows: list, passages: DataFrame) -> DataFrame:
+    names = [r[0] for r in rows]
+    q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    shared = passages.sparkSession.sparkContext.broadcast((names, q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = shared.value
+        for batch in batches:
+            n = len(batch)
+            if not n or not names:
+                continue
+            g, page, chunk = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            x = batch.column(3).flatten().to_numpy().astype(np.float64).reshape(n, -1)
+            order = np.lexsort((chunk, page, g))
+            g, page, chunk = g[order], page[order], chunk[order]
+            scores = q @ x[order].T
+            starts = np.concatenate([[0], np.flatnonzero((g[1:] != g[:-1]) | (page[1:] != page[:-1])) + 1])
+            best = np.maximum.reduceat(scores, starts, axis=1)
+            lead = np.where(chunk[starts] == 0, scores[:, starts], np.nan)
+            m = len(starts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(names)), m))), pa.array(np.tile(g[starts], len(names)), pa.int32()), pa.array(np.tile(page[starts], len(names)), pa.int64()), pa.array(best.ravel()), pa.array(lead.ravel(), from_pandas=True)],
+                names=["query_id", "granularity", "page_id", "best", "lead"],
+            )
+
+    fit = F.col("granularity").isNotNull() & F.col("page_id").isNotNull() & F.col("embedding").isNotNull()
+    some = passages.where(fit).select("granularity", "page_id", F.coalesce("chunk_id", F.lit(-1)).cast("int").alias("chunk_id"), "embedding")
+    return some.mapInArrow(run, "query_id string, granularity int, page_id bigint, best double, lead double")
 
 
 def z_dense(rows: DataFrame, *columns: str) -> DataFrame:

@@ -16,7 +16,9 @@ QUERY_BLOCK = 4096
 
 
 def top_k_sql(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The plain form of `top_k`, a join of the stated queries with all rows; a cross-check for small inputs."""
+    """The plain form of `top_k`, each row against at most QUERY_BLOCK stated queries; a cross-check in built-in expressions."""
+    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        raise ValueError(f"at most {QUERY_BLOCK} queries at once")
     pairs = F.broadcast(queries.select("q", F.col("embedding").alias("_e"))).join(vectors.select("vec_id", "embedding"))
     return _best(pairs.select("q", "vec_id", dot(F.col("_e"), F.col("embedding")).alias("score")), k)
 

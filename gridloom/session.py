@@ -46,8 +46,25 @@ def cut(df: DataFrame) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: lineage ends there, and lost executors cost nothing.
 
     A compressed columnar table is several times smaller than an RDD checkpoint, whose rows are stored unpacked.
+    All tables of an application lie in one folder, which `clean` removes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the table of a DataFrame that `cut` returned, once nothing reads it any more."""
+    for file in df.inputFiles()[:1]:
+        _delete(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that `cut` wrote for this application."""
+    _delete(spark, f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}")
