@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from gridloom.llm.common import BASE, arrow_map, counted_pages, mix
 from gridloom.llm.distinctive import term_vectors
 from gridloom.operators.components import connected_components
-from gridloom.session import cut
+from gridloom.session import cut, forget
 
 SIMILARITY, LEAST_TERMS = 0.5, 30
 #: Minwise values (a bit of each is kept), orders of the forest, values of an order's prefix, followers each row is compared with.
@@ -146,6 +146,7 @@ def descend(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """All close pairs after rounds of neighbour descent: neighbours of one record are compared with each other.
 
     A record brings at most K x K pairs to a round, hubs included. Stops early once a round finds nothing new.
+    `pairs` is a written table, which is removed once it isn't needed.
     """
     found = pairs
     n = found.count()
@@ -155,7 +156,8 @@ def descend(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         two = near.select("u", F.col("v").alias("b"), *(F.col(f"s{i}").alias(f"y{i}") for i in range(_WORDS)))
         d = _differ("x", "y")
         met = one.join(two, "u").where((F.col("a") < F.col("b")) & (d <= _MOST)).withColumn("d", d).select(*found.columns)
-        found = cut(found.union(met).dropDuplicates(["a", "b"]))
+        old, found = found, cut(found.union(met).dropDuplicates(["a", "b"]))
+        forget(old)
         before, n = n, found.count()
         if n == before:
             break
@@ -209,7 +211,9 @@ def communities(graph: DataFrame, rounds: int = 8) -> DataFrame:
         gain = F.col("w") - F.col("deg") * (F.col("vol") - inside) / F.lit(float(twice))
         best = options.groupBy("node").agg(F.max_by("community", F.struct(F.round(gain, 9), -F.col("community"))).alias("_best"), F.first("_own").alias("_own"))
         moves = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        label = cut(best.select("node", F.when(moves, F.col("_best")).otherwise(F.col("_own")).alias("community")))
+        old, label = label, cut(best.select("node", F.when(moves, F.col("_best")).otherwise(F.col("_own")).alias("community")))
+        if r:
+            forget(old)
     return label
 
 

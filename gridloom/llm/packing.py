@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.llm.common import BASE, mix
@@ -29,6 +30,8 @@ CAPACITY = 2048
 DIMS, BITS = 4, 8
 #: Items sorted by size together, and containers kept open between such windows.
 WINDOW, OPEN = 2048, 64
+#: Items of a stretch, about, and stretches whose open containers are merged together.
+STRETCH, MERGED = 500_000, 4096
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -122,8 +125,8 @@ def fill(sizes: np.ndarray, capacity: int, window: int = WINDOW, most: int = OPE
 def pack(docs: DataFrame, capacity: int = CAPACITY, partitions: int | None = None, **names: str) -> DataFrame:
     """(doc_id, piece, token_start, n_tokens, container): every token of every text in one container.
 
-    A stretch is packed by one task that holds keys and sizes only. The stretches' open containers, at most OPEN
-    each, are merged by one further task: its input is bounded by partitions x OPEN.
+    A stretch is packed by one task that holds the keys and sizes of about STRETCH items. The stretches' open
+    containers, at most OPEN each, are merged by further tasks, each over at most MERGED neighbouring stretches.
     """
     items = cut(sized(docs, **names))
     spark = docs.sparkSession
@@ -132,7 +135,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, partitions: int | None = Non
     pieces = items.select("doc_id", "place", "n_tokens", F.posexplode(F.sequence(F.lit(0), n_pieces - 1)).alias("piece", "_p")).select(
         "doc_id", "place", "piece", (F.col("piece").cast("bigint") * capacity).alias("token_start"), F.least(F.lit(capacity), whole - F.col("piece").cast("bigint") * capacity).alias("n_tokens")
     )
-    stretches = partitions or max(1, spark.sparkContext.defaultParallelism)
+    stretches = partitions or max(spark.sparkContext.defaultParallelism, -(-items.count() // STRETCH))
     ranged = pieces.repartitionByRange(stretches, "place", "doc_id", "piece").sortWithinPartitions("place", "doc_id", "piece")
     schema = "doc_id bigint, piece int, token_start bigint, n_tokens bigint, stretch int, box bigint, open boolean, fill bigint"
 
@@ -157,17 +160,20 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, partitions: int | None = Non
         yield from out.combine_chunks().to_batches(max_chunksize=65536)
 
     packed = cut(ranged.mapInArrow(run, schema))
-    open_boxes = packed.where("open").select("stretch", "box", "fill").distinct().repartition(1).sortWithinPartitions("stretch", "box")
+    group = F.floor(F.col("stretch") / MERGED).cast("int").alias("group")
+    open_boxes = packed.where("open").select(group, "stretch", "box", "fill").distinct().repartition(-(-stretches // MERGED), "group").sortWithinPartitions("group", "stretch", "box")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        boxes, _ = fill(rows.column("fill").to_numpy(), capacity)
-        out = pa.Table.from_arrays([rows.column("stretch"), rows.column("box"), pa.array(boxes)], names=["stretch", "box", "shared"])
-        yield from out.combine_chunks().to_batches(max_chunksize=65536)
-
-    shared = open_boxes.mapInArrow(merge, "stretch int, box bigint, shared bigint")
-    name = F.when(F.col("shared").isNotNull(), F.concat(F.lit("m-"), F.col("shared"))).otherwise(F.concat(F.col("stretch"), F.lit("-"), F.col("box")))
+        for g in np.unique(rows.column("group").to_numpy()).tolist():
+            own = rows.filter(pc.equal(rows.column("group"), g))
+            boxes, _ = fill(own.column("fill").to_numpy(), capacity)
+            names = [f"m{g}-{b}" for b in boxes.tolist()]
+            yield from pa.Table.from_arrays([own.column("stretch"), own.column("box"), pa.array(names)], names=["stretch", "box", "shared"]).combine_chunks().to_batches(max_chunksize=65536)
+
+    shared = open_boxes.mapInArrow(merge, "stretch int, box bigint, shared string")
+    name = F.coalesce("shared", F.concat(F.col("stretch"), F.lit("-"), F.col("box")))
     return packed.join(shared, ["stretch", "box"], "left").select("doc_id", "piece", "token_start", "n_tokens", name.alias("container"))
