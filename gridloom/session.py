@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: lineage ends there, and lost executors cost nothing.
 
     A compressed columnar table is several times smaller than an RDD checkpoint, whose rows are stored unpacked.
@@ -50,7 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
