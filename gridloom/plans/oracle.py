@@ -155,7 +155,7 @@ FROM (SELECT scenario, o.seq, q, vec_id, list_inner_product(e, embedding::DOUBLE
     "jaccard_scores": _with("results", select="""SELECT scenario, seq, round(CASE WHEN n = 0 THEN 1 ELSE len(list_distinct(succeeded)) / n END, 6) AS j_succeeded, round(CASE WHEN n = 0 THEN 1 ELSE len(list_distinct(failed)) / n END, 6) AS j_failed
 FROM (SELECT *, len(list_distinct(list_concat(succeeded, failed))) AS n FROM results)"""),
     "functional_score": _with("results", "ops", select=f"""SELECT scenario, round(i, 6) AS insert_score, round(d, 6) AS delete_score, round(s, 6) AS search_score, round(0.5 * s + 0.3 * i + 0.2 * d, 6) AS functional
-FROM (SELECT scenario, {_SUM.format('insert')} AS i, {_SUM.format('delete')} AS d, CASE WHEN scenario IN (SELECT scenario FROM ops WHERE op = 'search') THEN 1.0 ELSE 0.0 END AS s FROM {_MUTATION} GROUP BY scenario)"""),
+FROM (SELECT scenario, {_SUM.format('insert')} AS i, {_SUM.format('delete')} AS d, CASE WHEN scenario IN (SELECT scenario FROM ops WHERE op = 'search') THEN 1.0 ELSE 0.0 END::DOUBLE AS s FROM {_MUTATION} GROUP BY scenario)"""),
     "runtime_multiplier": "SELECT doc_id, CASE WHEN n_chars / 1000.0 <= 0.5 THEN 1.0 WHEN n_chars / 1000.0 <= 1 THEN 0.9 WHEN n_chars / 1000.0 <= 2 THEN 0.75 ELSE 0.5 END::DOUBLE AS multiplier FROM documents",
     "recall_at_k": _with("lexical_top", select="""SELECT query_id, round(CASE WHEN n = 0 THEN 1.0 ELSE len(list_intersect(coalesce(result, [])[:n], relevant[:n])) / n END, 6) AS recall
 FROM (SELECT query_id, relevant, least(10, len(relevant)) AS n, result FROM search_query LEFT JOIN (SELECT query_id, list(page_id ORDER BY rank) AS result FROM lexical_top GROUP BY query_id) USING (query_id))"""),
