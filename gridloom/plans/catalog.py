@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.functions import metrics, text
 from gridloom.functions.embedding import hash_embed
+from gridloom.functions.vectors import half
 from gridloom.operators import bm25, chunking, components, entity_clusters, evaluation, fusion, replay, vector_index
 from gridloom.plans import pipeline
 from gridloom.plans.oracle import ORACLE
@@ -117,6 +118,11 @@ def vec_replay_search(spark, d):
     return replay.search(_status(spark, d), at, _vector_queries(spark, d), 10).select("scenario", "seq", "q", "rank", "vec_id", _r("score"))
 
 
+@query
+def vec_half(spark, d):
+    return _vectors(spark, d).select("vec_id", F.transform(half(F.col("embedding")), lambda v: F.round(v, 9)).alias("embedding"))
+
+
 # scores
 
 @query

@@ -152,6 +152,8 @@ ORACLE: dict[str, str] = {
     "vec_replay_search": _with("lives", "vq", select=f"""SELECT scenario, seq, q, row_number() OVER (PARTITION BY scenario, seq, q ORDER BY round(s, 9) DESC, vec_id) AS rank, vec_id, round(s, 6) AS score
 FROM (SELECT scenario, o.seq, q, vec_id, list_inner_product(e, embedding::DOUBLE[]) AS s FROM (SELECT DISTINCT scenario, seq FROM ops WHERE op NOT IN ('insert', 'delete')) o
   JOIN (SELECT * FROM lives WHERE {_FINE.format('embedding')}) l USING (scenario), vq WHERE born < o.seq AND (died IS NULL OR died > o.seq)) QUALIFY rank <= 10"""),
+    "vec_half": """SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE
+  round(round_even(v / pow(2, greatest(floor(log2(abs(v))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(v))), -14) - 10), 9) END) AS embedding FROM embeddings""",
     "jaccard_scores": _with("results", select="""SELECT scenario, seq, round(CASE WHEN n = 0 THEN 1 ELSE len(list_distinct(succeeded)) / n END, 6) AS j_succeeded, round(CASE WHEN n = 0 THEN 1 ELSE len(list_distinct(failed)) / n END, 6) AS j_failed
 FROM (SELECT *, len(list_distinct(list_concat(succeeded, failed))) AS n FROM results)"""),
     "functional_score": _with("results", "ops", select=f"""SELECT scenario, round(i, 6) AS insert_score, round(d, 6) AS delete_score, round(s, 6) AS search_score, round(0.5 * s + 0.3 * i + 0.2 * d, 6) AS functional

@@ -113,3 +113,15 @@ def test_similar_pairs(spark, monkeypatch):
     want = {(i, j) for i in range(90) for j in range(i + 1, 90) if u[i] @ u[j] > 0.6}
     got = [(r["a"], r["b"]) for r in similar_pairs(rows, 0.6).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_half(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.functions.vectors import half
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=200), rng.normal(size=50) * 1e-6, [0.0, 1.0, -2.0, 65504.0, 70000.0, 2.0**-24, 0.1]]).astype(np.float32)
+    got = spark.createDataFrame([(x.tolist(),)], "x array<float>").select(half(F.col("x")).alias("y")).first()["y"]
+    with np.errstate(over="ignore"):
+        assert got == x.astype(np.float16).astype(float).tolist()
