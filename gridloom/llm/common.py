@@ -16,8 +16,6 @@ TERM = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 #: White space of the tables: blank, tab, carriage return, line feed. Nothing else counts.
 WHITE = " \t\r\n"
 WHITE_RUN = regex.compile(r"[ \t\r\n]+")
-#: Code points handled together in one set of arrays; bounds a worker's memory whatever the batch holds.
-CHUNK = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,18 +66,6 @@ def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def chunks(texts: list[str], most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges [i, j) of texts that hold about `most` characters together, at least one text each."""
-    i, held = 0, 0
-    for j, text in enumerate(texts):
-        if held and held + len(text) > most:
-            yield i, j
-            i, held = j, 0
-        held += len(text)
-    if i < len(texts):
-        yield i, len(texts)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 on uint64: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

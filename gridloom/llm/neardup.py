@@ -17,7 +17,6 @@ row. Repeated rows of a page count once.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +36,8 @@ BITS = int(128 * (1 - SIMILARITY) / 2 + 4.5 * (128 * (1 - SIMILARITY) / 2 * (1 +
 #: Ids that are sent to every task at most (8 bytes each); beyond, texts are joined by shuffle.
 SENT = 100_000
 
-_EDGES = [int(i * 2**64 // BINS) for i in range(BINS)]
-_EDGES = np.array(_EDGES, np.uint64)
+#: Least hash of each bin.
+_EDGES = np.array([i * 2**64 // BINS for i in range(BINS)], np.uint64)
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:

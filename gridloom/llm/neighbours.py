@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gridloom.functions.vectors import usable
 from gridloom.llm.common import arrow_map, bounded_sample
 from gridloom.session import cut
 
@@ -31,13 +32,6 @@ PARTS, WORDS, FIT = 8, 64, 8
 BLOCK, RERANK = 2048, 64
 
 
-def usable(column: str, dim: int = DIM):
-    """`dim` finite numbers, not all zero."""
-    x = F.col(column)
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return x.isNotNull() & (F.size(x) == dim) & fine & F.exists(x, lambda v: v != 0)
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
@@ -254,12 +248,12 @@ def batch_vectors(changelog: DataFrame, dim: int = DIM) -> DataFrame:
     w = Window.partitionBy("id").orderBy(F.col("logged_at").asc_nulls_last(), "embedding")
     inserts = changelog.where("op = 'insert' and vec_id is not null").select(F.col("vec_id").alias("id"), "logged_at", "embedding")
     first = inserts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("id", "embedding")
-    return first.where(usable("embedding", dim)).join(deleted, "id", "left_anti")
+    return first.where(usable(F.col("embedding"), dim)).join(deleted, "id", "left_anti")
 
 
 def passage_vectors(passages: DataFrame, dim: int = DIM) -> DataFrame:
     """The usable vectors of the passages; repeated rows are identical."""
-    return passages.where(F.col("passage_id").isNotNull() & usable("embedding", dim)).select(F.col("passage_id").alias("id"), "embedding").dropDuplicates(["id"])
+    return passages.where(F.col("passage_id").isNotNull() & usable(F.col("embedding"), dim)).select(F.col("passage_id").alias("id"), "embedding").dropDuplicates(["id"])
 
 
 def found(changelog: DataFrame, passages: DataFrame) -> DataFrame:
