@@ -3,8 +3,9 @@
 Coarse centroids and residual codebooks are fitted on a bounded sample; every vector is indexed. A vector goes to the
 lists of its nearest centroids, as item and as query alike: two vectors are compared if they share a list. In a list,
 a query's table of products with all code words gives the approximate similarity of every item as a sum of
-table entries; the best by this measure are reranked with their whole vectors. Lists over a size are cut into blocks
-of items, each of which meets the list's queries in blocks, so no task holds a hot list at once.
+table entries; all that can be among the best within the error of their codes are compared with their whole vectors.
+Lists over a size are cut into blocks of items, each of which meets the list's queries in blocks, so no task holds a
+hot list at once.
 
 Vectors are scaled to length 1 (similarity is the cosine). Equal vectors are one representative until the end, and
 only the least ids of a group are ever listed as somebody's neighbours, so copies of a third of all rows stay linear.
@@ -28,8 +29,8 @@ DIM, K, SIMILARITY = 64, 10, 0.85
 SAMPLE, LISTS, PROBES, AIM = 32_768, 4096, 4, 256
 #: Sub-vectors of the residual, code words of each, rounds of fitting.
 PARTS, WORDS, FIT = 8, 64, 8
-#: Rows of a block of a list; candidates of a query that are reranked in a block, at least.
-BLOCK, RERANK = 2048, 64
+#: Rows of a block of a list; what single precision may add to the error of an approximate similarity.
+BLOCK, SLACK = 2048, 1e-5
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -81,6 +82,9 @@ class Index:
         width = residual.shape[1] // self.books.shape[0]
         return np.stack([_nearest(residual[:, i * width : (i + 1) * width], book) for i, book in enumerate(self.books)], axis=1)
 
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], axis=1)
+
     def approximate(self, queries: np.ndarray, centroid: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Products of queries with coded items: the centroid's product plus the sums of the queries' table entries.
 
@@ -94,25 +98,50 @@ class Index:
 
 
 def _compare(index: Index, listed: int, queries: np.ndarray, q_ids: np.ndarray, items: np.ndarray, i_ids: np.ndarray, k: int, least: float) -> list[np.ndarray]:
-    """(query, item, similarity) of each query's best k items at or over the least similarity, in one block."""
+    """(query, item, similarity) of each query's best k items at or over the least similarity, in one block.
+
+    An approximate similarity is off by no more than the length of what the item's code leaves of it, as queries have
+    length 1. Every item that can reach the least similarity and the query's k-th by this bound is compared exactly.
+    """
     centroid = index.centroids[listed]
     codes = index.codes(items - centroid)
+    off = np.linalg.norm(items - centroid - index.decoded(codes), axis=1) + SLACK
+    whole = _double(items)
     out = []
-    keep = min(len(items), max(RERANK, 4 * k))
     for s in range(0, len(queries), 1024):
-        q = queries[s : s + 1024]
+        q, ids = queries[s : s + 1024], q_ids[s : s + 1024]
         score = index.approximate(q, centroid, codes)
-        score[q_ids[s : s + 1024, None] == i_ids[None, :]] = -np.inf
-        top = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(items) else np.broadcast_to(np.arange(len(items)), score.shape)
-        exact = np.einsum("qd,qkd->qk", q, items[top], optimize=True)
-        exact[~np.isfinite(np.take_along_axis(score, top, axis=1))] = -2
-        best = np.argsort(-exact, axis=1, kind="stable")[:, : k + 2]
-        sim = np.take_along_axis(exact, best, axis=1)
-        rows, cols = np.nonzero(sim >= least - 1e-4)
-        out.append((q_ids[s : s + 1024][rows], i_ids[np.take_along_axis(top, best, axis=1)[rows, cols]], sim[rows, cols]))
+        score[ids[:, None] == i_ids[None, :]] = -np.inf
+        floor = np.maximum(_kth(score - off, k), least)
+        may = score + off >= floor[:, None]
+        some = np.flatnonzero(may.any(axis=1))
+        if not len(some):
+            continue
+        ids, may, exact = ids[some], may[some], _double(q[some]) @ whole.T
+        exact[~may] = -2
+        rows, cols = np.nonzero(exact >= np.maximum(_kth(exact, k) - 2e-9, least - 1e-9)[:, None])
+        sim = exact[rows, cols]
+        order = np.lexsort((i_ids[cols], -np.round(sim, 9), rows))
+        rows, cols, sim = rows[order], cols[order], sim[order]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        out.append((ids[rows[first]], i_ids[cols[first]], sim[first]))
+    if not out:
+        return [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
+def _double(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _kth(values: np.ndarray, k: int) -> np.ndarray:
+    """The k-th greatest value of each row, or minus infinity if it has fewer."""
+    if values.shape[1] < k:
+        return np.full(len(values), -np.inf)
+    return -np.partition(-values, k - 1, axis=1)[:, k - 1]
+
+
 def fit(reps: DataFrame, n: int) -> Index:
     """An index fitted on at most SAMPLE of the vectors, drawn by a hash of the id."""
     rows = bounded_sample(reps.select("id", "embedding"), "id", SAMPLE).select("embedding").toArrow()

@@ -167,6 +167,21 @@ def test_neighbours(spark, monkeypatch, block):
         assert len(want & have) >= 0.98 * len(want) and len(have - want) <= 0.02 * len(want)
 
 
+def dense_group(n=600, spread=2e-3, seed=6):
+    """A third of the vectors in one ball that is tighter than any code word."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 64))
+    x[::3] = rng.normal(size=64) + rng.normal(size=(len(x[::3]), 64)) * spread
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_items_within_the_error_of_their_codes_are_compared():
+    x = dense_group().astype(np.float32)
+    index = neighbours.Index(x, 256)
+    a, b, _ = neighbours._compare(index, 0, x, np.arange(len(x)), x, np.arange(len(x)), 10, 0.85)
+    assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == brute_pairs(dict(enumerate(x)))
+
+
 def test_neighbours_of_nothing(spark):
     none = spark.createDataFrame([], LOG)
     assert neighbours.found(none, spark.createDataFrame([(1, [1.0] * 64)], "passage_id bigint, embedding array<float>")).count() == 0
