@@ -159,17 +159,18 @@ def similar(reps: DataFrame, index: Index, k: int = K, least: float = SIMILARITY
         n = len(batch)
         if not n:
             return
-        x = batch.column(1).flatten().to_numpy().reshape(n, dim)
+        x = np.ascontiguousarray(batch.column(1).flatten().to_numpy().reshape(n, dim), np.float32)
         lists = shared.value.probe(x)
         m = lists.shape[1]
-        small = x.astype(np.float16).reshape(-1)
-        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * dim), n, [None, pa.py_buffer(small.tobytes())]).cast(pa.binary())
-        for j in range(m):
-            yield pa.RecordBatch.from_arrays([pa.array(lists[:, j].astype(np.int32)), batch.column(0), raw], names=["l", "id", "x"])
+        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), n, [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
+        held = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), pa.array(lists.astype(np.int32).ravel()))
+        yield pa.RecordBatch.from_arrays([held, batch.column(0), raw], names=["ls", "id", "x"])
 
-    rows = cut(arrow_map(reps.select("id", "embedding"), spread, "l int, id bigint, x binary"))
+    # a vector is written once with the numbers of its lists; copies for each list go to the shuffle only
+    probed = cut(arrow_map(reps.select("id", "embedding"), spread, "ls array<int>, id bigint, x binary"))
+    rows = probed.select(F.explode("ls").alias("l"), "id", "x")
     # one count a list: at most LISTS rows reach the driver
-    blocks = {r[0]: -(-r[1] // BLOCK) for r in rows.groupBy("l").count().where(F.col("count") > BLOCK).collect()}
+    blocks = {r[0]: -(-r[1] // BLOCK) for r in rows.select("l").groupBy("l").count().where(F.col("count") > BLOCK).collect()}
     if blocks:
         count = F.coalesce(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("l")], F.lit(1))
     else:
@@ -193,7 +194,7 @@ def similar(reps: DataFrame, index: Index, k: int = K, least: float = SIMILARITY
         def flush():
             rows = pa.Table.from_batches(held).combine_chunks()
             listed, side, ids = rows.column(0)[0].as_py(), rows.column(3).to_numpy(), rows.column(4).to_numpy()
-            x = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.float16).reshape(len(rows), dim).astype(np.float32)
+            x = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.float32).reshape(len(rows), dim)
             q, i = side != 1, side != 2
             if q.any() and i.any():
                 a, b, sim = _compare(shared.value, listed, x[q], ids[q], x[i], ids[i], k, least)

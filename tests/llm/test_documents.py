@@ -182,6 +182,14 @@ def test_items_within_the_error_of_their_codes_are_compared():
     assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == brute_pairs(dict(enumerate(x)))
 
 
+@pytest.mark.parametrize("block", [2048, 50])
+def test_neighbours_closer_than_half_precision(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    x = dense_group().astype(np.float32)
+    got = neighbours.most_similar(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id bigint, embedding array<float>")).collect()
+    assert {(min(r["id"], r["other"]), max(r["id"], r["other"])) for r in got} == brute_pairs(dict(enumerate(x)))
+
+
 def test_neighbours_of_nothing(spark):
     none = spark.createDataFrame([], LOG)
     assert neighbours.found(none, spark.createDataFrame([(1, [1.0] * 64)], "passage_id bigint, embedding array<float>")).count() == 0
