@@ -3,8 +3,9 @@
 Each record's distinct terms are sketched by 256 minwise bits, from which any two rows' similarity can be estimated
 where they meet. A forest of prefix orders gives each record first neighbours; neighbour descent then compares the
 neighbours of each record with each other and keeps its best K, round by round. All pairs that ever came close
-are verified on whole term sets; verified links form the graph. Communities move by modularity gain on
-it and are described by size and the members of highest internal weighted degree.
+are verified on whole term sets; verified links form the graph. Links between components that descent left apart are
+found exactly, by a join on the rarest terms, so the components are those of all links. Communities move by modularity
+gain on the graph and are described by size and the members of highest internal weighted degree.
 
 Records of equal term sets are one representative until the end. Records with null content or fewer than the least
 number of distinct terms have no row. Repeated rows of a page count once.
@@ -30,6 +31,10 @@ VALUES, ORDERS, PREFIX, AHEAD = 256, 24, 6, 4
 K, ROUNDS, FLOOR = 24, 3, 0.36
 #: Ids that are sent to every task at most (8 bytes each); beyond, sets are joined by shuffle.
 SENT = 100_000
+#: Slots that terms are counted in, to order them by rarity, and records of a slot from which its terms are compared in blocks.
+SLOTS, HOT = 1 << 20, 4096
+#: Pairs that a task compares at once.
+STEP = 1 << 19
 
 _WORDS = VALUES // 64
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * BASE) | np.uint64(1)
@@ -171,9 +176,17 @@ def links(sets: DataFrame, key: str = "page_id", similarity: float = SIMILARITY)
     members = cut(marked.join(marked.groupBy("_c").agg(F.min(key).alias("rep")), "_c").select(key, "rep"))
     own = sets.join(members.where(F.col(key) == F.col("rep")).select(key), key, "left_semi").select(F.col(key).alias("rep"), "terms")
     close = descend(cut(first_pairs(sketches(own)))).select("a", "b")
+    graph = _verified(close, own, similarity)
+    apart = _verified(bridges(own, connected_components(graph), similarity), own, similarity)
+    return graph.union(apart), members
+
+
+def _verified(close: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similarity) of the pairs that reach the similarity on whole term sets, as a written table."""
+    close = cut(close)
     ids = cut(close.select(F.col("a").alias("rep")).union(close.select("b")).distinct())
     few = F.broadcast(ids) if ids.count() <= SENT else ids
-    wanted = sets.select(F.col(key).alias("rep"), "terms").join(few, "rep", "left_semi")
+    wanted = own.join(few, "rep", "left_semi")
     left = close.join(wanted.select(F.col("rep").alias("a"), F.col("terms").alias("ta")), "a")
     both = left.join(wanted.select(F.col("rep").alias("b"), F.col("terms").alias("tb")), "b")
 
@@ -187,7 +200,113 @@ def links(sets: DataFrame, key: str = "page_id", similarity: float = SIMILARITY)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], names=["a", "b", "similarity"])
 
     scored = arrow_map(both.select("a", "b", "ta", "tb"), run, "a bigint, b bigint, similarity double")
-    return cut(scored.where(F.col("similarity") >= similarity)), members
+    return cut(scored.where(F.col("similarity") >= similarity))
+
+
+def _slots(own: DataFrame) -> np.ndarray:
+    """How many records hold a term of each slot, a slot being the upper bits of a term's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            counts += np.bincount(_slot(batch.column(0).flatten().to_numpy().view(np.uint64)), minlength=SLOTS)
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
+
+    # at most SLOTS rows reach the driver
+    got = own.select("terms").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
+
+
+def bridges(own: DataFrame, label: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): every pair of different components that can reach the similarity, and few others.
+
+    With terms in one order for all records, rarest first, two such records share a term within the first
+    size - ceil(similarity x size) + 1 of either. A pair that meets in such a term is dropped only where its sizes, the
+    term's places (for its first shared term) or the parities of 256 groups of terms prove it to be under the similarity: each
+    parity that differs stands for a term that only one holds. Terms of hot slots are compared in pairs of blocks.
+    """
+    counts = own.sparkSession.sparkContext.broadcast(_slots(own))  # SLOTS numbers, whatever the input
+    parity = [f"s{i}" for i in range(4)]
+    names = ["t", "i", "j", "side", "c", "rep", "size", "place", *parity]
+
+    def spread(batch: pa.RecordBatch):
+        parts: list[list[np.ndarray]] = [[] for _ in names]
+        for rep, c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            terms = x.values.to_numpy().view(np.uint64)
+            size = len(terms)
+            held = counts.value[_slot(terms)]
+            places = np.lexsort((terms, held))[: size - int(np.ceil(similarity * size - 1e-9)) + 1]
+            at = np.flatnonzero(held[places] > 1)  # a term of one record meets nobody
+            blocks = -(-held[places[at]] // HOT)
+            own_block = int(mix(np.array([rep], np.int64).view(np.uint64))[0] % np.uint64(1 << 31)) % blocks
+            again = np.repeat(np.arange(len(at)), blocks)
+            other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            mine = own_block[again]
+            n = len(again)
+            bits = np.packbits((np.bincount((terms & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+            values = [terms[places[at]][again].view(np.int64), np.minimum(mine, other), np.maximum(mine, other), np.where(mine == other, 0, np.where(mine < other, 1, 2)), np.full(n, c), np.full(n, rep), np.full(n, size), at[again], *(np.full(n, v) for v in bits)]
+            for part, v in zip(parts, values, strict=True):
+                part.append(v)
+        if len(batch):
+            whole = [np.concatenate(p) for p in parts]
+            kinds = [np.int64, *[np.int32] * 3, np.int64, np.int64, np.int32, np.int32, *[np.int64] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(w.astype(k)) for w, k in zip(whole, kinds, strict=True)], names=names)
+
+    schema = "t bigint, i int, j int, side int, c bigint, rep bigint, size int, place int, " + ", ".join(f"{c} bigint" for c in parity)
+    marked = own.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c"), "terms")
+    postings = arrow_map(marked, spread, schema)
+    sorted_ = postings.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "side", "c")
+
+    def compare(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Pairs within whole groups of one term and block pair."""
+        t, i, j, side, c, rep, size, place = (rows.column(k).to_numpy() for k in range(8))
+        words = np.stack([rows.column(8 + k).to_numpy() for k in range(4)], axis=1).view(np.uint64)
+        n = len(t)
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        last = lambda starts: np.append(starts[1:], n)[np.searchsorted(starts, np.arange(n), side="right") - 1]
+        end = last(np.flatnonzero(new))
+        sides = last(np.flatnonzero(new | np.concatenate([[True], side[1:] != side[:-1]])))
+        runs = last(np.flatnonzero(new | np.concatenate([[True], (side[1:] != side[:-1]) | (c[1:] != c[:-1])])))
+        # in one block a record meets those of later components, in two the records of the other block
+        low = np.where(side == 0, runs, np.where(side == 1, sides, end))
+        many = np.cumsum(end - low)
+        s = 0
+        while s < n:
+            e = max(s + 1, int(np.searchsorted(many, (many[s - 1] if s else 0) + STEP, side="right")))
+            width = (end - low)[s:e]
+            a = np.repeat(np.arange(s, e), width)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(width) - width, width) + low[a]
+            both = size[a] + size[b]
+            need = both * (similarity / (1 + similarity)) - 1e-6
+            ok = (np.minimum(size[a] - place[a], size[b] - place[b]) >= need) & (np.minimum(size[a], size[b]) >= need) & (c[a] != c[b])
+            a, b, both = a[ok], b[ok], both[ok]
+            ok = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= both * ((1 - similarity) / (1 + similarity)) + 1e-6
+            x, y = rep[a[ok]], rep[b[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            s = e
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail: pa.RecordBatch | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            whole = batch if tail is None else pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+            keys = [whole.column(k).to_numpy() for k in range(3)]
+            rest = int(np.argmax(np.logical_and.reduce([k == k[-1] for k in keys])))  # sorted, so the last group is a suffix
+            if rest:
+                yield from compare(whole.slice(0, rest))
+            tail = whole.slice(rest)
+        if tail is not None:
+            yield from compare(tail)
+
+    return sorted_.mapInArrow(run, "a bigint, b bigint").dropDuplicates(["a", "b"])
 
 
 def communities(graph: DataFrame, rounds: int = 8) -> DataFrame:

@@ -115,6 +115,39 @@ def test_clusters(spark):
     assert all(label[r["page_id"]] == label[r["community"]] for r in described)
 
 
+def bridged_groups(n=8, members=30, seed=5):
+    """Pairs of dense groups of term sets; of each pair only the two cores are linked, at 66 / 126."""
+    rng, out = random.Random(seed), []
+    for g in range(n):
+        for side in "xy":
+            core = [f"b{g}t{k}" for k in range(66)] + [f"{side}{g}t{k}" for k in range(30)]
+            out.append(set(core))
+            for m in range(members):
+                out.append(set(core) - set(rng.sample(core, 3)) | {f"{side}{g}m{m}u{k}" for k in range(8)})
+    return dict(enumerate(out))
+
+
+def joined_pairs(sets):
+    label = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and label[a] != label[b] and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b]):
+                old = label[b]
+                label = {k: label[a] if v == old else v for k, v in label.items()}
+    return {(a, b) for a in sets for b in sets if a < b and label[a] == label[b]}
+
+
+def set_pages(spark, sets):
+    return pages(spark, [(i, None, " ".join(sorted(s)), "en", time(i), time(i), "r", "t", 1, 1, "k") for i, s in sets.items()])
+
+
+def test_clusters_joined_by_one_link(spark):
+    sets = bridged_groups()
+    want = joined_pairs(sets)
+    assert len(want) == 8 * 62 * 61 // 2
+    assert {tuple(r) for r in clusters.found(set_pages(spark, sets)).collect()} == want
+
+
 def test_communities_split_a_bridge(spark):
     links = [(a, b, 1.0) for block in (range(0, 6), range(10, 16)) for a in block for b in block if a < b] + [(5, 10, 1.0)]
     got = {r["node"]: r["community"] for r in clusters.communities(spark.createDataFrame(links, "a bigint, b bigint, similarity double"), 12).collect()}
