@@ -38,7 +38,7 @@ STEP = 1 << 19
 
 _WORDS = VALUES // 64
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * BASE) | np.uint64(1)
-#: Bits in which a close pair may differ.
+#: Bits in which a close pair of descent may differ; links over it are found by `bridges` if they join components.
 _MOST = int(VALUES * (1 - FLOOR) / 2)
 
 

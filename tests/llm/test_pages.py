@@ -148,6 +148,13 @@ def test_clusters_joined_by_one_link(spark):
     assert {tuple(r) for r in clusters.found(set_pages(spark, sets)).collect()} == want
 
 
+def test_clusters_need_no_sketch(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "_MOST", -1)  # every pair is over the limit of differing bits
+    monkeypatch.setattr(clusters, "HOT", 20, raising=False)
+    sets = bridged_groups(2)
+    assert {tuple(r) for r in clusters.found(set_pages(spark, sets)).collect()} == joined_pairs(sets)
+
+
 def test_communities_split_a_bridge(spark):
     links = [(a, b, 1.0) for block in (range(0, 6), range(10, 16)) for a in block for b in block if a < b] + [(5, 10, 1.0)]
     got = {r["node"]: r["community"] for r in clusters.communities(spark.createDataFrame(links, "a bigint, b bigint, similarity double"), 12).collect()}
