@@ -51,22 +51,25 @@ def parsimonious(counts: np.ndarray, background: np.ndarray, starts: np.ndarray,
     """Converged probabilities of the terms of several records; starts are the records' first places, none is empty."""
     sizes = np.diff(np.append(starts, len(counts)))
     p = counts / np.repeat(np.add.reduceat(counts, starts), sizes)
+    going = np.ones(len(starts), bool)  # a record stops by its own change, whatever else is in the batch
     for _ in range(STEPS):
         mass = own * p
         e = counts * np.divide(mass, mass + (1 - own) * background, out=np.zeros_like(p), where=mass > 0)
         new = e / np.repeat(np.maximum(np.add.reduceat(e, starts), 1e-300), sizes)
         new[new < LEAST] = 0
-        change = np.abs(new - p).max()
+        new = np.where(np.repeat(going, sizes), new, p)
+        change = np.maximum.reduceat(np.abs(new - p), starts)
         p = new
-        if change < CHANGE:
+        going &= change >= CHANGE
+        if not going.any():
             break
     return p
 
 
-def scores(docs: DataFrame, key: str, *texts: str, own: float = OWN, block: int = BLOCK) -> tuple[DataFrame, int]:
+def scores(docs: DataFrame, key: str, *texts: str, own: float = OWN, block: int = BLOCK, model: bool = True) -> tuple[DataFrame, int]:
     """(key, terms, counts, records, probabilities) of each record, arrays side by side; and the number of records.
 
-    Terms whose mass went to the background have probability 0.
+    Terms whose mass went to the background have probability 0. Without the model, probabilities are shares of the record.
     """
     vectors = cut(term_vectors(docs, key, *texts), rows_per_file=block)
     n = vectors.count()
@@ -109,7 +112,12 @@ def scores(docs: DataFrame, key: str, *texts: str, own: float = OWN, block: int
         pairs = np.array([table.get(t, none) for t in held], np.int64).reshape(-1, 2)
         cf = np.where(pairs[:, 1] > 0, pairs[:, 1], counts)
         starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-        p = parsimonious(counts, cf / total, starts, own) if len(held) else np.empty(0)
+        if not len(held):
+            p = np.empty(0)
+        elif model:
+            p = parsimonious(counts, cf / total, starts, own)
+        else:
+            p = counts / np.repeat(np.add.reduceat(counts, starts), sizes[sizes > 0])
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(held, pa.string()), pa.array(counts.astype(np.int32)), pa.array(pairs[:, 0].copy()), pa.array(p))]
         return pa.RecordBatch.from_arrays([rows.column(1), *lists], names=names)
@@ -154,13 +162,14 @@ def _best(rows: DataFrame, key: str, k: int, weigh, keep, name: str, digits: int
 
 
 def found(pages: DataFrame) -> DataFrame:
-    """p4_found: of the terms that keep mass in the page's own model and are held by two pages at least, the three of greatest weight.
+    """p4_found: of the terms that two pages at least hold, the three of greatest weight.
 
-    The weight is exact: occurrences in the page x ln(pages / pages that hold the term).
+    The weight is exact: occurrences in the page x ln(pages / pages that hold the term). A term that the model leaves
+    to the background can still be among the three, so the model drops none.
     """
-    rows, n = scores(counted_pages(pages, "title", "content"), "page_id", "title", "content")
+    rows, n = scores(counted_pages(pages, "title", "content"), "page_id", "title", "content", model=False)
 
     def weigh(counts: np.ndarray, records: np.ndarray, p: np.ndarray) -> np.ndarray:
         return counts * np.log(n / records)
 
-    return _best(rows, "page_id", 3, weigh, lambda counts, records, p: (records > 1) & (p > 0), "weight", 9).select("page_id", "term")
+    return _best(rows, "page_id", 3, weigh, lambda counts, records, p: records > 1, "weight", 9).select("page_id", "term")

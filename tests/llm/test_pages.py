@@ -65,6 +65,21 @@ def test_parsimonious_moves_mass():
     assert both[:3] == pytest.approx(p) and both[3:] == pytest.approx(p)
 
 
+def test_distinctive_of_common_terms(spark):
+    texts = ["spam " * 3000, "spam only once " + " ".join(f"w{k}" for k in range(400)), "word " * 10000 + "the and", *["the and of " * 40 + f"x{k} word" for k in range(12)], *[f"none{k} else{k}" for k in range(12)]]
+    rows = [(i, None, x, "en", time(i), time(i), "r", "t", 1, 1, "k") for i, x in enumerate(texts)]
+    got = {tuple(r) for r in distinctive.found(pages(spark, rows)).collect()}
+    assert (1, "spam") in got and {t for i, t in got if i == 2} == {"word", "the", "and"}
+
+
+def test_parsimonious_stops_by_record():
+    quick, slow = (np.array([5.0, 5.0]), np.array([0.5, 0.5])), (np.array([5.0, 5.0, 1.0]), np.array([0.3, 0.29, 0.05]))
+    alone = distinctive.parsimonious(*quick, np.array([0]), own=0.3)
+    for other in (slow, (np.array([9.0, 8.0, 7.0, 1.0]), np.array([0.9, 0.01, 0.02, 0.001]))):
+        both = distinctive.parsimonious(np.concatenate([quick[0], other[0]]), np.concatenate([quick[1], other[1]]), np.array([0, 2]), own=0.3)
+        assert (both[:2] == alone).all() and (both[2:] == distinctive.parsimonious(*other, np.array([0]), own=0.3)).all()
+
+
 def test_near_duplicates(spark):
     rows = counted(page_rows())
     sets = {}
