@@ -54,19 +54,21 @@ _OPEN = frozenset("“„«‹(\"'‘「『《〈【（｢[")
 _CONTINUE = frozenset(",-:;–—、，：；﹐﹑﹔﹕､")
 _NESTED = {"《": "》", "〈": "〉", "「": "」", "『": "』", "（": "）", "【": "】", "(": ")"}
 _WORD = regex.compile(r"\p{L}+")
+_LETTER = regex.compile(r"\p{L}")
+_SCRIPTS = {k: regex.compile(rf"(?V1)[\p{{L}}&&{v}]") for k, v in (("ru", r"\p{Cyrillic}"), ("hi", r"\p{Devanagari}"), ("th", r"\p{Thai}"), ("ja", r"[\p{Hiragana}\p{Katakana}]"), ("zh", r"\p{Han}"))}
 #: How far a closing bracket may be from a terminator that it encloses.
 _REACH = 400
 
 
 def language(text: str, lang: str | None) -> str:
-    """The given language, else one told by script and frequent words of the first characters."""
+    """The given language, else one told by the scripts of its letters and by frequent words, over the whole text."""
     if lang:
         return lang
-    head = text[:600]
-    for name, script in (("ru", r"\p{Cyrillic}"), ("hi", r"\p{Devanagari}"), ("th", r"\p{Thai}"), ("ja", r"[\p{Hiragana}\p{Katakana}]"), ("zh", r"\p{Han}")):
-        if len(regex.findall(script, head)) * 4 > len(head):
+    letters = sum(1 for _ in _LETTER.finditer(text))
+    for name, script in _SCRIPTS.items():
+        if sum(1 for _ in script.finditer(text)) * 4 > letters:
             return name
-    words = _WORD.findall(head.lower())
+    words = _WORD.findall(text.lower())
     score = {k: sum(w in v for w in words) for k, v in _HINTS.items()}
     best = max(score, key=score.get)
     return best if score[best] else ""

@@ -236,6 +236,13 @@ def test_sentence_spans(lang, text, want):
     assert [text[a:b] for a, b in sentences.spans(text, lang)] == want
 
 
+def test_language_of_the_whole_text():
+    assert sentences.language("1,204 " * 150 + "\n\n" + "Der Turm und die Mauer sind alt. " * 20, None) == "de"
+    assert sentences.language("Нижний Новгород, " * 40 + "\n\n" + "The wall of the old town and that tower. " * 100, None) == "en"
+    assert sentences.language("1234 " * 100 + "Город стоит на реке.", None) == "ru"
+    assert [sentences.language(x, None) for x in ("नदी के किनारे", "เมืองนี้อยู่", "この町は古い", "这座城市", "", "12")] == ["hi", "th", "ja", "zh", "", ""]
+
+
 def test_sentences(spark):
     got = {tuple(r) for r in sentences.found(pages(spark)).collect()}
     want = {(i, a, b) for i, r in counted(page_rows()).items() for a, b in sentences.spans(r[2], r[3])}
