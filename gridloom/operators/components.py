@@ -7,24 +7,29 @@ from pyspark.sql import DataFrame, functions as F
 from gridloom.session import cut, forget
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:
+#: Copies of a node's least neighbour, so that a hub of a third of all links isn't joined in one task.
+SALTS = 8
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of the edges, where component is the smallest node of it.
 
     Alternates two steps on the edge list until it stops changing: every node hands its smallest neighbour to its
     larger neighbours, then to all its smaller ones. Each component ends as a star around its smallest node
-    after a logarithmic number of rounds. The minimum of a neighbourhood is an aggregate, so a hub is never
-    gathered in one task. Rows with a null end are ignored; loops and repeated edges are harmless; no edges give no rows.
+    after a logarithmic number of rounds. The minimum of a neighbourhood is an aggregate and joined by salted keys, so a
+    hub is never gathered in one task. Rows with a null end are ignored; loops and repeated edges are harmless; no edges give no rows.
     """
     x, y = F.col(a).alias("u"), F.col(b).alias("v")
     own = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(x, y)
     pairs = cut(own.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     links = pairs.where("u <> v")
-    before = None
-    for round_ in range(most_rounds):
+    before, written = None, False
+    while True:
         old, links = links, cut(_small(_large(links)))
-        if round_:
+        if written:
             forget(old)
+        written = True
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -32,16 +37,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("_m")), "node", "left").select("node", F.coalesce("_m", "node").alias("component"))
 
 
+def _salted(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """Rows (u, v) with the least neighbour of u."""
+    many = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(many, ["u", "_s"])
+
+
 def _large(links: DataFrame) -> DataFrame:
     """Link the larger neighbours of every node to the smallest of it and its neighbours."""
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
+    return _salted(both, least).where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
 
 
 def _small(links: DataFrame) -> DataFrame:
     """Link every node and its smaller neighbours to the smallest of them."""
     down = links.where("u > v")
     least = down.groupBy("u").agg(F.min("v").alias("_m"))
-    moved = down.join(least, "u").where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
+    moved = _salted(down, least).where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
     return moved.union(least.select("u", F.col("_m").alias("v"))).distinct()
