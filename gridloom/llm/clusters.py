@@ -4,8 +4,9 @@ Each record's distinct terms are sketched by 256 minwise bits, from which any tw
 where they meet. A forest of prefix orders gives each record first neighbours; neighbour descent then compares the
 neighbours of each record with each other and keeps its best K, round by round. All pairs that ever came close
 are verified on whole term sets; verified links form the graph. Links between components that descent left apart are
-found exactly, by a join on the rarest terms, so the components are those of all links. Communities move by modularity
-gain on the graph and are described by size and the members of highest internal weighted degree.
+found exactly, by a join on the rarest terms, so the components are those of all links. Communities form by modularity
+gain, level by level, and are described by size and the members of highest internal weighted degree. What is joined
+through other records follows from the communities and the links that leave them.
 
 Records of equal term sets are one representative until the end. Records with null content or fewer than the least
 number of distinct terms have no row. Repeated rows of a page count once.
@@ -102,41 +103,72 @@ def sketches(sets: DataFrame) -> DataFrame:
 
 
 def first_pairs(forest: DataFrame) -> DataFrame:
-    """(a, b, d, x0.., y0..): rows that follow each other in some order and are close, with both sketches.
+    """(a, b, d, x0.., y0..): rows that follow each other in some order and are close, with both sketches; a written table.
 
     The orders are sorted by range, so no group of equal prefixes meets in one task, and each row is
-    compared with AHEAD followers whatever the size of its group. A range's last rows miss followers of the
-    next range in that order only.
+    compared with AHEAD followers whatever the size of its group. The first and last AHEAD rows of every range
+    are compared once more across the ranges' ends.
     """
-    names = ["a", "b", "d", *(f"x{i}" for i in range(_WORDS)), *(f"y{i}" for i in range(_WORDS))]
+    names = ["a", "b", "d", "edge", *(f"x{i}" for i in range(_WORDS)), *(f"y{i}" for i in range(_WORDS))]
+    keys = ["o", "p0", "p1", "rep"]
+
+    def pairs(whole: pa.RecordBatch, fresh: int) -> Iterator[pa.RecordBatch]:
+        """Close pairs of rows with their followers, of which one at least stands at `fresh` or later."""
+        n = len(whole)
+        ids, order = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+        words = _words(whole)
+        for step in range(1, min(AHEAD, n - 1) + 1):
+            i = np.arange(max(0, fresh - step), n - step)
+            j = i + step
+            d = np.bitwise_count(words[i] ^ words[j]).sum(axis=1)
+            ok = (order[i] == order[j]) & (d <= _MOST) & (ids[i] != ids[j])
+            i, j, d = i[ok], j[ok], d[ok]
+            swap = ids[i] > ids[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            sides = [pa.array(words[side, w].view(np.int64)) for side in (i, j) for w in range(_WORDS)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(d.astype(np.int32)), pa.array(np.zeros(len(i), bool)), *sides], names=names)
+
+    def edge(rows: pa.RecordBatch) -> pa.RecordBatch:
+        """Rows of a range's end under the pairs' names: rep, first word of the prefix, order, sketch, second word."""
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(1), pa.array(np.ones(len(rows), bool)), *(rows.column(4 + i) for i in range(_WORDS)), rows.column(3), *[none] * (_WORDS - 1)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: pa.RecordBatch | None = None
+        tail, seen = None, 0
         for batch in batches:
-            whole = batch if tail is None else pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
-            n = len(whole)
-            fresh = n - len(batch)
-            tail = whole.slice(max(0, n - AHEAD))
-            ids, order = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-            words = np.stack([whole.column(4 + i).to_numpy() for i in range(_WORDS)], axis=1).view(np.uint64)
-            for step in range(1, AHEAD + 1):
-                if n <= step:
-                    break
-                # pairs within the former batch's tail were compared with that batch
-                i = np.arange(max(0, fresh - step), n - step)
-                j = i + step
-                d = np.bitwise_count(words[i] ^ words[j]).sum(axis=1)
-                ok = (order[i] == order[j]) & (d <= _MOST) & (ids[i] != ids[j])
-                i, j, d = i[ok], j[ok], d[ok]
-                swap = ids[i] > ids[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                sides = [pa.array(words[side, w].view(np.int64)) for side in (i, j) for w in range(_WORDS)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(d.astype(np.int32)), *sides], names=names)
+            if seen < AHEAD:
+                yield edge(batch.slice(0, AHEAD - seen))
+            seen += len(batch)
+            whole = _joined(tail, batch)
+            fresh = len(whole) - len(batch)
+            yield from pairs(whole, fresh)
+            tail = whole.slice(max(0, len(whole) - AHEAD))
+        if tail is not None:
+            yield edge(tail)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield from pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0], 0)
 
     parts = max(int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = forest.repartitionByRange(parts, "o", "p0", "p1").sortWithinPartitions("o", "p0", "p1", "rep")
-    both = ", ".join([*(f"x{i} bigint" for i in range(_WORDS)), *(f"y{i} bigint" for i in range(_WORDS))])
-    return ranged.mapInArrow(run, f"a bigint, b bigint, d int, {both}").dropDuplicates(["a", "b"])
+    ranged = forest.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    schema = "a bigint, b bigint, d int, edge boolean, " + ", ".join([*(f"x{i} bigint" for i in range(_WORDS)), *(f"y{i} bigint" for i in range(_WORDS))])
+    near = cut(ranged.mapInArrow(run, schema))
+    # at most 2 x AHEAD rows a range
+    ends = near.where("edge").select(F.col("a").alias("rep"), F.col("d").alias("o"), F.col("b").alias("p0"), F.col("y0").alias("p1"), *(F.col(f"x{i}").alias(f"s{i}") for i in range(_WORDS)))
+    more = ends.distinct().coalesce(1).sortWithinPartitions(*keys).mapInArrow(across, schema)
+    out = cut(near.where("not edge").union(more).drop("edge").dropDuplicates(["a", "b"]))
+    forget(near)
+    return out
+
+
+def _words(rows: pa.RecordBatch) -> np.ndarray:
+    return np.stack([rows.column(4 + i).to_numpy() for i in range(_WORDS)], axis=1).view(np.uint64)
+
+
+def _joined(tail: pa.RecordBatch | None, batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch if tail is None or not len(tail) else pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
 
 
 def _both_ways(pairs: DataFrame, k: int = K) -> DataFrame:
@@ -175,8 +207,9 @@ def links(sets: DataFrame, key: str = "page_id", similarity: float = SIMILARITY)
     marked = sets.select(key, copy.alias("_c"))
     members = cut(marked.join(marked.groupBy("_c").agg(F.min(key).alias("rep")), "_c").select(key, "rep"))
     own = sets.join(members.where(F.col(key) == F.col("rep")).select(key), key, "left_semi").select(F.col(key).alias("rep"), "terms")
-    close = descend(cut(first_pairs(sketches(own)))).select("a", "b")
-    graph = _verified(close, own, similarity)
+    close = descend(first_pairs(sketches(own)))
+    graph = _verified(close.select("a", "b"), own, similarity)
+    forget(close)
     apart = _verified(bridges(own, connected_components(graph), similarity), own, similarity)
     return graph.union(apart), members
 
@@ -224,20 +257,64 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
 
 
+def _parities(terms: np.ndarray) -> bytes:
+    """The parity of the number of terms in each of some groups, at least 2.5 groups a term, as bits; a power of 2 of 64-bit words."""
+    words = 4
+    while words * 64 < 2.5 * len(terms):
+        words *= 2
+    odd = np.bincount((terms & np.uint64(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+class _Parities:
+    """The parities of a batch of records, folded to a common number of groups on demand."""
+
+    def __init__(self, column: pa.Array) -> None:
+        self.words = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) // 8
+        self.folded: dict[int, np.ndarray] = {}
+        self.place = np.empty(len(column), np.int64)
+        values = column.to_pylist()
+        self.groups = {}
+        for w in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == w)
+            self.place[at] = np.arange(len(at))
+            self.groups[w] = np.frombuffer(b"".join(values[i] for i in at.tolist()), np.uint64).reshape(len(at), w)
+
+    def _of(self, words: int) -> np.ndarray:
+        """All records' parities in so many words; rows of records with fewer are empty."""
+        if words not in self.folded:
+            out = np.zeros((len(self.words), words), np.uint64)
+            for w, held in self.groups.items():
+                if w >= words:
+                    out[self.words == w] = np.bitwise_xor.reduce(held.reshape(len(held), w // words, words), axis=1)
+            self.folded[words] = out
+        return self.folded[words]
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many groups pairs of records differ: no more than the terms that only one of the two holds."""
+        out = np.zeros(len(a), np.int64)
+        least = np.minimum(self.words[a], self.words[b])
+        for w in np.unique(least).tolist():
+            at = np.flatnonzero(least == w)
+            both = self._of(w)
+            out[at] = np.bitwise_count(both[a[at]] ^ both[b[at]]).sum(axis=1)
+        return out
+
+
 def bridges(own: DataFrame, label: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): every pair of different components that can reach the similarity, and few others.
 
     With terms in one order for all records, rarest first, two such records share a term within the first
     size - ceil(similarity x size) + 1 of either. A pair that meets in such a term is dropped only where its sizes, the
-    term's places (for its first shared term) or the parities of 256 groups of terms prove it to be under the similarity: each
+    term's places (for its first shared term) or the parities of groups of terms prove it to be under the similarity: each
     parity that differs stands for a term that only one holds. Terms of hot slots are compared in pairs of blocks.
     """
     counts = own.sparkSession.sparkContext.broadcast(_slots(own))  # SLOTS numbers, whatever the input
-    parity = [f"s{i}" for i in range(4)]
-    names = ["t", "i", "j", "side", "c", "rep", "size", "place", *parity]
+    names = ["t", "i", "j", "side", "c", "rep", "size", "place", "parities"]
 
     def spread(batch: pa.RecordBatch):
-        parts: list[list[np.ndarray]] = [[] for _ in names]
+        parts: list[list[np.ndarray]] = [[] for _ in names[:-1]]
+        bits: list[bytes] = []
         for rep, c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             terms = x.values.to_numpy().view(np.uint64)
             size = len(terms)
@@ -250,16 +327,16 @@ def bridges(own: DataFrame, label: DataFrame, similarity: float = SIMILARITY) ->
             other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             mine = own_block[again]
             n = len(again)
-            bits = np.packbits((np.bincount((terms & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
-            values = [terms[places[at]][again].view(np.int64), np.minimum(mine, other), np.maximum(mine, other), np.where(mine == other, 0, np.where(mine < other, 1, 2)), np.full(n, c), np.full(n, rep), np.full(n, size), at[again], *(np.full(n, v) for v in bits)]
+            values = [terms[places[at]][again].view(np.int64), np.minimum(mine, other), np.maximum(mine, other), np.where(mine == other, 0, np.where(mine < other, 1, 2)), np.full(n, c), np.full(n, rep), np.full(n, size), at[again]]
             for part, v in zip(parts, values, strict=True):
                 part.append(v)
+            bits += [_parities(terms)] * n
         if len(batch):
             whole = [np.concatenate(p) for p in parts]
-            kinds = [np.int64, *[np.int32] * 3, np.int64, np.int64, np.int32, np.int32, *[np.int64] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(w.astype(k)) for w, k in zip(whole, kinds, strict=True)], names=names)
+            kinds = [np.int64, *[np.int32] * 3, np.int64, np.int64, np.int32, np.int32]
+            yield pa.RecordBatch.from_arrays([*(pa.array(w.astype(k)) for w, k in zip(whole, kinds, strict=True)), pa.array(bits, pa.binary())], names=names)
 
-    schema = "t bigint, i int, j int, side int, c bigint, rep bigint, size int, place int, " + ", ".join(f"{c} bigint" for c in parity)
+    schema = "t bigint, i int, j int, side int, c bigint, rep bigint, size int, place int, parities binary"
     marked = own.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c"), "terms")
     postings = arrow_map(marked, spread, schema)
     sorted_ = postings.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "side", "c")
@@ -267,7 +344,7 @@ def bridges(own: DataFrame, label: DataFrame, similarity: float = SIMILARITY) ->
     def compare(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Pairs within whole groups of one term and block pair."""
         t, i, j, side, c, rep, size, place = (rows.column(k).to_numpy() for k in range(8))
-        words = np.stack([rows.column(8 + k).to_numpy() for k in range(4)], axis=1).view(np.uint64)
+        parities = _Parities(rows.column(8))
         n = len(t)
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         last = lambda starts: np.append(starts[1:], n)[np.searchsorted(starts, np.arange(n), side="right") - 1]
@@ -287,7 +364,7 @@ def bridges(own: DataFrame, label: DataFrame, similarity: float = SIMILARITY) ->
             need = both * (similarity / (1 + similarity)) - 1e-6
             ok = (np.minimum(size[a] - place[a], size[b] - place[b]) >= need) & (np.minimum(size[a], size[b]) >= need) & (c[a] != c[b])
             a, b, both = a[ok], b[ok], both[ok]
-            ok = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= both * ((1 - similarity) / (1 + similarity)) + 1e-6
+            ok = parities.differ(a, b) <= both * ((1 - similarity) / (1 + similarity)) + 1e-6
             x, y = rep[a[ok]], rep[b[ok]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
             s = e
@@ -297,7 +374,7 @@ def bridges(own: DataFrame, label: DataFrame, similarity: float = SIMILARITY) ->
         for batch in batches:
             if not len(batch):
                 continue
-            whole = batch if tail is None else pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+            whole = _joined(tail, batch)
             keys = [whole.column(k).to_numpy() for k in range(3)]
             rest = int(np.argmax(np.logical_and.reduce([k == k[-1] for k in keys])))  # sorted, so the last group is a suffix
             if rest:
@@ -309,31 +386,79 @@ def bridges(own: DataFrame, label: DataFrame, similarity: float = SIMILARITY) ->
     return sorted_.mapInArrow(run, "a bigint, b bigint").dropDuplicates(["a", "b"])
 
 
-def communities(graph: DataFrame, rounds: int = 8) -> DataFrame:
+def communities(graph: DataFrame, rounds: int = 32) -> DataFrame:
     """(node, community) of every node of weighted links (a, b, similarity), by moves of greatest modularity gain.
 
-    In each round a hashed half of the nodes moves, so neighbours don't swap for ever. Ties go to the smaller community.
+    Nodes move between their neighbours' communities until none can gain; then communities become the nodes of the
+    next level, until a level brings no move. In each round a hashed half of the nodes moves, so neighbours
+    don't swap for ever; a level of more than `rounds` rounds goes on to the next as it is. Ties go to the smaller community.
+    A node only ever moves along links, so a community never spans two components.
     """
-    ways = graph.select(F.col("a").alias("node"), F.col("b").alias("other"), F.col("similarity").alias("w"))
-    ways = cut(ways.union(ways.select(F.col("other"), F.col("node"), "w")))
-    degree = cut(ways.groupBy("node").agg(F.sum("w").alias("deg")))
-    twice = degree.agg(F.sum("deg")).first()[0]
-    label = degree.select("node", F.col("node").alias("community"))
-    if not twice:
-        return label
-    for r in range(rounds):
-        volume = label.join(degree, "node").groupBy("community").agg(F.sum("deg").alias("vol"))
-        towards = ways.join(label.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("w").alias("w"))
-        stay = label.select("node", "community", F.lit(0.0).alias("w"))
-        options = towards.union(stay).groupBy("node", "community").agg(F.sum("w").alias("w")).join(volume, "community").join(degree, "node").join(label.withColumnRenamed("community", "_own"), "node")
-        inside = F.when(F.col("community") == F.col("_own"), F.col("deg")).otherwise(0.0)
-        gain = F.col("w") - F.col("deg") * (F.col("vol") - inside) / F.lit(float(twice))
-        best = options.groupBy("node").agg(F.max_by("community", F.struct(F.round(gain, 9), -F.col("community"))).alias("_best"), F.first("_own").alias("_own"))
-        moves = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        old, label = label, cut(best.select("node", F.when(moves, F.col("_best")).otherwise(F.col("_own")).alias("community")))
-        if r:
+    ways = graph.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("similarity").alias("w"))
+    ways = cut(ways.union(ways.select("v", "u", "w")))
+    label = None
+    while True:
+        moved, own = _level(ways, rounds)
+        if label is None:
+            label = own
+        elif moved:
+            old, label = label, cut(label.join(own.withColumnRenamed("community", "_up"), F.col("community") == own["node"]).select(label["node"], F.col("_up").alias("community")))
             forget(old)
-    return label
+        if not moved:
+            return label
+        u, v = (own.select(F.col("node").alias(x), F.col("community").alias(f"c{x}")) for x in "uv")
+        old, ways = ways, cut(ways.join(u, "u").join(v, "v").groupBy("cu", "cv").agg(F.sum("w").alias("w")).select(F.col("cu").alias("u"), F.col("cv").alias("v"), "w"))
+        forget(old)
+        if own is not label:
+            forget(own)
+
+
+#: Copies of a community's volume, so that a community of a third of all nodes isn't joined in one task.
+_SALTS = 16
+
+
+def _level(ways: DataFrame, rounds: int) -> tuple[int, DataFrame]:
+    """The number of moves, and (node, community) after moves within one level. `ways` has every link both ways, and loops."""
+    degree = cut(ways.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("deg")))
+    twice = degree.agg(F.sum("deg")).first()[0]
+    label = cut(degree.select("node", F.col("node").alias("community"), F.lit(False).alias("wants"), F.lit(False).alias("moved")))
+    moved = 0
+    for r in range(rounds if twice else 0):
+        here = label.select("node", "community").join(degree, "node")
+        volume = here.groupBy("community").agg(F.sum("deg").alias("vol")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        towards = ways.where("u <> v").join(label.select(F.col("node").alias("v"), "community"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("w"))
+        options = towards.union(here.select("node", "community", F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
+        options = options.withColumn("_s", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int")).join(volume, ["community", "_s"]).join(here.withColumnRenamed("community", "_own"), "node")
+        stays = F.col("community") == F.col("_own")
+        gain = F.round(F.col("w") - F.col("deg") * (F.col("vol") - F.when(stays, F.col("deg")).otherwise(0.0)) / F.lit(float(twice)), 9)
+        best = options.groupBy("node").agg(F.max_by("community", F.struct(gain, -F.col("community"))).alias("_best"), F.max(gain).alias("_gain"), F.max(F.when(stays, gain)).alias("_stay"), F.first("_own").alias("_own"))
+        wants = F.col("_gain") > F.col("_stay")
+        moves = wants & (F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0)
+        old, label = label, cut(best.select("node", F.when(moves, F.col("_best")).otherwise(F.col("_own")).alias("community"), wants.alias("wants"), moves.alias("moved")))
+        forget(old)
+        wanted, now = label.agg(F.count_if("wants"), F.count_if("moved")).first()
+        moved += now
+        if not wanted:
+            break
+    return moved, label.select("node", "community")
+
+
+def modularity(graph: DataFrame, label: DataFrame) -> float:
+    """Of a labelling (node, community) of links (a, b, similarity); 0 without links."""
+    ends = graph.join(label.select(F.col("node").alias("a"), F.col("community").alias("_ca")), "a").join(label.select(F.col("node").alias("b"), F.col("community").alias("_cb")), "b")
+    inside, whole = ends.agg(F.sum(F.when(F.col("_ca") == F.col("_cb"), F.col("similarity"))), F.sum("similarity")).first()
+    if not whole:
+        return 0.0
+    volume = ends.select(F.col("_ca").alias("c"), "similarity").union(ends.select("_cb", "similarity")).groupBy("c").agg(F.sum("similarity").alias("vol"))
+    return (inside or 0.0) / whole - volume.agg(F.sum(F.pow("vol", F.lit(2)))).first()[0] / (2 * whole) ** 2
+
+
+def joined(graph: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, component): communities that a link joins, directly or through others, are one component."""
+    a, b = (label.select(F.col("node").alias(x), F.col("community").alias(f"c{x}")) for x in "ab")
+    between = graph.join(a, "a").join(b, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    whole = connected_components(between)
+    return label.join(whole.select(F.col("node").alias("community"), "component"), "community", "left").select("node", F.coalesce("component", "community").alias("component"))
 
 
 def clusters(pages: DataFrame, typical: int = 3) -> DataFrame:
@@ -356,10 +481,13 @@ def clusters(pages: DataFrame, typical: int = 3) -> DataFrame:
 
 
 def found(pages: DataFrame) -> DataFrame:
-    """p6_found: the pairs of pages that are joined by links, directly or through others."""
+    """p6_found: the pairs of pages that are joined by links, directly or through others.
+
+    Communities may split what is joined by few links, so they are put together again by the links between them.
+    """
     sets = cut(term_sets(counted_pages(pages, "title", "content").where("content is not null"), "page_id", "title", "content"))
     graph, members = links(sets)
-    label = connected_components(graph)
+    label = joined(graph, communities(graph))
     grouped = cut(members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("page_id", F.coalesce("component", "rep").alias("_g")))
     x, y = grouped.select(F.col("page_id").alias("page_a"), "_g"), grouped.select(F.col("page_id").alias("page_b"), "_g")
     return x.join(y, "_g").where("page_a < page_b").select("page_a", "page_b")

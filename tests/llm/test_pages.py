@@ -177,6 +177,51 @@ def test_communities_split_a_bridge(spark):
     assert clusters.communities(spark.createDataFrame([], "a bigint, b bigint, similarity double")).count() == 0
 
 
+def ring(spark, n, size=5):
+    """Cliques in a ring, each linked to the next."""
+    links = [(c * size + i, c * size + j) for c in range(n) for j in range(size) for i in range(j)] + [(c * size + size - 1, (c + 1) % n * size) for c in range(n)]
+    return spark.createDataFrame([(min(x), max(x), 1.0) for x in links], "a bigint, b bigint, similarity double")
+
+
+def test_communities_of_a_ring(spark):
+    for n, most in ((12, 1), (30, 3)):
+        graph = ring(spark, n)
+        label = clusters.cut(clusters.communities(graph))
+        got = {r["node"]: r["community"] for r in label.collect()}
+        assert all(len({got[c * 5 + i] for i in range(5)}) == 1 for c in range(n))  # no clique is split
+        assert n / most <= len(set(got.values())) <= n
+        whole = n * 11
+        volume = {}
+        for i, c in got.items():
+            volume[c] = volume.get(c, 0) + (5 if i % 5 in (0, 4) else 4)
+        inside = sum(got[r["a"]] == got[r["b"]] for r in graph.collect())
+        assert clusters.modularity(graph, label) == pytest.approx(inside / whole - sum(v * v for v in volume.values()) / (2 * whole) ** 2)
+        assert {r["component"] for r in clusters.joined(graph, label).collect()} == {min(got.values())}
+
+
+def test_first_pairs_do_not_depend_on_ranges(spark):
+    sets = clusters.term_sets(clusters.counted_pages(pages(spark), "title", "content"), "page_id", "title", "content").withColumnRenamed("page_id", "rep")
+    found = []
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append({(r["a"], r["b"]) for r in clusters.first_pairs(clusters.sketches(sets)).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] and found[0] <= found[1]
+
+
+def test_parities_bound_what_differs():
+    rng = random.Random(8)
+    sets = [np.array(rng.sample(range(1, 1 << 40), rng.choice((30, 90, 150, 400, 900))), np.uint64) for _ in range(30)]
+    sets += [np.concatenate([x[: len(x) // 2], y[: len(y) // 2]]) for x, y in zip(sets, sets[1:], strict=False)]
+    held = clusters._Parities(clusters.pa.array([clusters._parities(x) for x in sets], clusters.pa.binary()))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    true = np.array([len(set(sets[i].tolist()) ^ set(sets[j].tolist())) for i, j in zip(a, b, strict=True)])
+    got = held.differ(a, b)
+    size = np.array([len(x) for x in sets])
+    alike = (true > 0) & (np.maximum(size[a], size[b]) <= 2 * np.minimum(size[a], size[b]))
+    assert (got <= true).all() and (got[alike] >= true[alike] / 2).mean() > 0.8
+
+
 def brute_cuts(t, limit, least, overlap):
     n, out, s, white = len(t), [], 0, " \t\r\n"
     while True:
