@@ -34,6 +34,8 @@ K, ROUNDS, FLOOR = 24, 3, 0.36
 SENT = 100_000
 #: Slots that terms are counted in, to order them by rarity, and records of a slot from which its terms are compared in blocks.
 SLOTS, HOT = 1 << 20, 4096
+#: Links of a component that one task may hold.
+LOCAL = 1 << 17
 #: Pairs that a task compares at once.
 STEP = 1 << 19
 
@@ -201,8 +203,11 @@ def descend(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return found
 
 
-def links(sets: DataFrame, key: str = "page_id", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Verified links of representatives (a, b, similarity), and membership (key, rep). `sets` is from a written table."""
+def links(sets: DataFrame, key: str = "page_id", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified links of representatives (a, b, similarity), membership (key, rep), and components (node, component) of the links.
+
+    `sets` is from a written table.
+    """
     copy = F.struct(F.xxhash64("terms").alias("h"), F.hash("terms").alias("g"), F.size("terms").alias("n"))
     marked = sets.select(key, copy.alias("_c"))
     members = cut(marked.join(marked.groupBy("_c").agg(F.min(key).alias("rep")), "_c").select(key, "rep"))
@@ -210,8 +215,14 @@ def links(sets: DataFrame, key: str = "page_id", similarity: float = SIMILARITY)
     close = descend(first_pairs(sketches(own)))
     graph = _verified(close.select("a", "b"), own, similarity)
     forget(close)
-    apart = _verified(bridges(own, connected_components(graph), similarity), own, similarity)
-    return graph.union(apart), members
+    parts = cut(connected_components(graph))
+    apart = _verified(bridges(own, parts, similarity), own, similarity)
+    if apart.isEmpty():
+        return graph, members, parts
+    # a bridge's end may have had no link before
+    ends = apart.select(F.col("a").alias("node")).union(apart.select("b")).distinct()
+    label = ends.join(parts, "node", "full").select("node", F.coalesce("component", "node").alias("community"))
+    return cut(graph.union(apart)), members, cut(joined(apart, label))
 
 
 def _verified(close: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
@@ -386,23 +397,99 @@ def bridges(own: DataFrame, label: DataFrame, similarity: float = SIMILARITY) ->
     return sorted_.mapInArrow(run, "a bigint, b bigint").dropDuplicates(["a", "b"])
 
 
-def communities(graph: DataFrame, rounds: int = 32) -> DataFrame:
-    """(node, community) of every node of weighted links (a, b, similarity), by moves of greatest modularity gain.
+def communities(graph: DataFrame, parts: DataFrame | None = None, local: int = LOCAL, rounds: int = 32) -> DataFrame:
+    """(node, community) of every node of weighted links (a, b, similarity), by moves of greatest modularity gain; a written table.
 
     Nodes move between their neighbours' communities until none can gain; then communities become the nodes of the
-    next level, until a level brings no move. In each round a hashed half of the nodes moves, so neighbours
-    don't swap for ever; a level of more than `rounds` rounds goes on to the next as it is. Ties go to the smaller community.
-    A node only ever moves along links, so a community never spans two components.
+    next level, until a level brings no move. A node only ever moves along links, so a community never
+    spans two components (`parts`: node, component). A component of at most `local` links is
+    worked on by one task, node by node. In larger ones all nodes move at once, in each round a hashed half of them, so
+    neighbours don't swap for ever; a level of more than `rounds` rounds goes on to the next as it is. Ties go to the smaller community.
     """
-    ways = graph.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("similarity").alias("w"))
-    ways = cut(ways.union(ways.select("v", "u", "w")))
+    parts = connected_components(graph) if parts is None else parts
+    placed = cut(graph.join(parts.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b", F.col("similarity").alias("w")))
+    whole = placed.agg(F.sum("w")).first()[0] or 0.0
+    sizes = placed.groupBy("component").count()
+    large = cut(sizes.where(F.col("count") > local).select("component"))
+    small = placed.join(large, "component", "left_anti").repartition("component").sortWithinPartitions("component", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail: pa.RecordBatch | None = None
+
+        def solve(rows: pa.RecordBatch) -> pa.RecordBatch:
+            c, a, b, w = (rows.column(k).to_numpy() for k in range(4))
+            nodes, labels = [], []
+            edges = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1).tolist(), len(c)]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                for node, label in _louvain(a[s:e].tolist(), b[s:e].tolist(), w[s:e].tolist(), whole).items():
+                    nodes.append(node)
+                    labels.append(label)
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(labels, pa.int64())], names=["node", "community"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = _joined(tail, batch)
+            c = held.column(0).to_numpy()
+            rest = int(np.searchsorted(c, c[-1]))
+            if rest:
+                yield solve(held.slice(0, rest))
+            tail = held.slice(rest)
+        if tail is not None:
+            yield solve(tail)
+
+    label = small.mapInArrow(run, "node bigint, community bigint")
+    if large.isEmpty():
+        return cut(label)
+    return cut(label.union(_by_rounds(placed.join(large, "component", "left_semi"), whole, rounds)))
+
+
+def _louvain(a: list[int], b: list[int], w: list[float], whole: float) -> dict[int, int]:
+    """The community of each node of one component's links; `whole` is the weight of all links of the graph."""
+    near: dict[int, dict[int, float]] = {}
+    for x, y, z in zip(a, b, w, strict=True):
+        near.setdefault(x, {})[y] = z
+        near.setdefault(y, {})[x] = z
+    degree = {x: sum(v.values()) for x, v in near.items()}
+    label = {x: x for x in near}
+    while True:
+        own, volume, going, moved = {x: x for x in near}, dict(degree), True, False
+        while going:
+            going = False
+            for x in sorted(near):
+                at, k = own[x], degree[x]
+                towards = {at: 0.0}
+                for y, z in near[x].items():
+                    if y != x:
+                        towards[own[y]] = towards.get(own[y], 0.0) + z
+                volume[at] -= k
+                gain = {c: round(z - k * volume[c] / (2 * whole), 9) for c, z in towards.items()}
+                best = min(gain, key=lambda c: (-gain[c], c))
+                if gain[best] > gain[at]:
+                    own[x], going, moved = best, True, True
+                volume[own[x]] += k
+        if not moved:
+            return label
+        label = {x: own[c] for x, c in label.items()}
+        up: dict[int, dict[int, float]] = {}
+        for x, v in near.items():
+            row = up.setdefault(own[x], {})
+            for y, z in v.items():
+                row[own[y]] = row.get(own[y], 0.0) + z
+        near = up
+        degree = {x: sum(v.values()) for x, v in near.items()}
+
+
+def _by_rounds(links: DataFrame, whole: float, rounds: int) -> DataFrame:
+    """(node, community) of components that no task holds. `links` is (a, b, w)."""
+    ways = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").union(links.select("b", "a", "w")))
     label = None
     while True:
-        moved, own = _level(ways, rounds)
+        moved, own = _level(ways, 2 * whole, rounds)
         if label is None:
             label = own
         elif moved:
-            old, label = label, cut(label.join(own.withColumnRenamed("community", "_up"), F.col("community") == own["node"]).select(label["node"], F.col("_up").alias("community")))
+            old, label = label, cut(label.join(own.select(F.col("node").alias("community"), F.col("community").alias("_up")), "community").select("node", F.col("_up").alias("community")))
             forget(old)
         if not moved:
             return label
@@ -417,20 +504,19 @@ def communities(graph: DataFrame, rounds: int = 32) -> DataFrame:
 _SALTS = 16
 
 
-def _level(ways: DataFrame, rounds: int) -> tuple[int, DataFrame]:
+def _level(ways: DataFrame, twice: float, rounds: int) -> tuple[int, DataFrame]:
     """The number of moves, and (node, community) after moves within one level. `ways` has every link both ways, and loops."""
     degree = cut(ways.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("deg")))
-    twice = degree.agg(F.sum("deg")).first()[0]
     label = cut(degree.select("node", F.col("node").alias("community"), F.lit(False).alias("wants"), F.lit(False).alias("moved")))
     moved = 0
-    for r in range(rounds if twice else 0):
+    for r in range(rounds):
         here = label.select("node", "community").join(degree, "node")
         volume = here.groupBy("community").agg(F.sum("deg").alias("vol")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         towards = ways.where("u <> v").join(label.select(F.col("node").alias("v"), "community"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("w"))
         options = towards.union(here.select("node", "community", F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
         options = options.withColumn("_s", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int")).join(volume, ["community", "_s"]).join(here.withColumnRenamed("community", "_own"), "node")
         stays = F.col("community") == F.col("_own")
-        gain = F.round(F.col("w") - F.col("deg") * (F.col("vol") - F.when(stays, F.col("deg")).otherwise(0.0)) / F.lit(float(twice)), 9)
+        gain = F.round(F.col("w") - F.col("deg") * (F.col("vol") - F.when(stays, F.col("deg")).otherwise(0.0)) / F.lit(twice), 9)
         best = options.groupBy("node").agg(F.max_by("community", F.struct(gain, -F.col("community"))).alias("_best"), F.max(gain).alias("_gain"), F.max(F.when(stays, gain)).alias("_stay"), F.first("_own").alias("_own"))
         wants = F.col("_gain") > F.col("_stay")
         moves = wants & (F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0)
@@ -457,6 +543,9 @@ def joined(graph: DataFrame, label: DataFrame) -> DataFrame:
     """(node, component): communities that a link joins, directly or through others, are one component."""
     a, b = (label.select(F.col("node").alias(x), F.col("community").alias(f"c{x}")) for x in "ab")
     between = graph.join(a, "a").join(b, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    between = cut(between)
+    if between.isEmpty():
+        return label.withColumnRenamed("community", "component")
     whole = connected_components(between)
     return label.join(whole.select(F.col("node").alias("community"), "component"), "community", "left").select("node", F.coalesce("component", "community").alias("component"))
 
@@ -467,8 +556,8 @@ def clusters(pages: DataFrame, typical: int = 3) -> DataFrame:
     A representative's copies count as members at full weight; ties go to the smaller page. The community's id is its smallest page.
     """
     sets = cut(term_sets(counted_pages(pages, "title", "content").where("content is not null"), "page_id", "title", "content"))
-    graph, members = links(sets)
-    label = communities(graph)
+    graph, members, parts = links(sets)
+    label = communities(graph, parts)
     inner = graph.join(label.select(F.col("node").alias("a"), F.col("community").alias("_ca")), "a").join(label.select(F.col("node").alias("b"), F.col("community").alias("_cb")), "b").where("_ca = _cb")
     weight = inner.select(F.col("a").alias("rep"), "similarity").union(inner.select("b", "similarity")).groupBy("rep").agg(F.sum("similarity").alias("weight"))
     copies = members.groupBy("rep").agg(F.count("*").alias("_copies"))
@@ -486,8 +575,8 @@ def found(pages: DataFrame) -> DataFrame:
     Communities may split what is joined by few links, so they are put together again by the links between them.
     """
     sets = cut(term_sets(counted_pages(pages, "title", "content").where("content is not null"), "page_id", "title", "content"))
-    graph, members = links(sets)
-    label = joined(graph, communities(graph))
+    graph, members, parts = links(sets)
+    label = joined(graph, communities(graph, parts))
     grouped = cut(members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("page_id", F.coalesce("component", "rep").alias("_g")))
     x, y = grouped.select(F.col("page_id").alias("page_a"), "_g"), grouped.select(F.col("page_id").alias("page_b"), "_g")
     return x.join(y, "_g").where("page_a < page_b").select("page_a", "page_b")
