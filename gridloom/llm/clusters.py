@@ -19,9 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from xxhash import xxh3_64_intdigest
 
-from gridloom.llm.common import BASE, arrow_map, counted_pages, mix
-from gridloom.llm.distinctive import term_vectors
+
+from gridloom.llm.common import BASE, TERM, arrow_map, counted_pages, list_array, mix
 from gridloom.operators.components import connected_components
 from gridloom.session import cut, forget
 
@@ -56,9 +57,20 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
 
 
 def term_sets(docs: DataFrame, key: str, *texts: str, least: int = LEAST_TERMS) -> DataFrame:
-    """(key, terms): the distinct terms of a record as ascending 64-bit hashes."""
-    rows = term_vectors(docs, key, *texts).where(F.size("terms") >= least)
-    return rows.select(key, F.array_sort(F.transform("terms", lambda t: F.xxhash64(t))).alias("terms"))
+    """(key, terms): the distinct terms of a record's texts, joined by blanks, as ascending 64-bit hashes."""
+
+    def run(batch: pa.RecordBatch):
+        columns = [c.to_pylist() for c in batch.columns[1:]]
+        at, sets = [], []
+        for i, values in enumerate(zip(*columns, strict=True)):
+            held = set(TERM.findall(" ".join(v or "" for v in values).lower()))
+            if len(held) >= least:
+                at.append(i)
+                sets.append(np.sort(np.fromiter((xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in held), np.uint64, len(held)).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), list_array(sets, pa.int64())], names=[key, "terms"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return arrow_map(docs.select(key, *texts), run, f"{key} {kind}, terms array<bigint>")
 
 
 def _differ(left: str, right: str):
@@ -268,28 +280,29 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
 
 
-def _parities(terms: np.ndarray) -> bytes:
+def _parities(terms: np.ndarray) -> np.ndarray:
     """The parity of the number of terms in each of some groups, at least 2.5 groups a term, as bits; a power of 2 of 64-bit words."""
     words = 4
     while words * 64 < 2.5 * len(terms):
         words *= 2
     odd = np.bincount((terms & np.uint64(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8))
+
+
+#: What a record sends to each of its terms, before its parities.
+_HEAD = np.dtype([("c", "<i8"), ("rep", "<i8"), ("side", "<i4"), ("size", "<i4"), ("place", "<i4")])
 
 
 class _Parities:
-    """The parities of a batch of records, folded to a common number of groups on demand."""
+    """The parities of a batch of records (their bytes one after another), folded to a common number of groups on demand."""
 
-    def __init__(self, column: pa.Array) -> None:
-        self.words = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) // 8
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        self.words = (ends - starts) // 8
         self.folded: dict[int, np.ndarray] = {}
-        self.place = np.empty(len(column), np.int64)
-        values = column.to_pylist()
         self.groups = {}
         for w in np.unique(self.words).tolist():
             at = np.flatnonzero(self.words == w)
-            self.place[at] = np.arange(len(at))
-            self.groups[w] = np.frombuffer(b"".join(values[i] for i in at.tolist()), np.uint64).reshape(len(at), w)
+            self.groups[w] = np.ascontiguousarray(data[starts[at][:, None] + np.arange(8 * w)]).view(np.uint64)
 
     def _of(self, words: int) -> np.ndarray:
         """All records' parities in so many words; rows of records with fewer are empty."""
@@ -321,11 +334,9 @@ def bridges(own: DataFrame, label: DataFrame, similarity: float = SIMILARITY) ->
     parity that differs stands for a term that only one holds. Terms of hot slots are compared in pairs of blocks.
     """
     counts = own.sparkSession.sparkContext.broadcast(_slots(own))  # SLOTS numbers, whatever the input
-    names = ["t", "i", "j", "side", "c", "rep", "size", "place", "parities"]
 
     def spread(batch: pa.RecordBatch):
-        parts: list[list[np.ndarray]] = [[] for _ in names[:-1]]
-        bits: list[bytes] = []
+        keys, rows, sizes = [], [], []
         for rep, c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             terms = x.values.to_numpy().view(np.uint64)
             size = len(terms)
@@ -333,31 +344,41 @@ def bridges(own: DataFrame, label: DataFrame, similarity: float = SIMILARITY) ->
             places = np.lexsort((terms, held))[: size - int(np.ceil(similarity * size - 1e-9)) + 1]
             at = np.flatnonzero(held[places] > 1)  # a term of one record meets nobody
             blocks = -(-held[places[at]] // HOT)
-            own_block = int(mix(np.array([rep], np.int64).view(np.uint64))[0] % np.uint64(1 << 31)) % blocks
+            mine = int(mix(np.array([rep], np.int64).view(np.uint64))[0] % np.uint64(1 << 31)) % blocks
             again = np.repeat(np.arange(len(at)), blocks)
             other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            mine = own_block[again]
-            n = len(again)
-            values = [terms[places[at]][again].view(np.int64), np.minimum(mine, other), np.maximum(mine, other), np.where(mine == other, 0, np.where(mine < other, 1, 2)), np.full(n, c), np.full(n, rep), np.full(n, size), at[again]]
-            for part, v in zip(parts, values, strict=True):
-                part.append(v)
-            bits += [_parities(terms)] * n
+            mine = mine[again]
+            head = np.empty(len(again), _HEAD)
+            head["c"], head["rep"], head["size"], head["place"] = c, rep, size, at[again]
+            head["side"] = np.where(mine == other, 0, np.where(mine < other, 1, 2))
+            pair = np.minimum(mine, other).astype(np.uint64) << np.uint64(32) | np.maximum(mine, other).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                # a term and a pair of blocks; should two keys be equal, their records are compared for nothing
+                keys.append(mix(terms[places[at]][again] + pair * BASE).view(np.int64))
+            bits = np.broadcast_to(_parities(terms), (len(again), len(_parities(terms))))
+            rows.append(np.concatenate([head.view(np.uint8).reshape(len(again), _HEAD.itemsize), bits], axis=1).ravel())
+            sizes.append(np.full(len(again), _HEAD.itemsize + bits.shape[1], np.int32))
         if len(batch):
-            whole = [np.concatenate(p) for p in parts]
-            kinds = [np.int64, *[np.int32] * 3, np.int64, np.int64, np.int32, np.int32]
-            yield pa.RecordBatch.from_arrays([*(pa.array(w.astype(k)) for w, k in zip(whole, kinds, strict=True)), pa.array(bits, pa.binary())], names=names)
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate(rows).tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), packed], names=["k", "x"])
 
-    schema = "t bigint, i int, j int, side int, c bigint, rep bigint, size int, place int, parities binary"
     marked = own.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c"), "terms")
-    postings = arrow_map(marked, spread, schema)
-    sorted_ = postings.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "side", "c")
+    sorted_ = arrow_map(marked, spread, "k bigint, x binary").repartition("k").sortWithinPartitions("k")
 
     def compare(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Pairs within whole groups of one term and block pair."""
-        t, i, j, side, c, rep, size, place = (rows.column(k).to_numpy() for k in range(8))
-        parities = _Parities(rows.column(8))
-        n = len(t)
-        new = np.concatenate([[True], (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        """Pairs within whole groups of one key."""
+        column = rows.column(1)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8)
+        head = np.ascontiguousarray(data[offsets[:-1, None] + np.arange(_HEAD.itemsize)]).view(_HEAD).ravel()
+        k = rows.column(0).to_numpy()
+        order = np.lexsort((head["c"], head["side"], k))
+        k, head = k[order], head[order]
+        c, rep, side, size, place = (np.ascontiguousarray(head[f]) for f in ("c", "rep", "side", "size", "place"))
+        parities = _Parities(data, offsets[:-1][order] + _HEAD.itemsize, offsets[1:][order])
+        n = len(k)
+        new = np.concatenate([[True], k[1:] != k[:-1]])
         last = lambda starts: np.append(starts[1:], n)[np.searchsorted(starts, np.arange(n), side="right") - 1]
         end = last(np.flatnonzero(new))
         sides = last(np.flatnonzero(new | np.concatenate([[True], side[1:] != side[:-1]])))
@@ -386,8 +407,8 @@ def bridges(own: DataFrame, label: DataFrame, similarity: float = SIMILARITY) ->
             if not len(batch):
                 continue
             whole = _joined(tail, batch)
-            keys = [whole.column(k).to_numpy() for k in range(3)]
-            rest = int(np.argmax(np.logical_and.reduce([k == k[-1] for k in keys])))  # sorted, so the last group is a suffix
+            k = whole.column(0).to_numpy()
+            rest = int(np.searchsorted(k, k[-1]))
             if rest:
                 yield from compare(whole.slice(0, rest))
             tail = whole.slice(rest)
