@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh3_64_intdigest
 
-
 from gridloom.llm.common import BASE, TERM, arrow_map, counted_pages, list_array, mix
 from gridloom.operators.components import connected_components
 from gridloom.session import cut, forget
@@ -29,8 +28,8 @@ from gridloom.session import cut, forget
 SIMILARITY, LEAST_TERMS = 0.5, 30
 #: Minwise values (a bit of each is kept), orders of the forest, values of an order's prefix, followers each row is compared with.
 VALUES, ORDERS, PREFIX, AHEAD = 256, 24, 6, 4
-#: Neighbours of a record in the graph, rounds of descent, and the estimated similarity under which a pair isn't close.
-K, ROUNDS, FLOOR = 24, 3, 0.36
+#: Neighbours of a record in the graph, rounds of descent, share of neighbours whose change goes on, and the estimated similarity under which a pair isn't close.
+K, ROUNDS, CHANGE, FLOOR = 24, 3, 0.001, 0.36
 #: Ids that are sent to every task at most (8 bytes each); beyond, sets are joined by shuffle.
 SENT = 100_000
 #: Slots that terms are counted in, to order them by rarity, and records of a slot from which its terms are compared in blocks.
@@ -87,7 +86,7 @@ _BITS_SCHEMA = ", ".join(f"{c} bigint" for c in _BITS)
 
 
 def sketches(sets: DataFrame) -> DataFrame:
-    """(rep, order, p0.., s0..): a row for each order of the forest, with the prefix it is sorted by and the bits."""
+    """(rep, o, p0, p1, s0..): a row for each order of the forest, with the prefix it is sorted by and the bits."""
 
     def run(batch: pa.RecordBatch):
         n = len(batch)
@@ -96,24 +95,23 @@ def sketches(sets: DataFrame) -> DataFrame:
         values = np.stack([minwise(np.asarray(x.values.to_numpy()).view(np.uint64)) for x in batch.column(1)])
         bits = np.packbits((values & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
         rng = np.random.default_rng(11)
-        columns: list[list[np.ndarray]] = [[], [], []]
+        prefixes = np.empty((n, ORDERS, 2), np.int64)
         for order in range(ORDERS):
             picked = rng.permutation(VALUES)[:PREFIX]
             # 20 bits a value, three values a word
-            words = []
-            for j in range(0, PREFIX, 3):
+            for w in range(2):
                 word = np.zeros(n, np.uint64)
-                for c in picked[j : j + 3]:
+                for c in picked[3 * w : 3 * w + 3]:
                     word = word << np.uint64(20) | (values[:, c] >> np.uint64(44))
-                words.append(word.view(np.int64))
-            columns[0].append(np.full(n, order, np.int32))
-            columns[1].append(words[0])
-            columns[2].append(words[1])
-        reps = np.tile(batch.column(0).to_numpy(), ORDERS)
-        arrays = [pa.array(reps), *(pa.array(np.concatenate(c)) for c in columns), *(pa.array(np.tile(bits[:, i], ORDERS)) for i in range(_WORDS))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["rep", "o", "p0", "p1", *_BITS])
+                prefixes[:, order, w] = word.view(np.int64)
+        ends = pa.array(np.arange(n + 1, dtype=np.int32) * ORDERS)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(prefixes[:, :, w].ravel())) for w in range(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists, *(pa.array(bits[:, i].copy()) for i in range(_WORDS))], names=["rep", "p0", "p1", *_BITS])
 
-    return arrow_map(sets, run, f"rep bigint, o int, p0 bigint, p1 bigint, {_BITS_SCHEMA}")
+    # written, for sorting by range reads it twice
+    rows = cut(arrow_map(sets, run, f"rep bigint, p0 array<bigint>, p1 array<bigint>, {_BITS_SCHEMA}"))
+    orders = F.arrays_zip(F.sequence(F.lit(0), F.lit(ORDERS - 1)).alias("o"), "p0", "p1")
+    return rows.select("rep", F.explode(orders).alias("_o"), *_BITS).select("rep", F.col("_o.o").alias("o"), "_o.p0", "_o.p1", *_BITS)
 
 
 def first_pairs(forest: DataFrame) -> DataFrame:
@@ -193,14 +191,16 @@ def _both_ways(pairs: DataFrame, k: int = K) -> DataFrame:
     return ahead.union(back).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def descend(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def descend(pairs: DataFrame, records: int, rounds: int = ROUNDS) -> DataFrame:
     """All close pairs after rounds of neighbour descent: neighbours of one record are compared with each other.
 
-    A record brings at most K x K pairs to a round, hubs included. Stops early once a round finds nothing new.
-    `pairs` is a written table, which is removed once it isn't needed.
+    A record brings at most K x K pairs to a round, hubs included. Ends early once a round adds fewer pairs than CHANGE of all
+    records' K neighbours; links that it leaves between components are found by `bridges`. `pairs` is a written table, which is
+    removed once it isn't needed.
     """
     found = pairs
     n = found.count()
+    least = CHANGE * K * records
     for _ in range(rounds):
         near = _both_ways(found)
         one = near.select("u", F.col("v").alias("a"), *(F.col(f"s{i}").alias(f"x{i}") for i in range(_WORDS)))
@@ -210,7 +210,7 @@ def descend(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         old, found = found, cut(found.union(met).dropDuplicates(["a", "b"]))
         forget(old)
         before, n = n, found.count()
-        if n == before:
+        if n - before <= least:
             break
     return found
 
@@ -224,7 +224,7 @@ def links(sets: DataFrame, key: str = "page_id", similarity: float = SIMILARITY)
     marked = sets.select(key, copy.alias("_c"))
     members = cut(marked.join(marked.groupBy("_c").agg(F.min(key).alias("rep")), "_c").select(key, "rep"))
     own = sets.join(members.where(F.col(key) == F.col("rep")).select(key), key, "left_semi").select(F.col(key).alias("rep"), "terms")
-    close = descend(first_pairs(sketches(own)))
+    close = descend(first_pairs(sketches(own)), own.count())
     graph = _verified(close.select("a", "b"), own, similarity)
     forget(close)
     parts = cut(connected_components(graph))
@@ -280,13 +280,18 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
 
 
-def _parities(terms: np.ndarray) -> np.ndarray:
-    """The parity of the number of terms in each of some groups, at least 2.5 groups a term, as bits; a power of 2 of 64-bit words."""
-    words = 4
-    while words * 64 < 2.5 * len(terms):
-        words *= 2
-    odd = np.bincount((terms & np.uint64(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
-    return np.packbits(odd.astype(np.uint8))
+def _parities(terms: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of records with so many terms each, one after another: a number of words, the records that have it, and their bits.
+
+    A bit is the parity of the number of terms in a group; there are at least 2.5 groups a term, in a power of 2 of 64-bit words.
+    """
+    words = 1 << np.maximum(2, np.ceil(np.log2(np.maximum(sizes, 1) * 2.5 / 64)).astype(np.int64))
+    for w in np.unique(words).tolist():
+        some = np.flatnonzero(words == w)
+        inside = np.repeat(words == w, sizes)
+        at = np.repeat(np.arange(len(some)), sizes[some]) * (w * 64) + (terms[inside] & np.uint64(w * 64 - 1)).astype(np.int64)
+        odd = np.bincount(at, minlength=len(some) * w * 64) & 1
+        yield w, some, np.packbits(odd.astype(np.uint8)).reshape(len(some), w * 8)
 
 
 #: What a record sends to each of its terms, before its parities.
@@ -336,32 +341,39 @@ def bridges(own: DataFrame, label: DataFrame, similarity: float = SIMILARITY) ->
     counts = own.sparkSession.sparkContext.broadcast(_slots(own))  # SLOTS numbers, whatever the input
 
     def spread(batch: pa.RecordBatch):
-        keys, rows, sizes = [], [], []
-        for rep, c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            terms = x.values.to_numpy().view(np.uint64)
-            size = len(terms)
-            held = counts.value[_slot(terms)]
-            places = np.lexsort((terms, held))[: size - int(np.ceil(similarity * size - 1e-9)) + 1]
-            at = np.flatnonzero(held[places] > 1)  # a term of one record meets nobody
-            blocks = -(-held[places[at]] // HOT)
-            mine = int(mix(np.array([rep], np.int64).view(np.uint64))[0] % np.uint64(1 << 31)) % blocks
-            again = np.repeat(np.arange(len(at)), blocks)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            mine = mine[again]
-            head = np.empty(len(again), _HEAD)
-            head["c"], head["rep"], head["size"], head["place"] = c, rep, size, at[again]
-            head["side"] = np.where(mine == other, 0, np.where(mine < other, 1, 2))
-            pair = np.minimum(mine, other).astype(np.uint64) << np.uint64(32) | np.maximum(mine, other).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                # a term and a pair of blocks; should two keys be equal, their records are compared for nothing
-                keys.append(mix(terms[places[at]][again] + pair * BASE).view(np.int64))
-            bits = np.broadcast_to(_parities(terms), (len(again), len(_parities(terms))))
-            rows.append(np.concatenate([head.view(np.uint8).reshape(len(again), _HEAD.itemsize), bits], axis=1).ravel())
-            sizes.append(np.full(len(again), _HEAD.itemsize + bits.shape[1], np.int32))
-        if len(batch):
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate(rows).tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), packed], names=["k", "x"])
+        if not len(batch):
+            return
+        sizes = np.diff(batch.column(2).offsets.to_numpy())
+        terms = batch.column(2).flatten().to_numpy().view(np.uint64)
+        row = np.repeat(np.arange(len(batch)), sizes)
+        held = counts.value[_slot(terms)]
+        order = np.lexsort((terms, held, row))
+        place = np.arange(len(terms)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        prefix = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+        own_terms, own_held = terms[order], held[order]
+        at = np.flatnonzero((place < prefix[row]) & (own_held > 1))  # a term of one record meets nobody
+        blocks = -(-own_held[at] // HOT)
+        reps = batch.column(0).to_numpy()
+        mine = ((mix(reps.view(np.uint64)) % np.uint64(1 << 31)).astype(np.int64))[row[at]] % blocks
+        again = np.repeat(np.arange(len(at)), blocks)
+        other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        at, mine = at[again], mine[again]
+        head = np.empty(len(at), _HEAD)
+        head["c"], head["rep"], head["size"], head["place"] = batch.column(1).to_numpy()[row[at]], reps[row[at]], sizes[row[at]], place[at]
+        head["side"] = np.where(mine == other, 0, np.where(mine < other, 1, 2))
+        pair = np.minimum(mine, other).astype(np.uint64) << np.uint64(32) | np.maximum(mine, other).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            # a term and a pair of blocks; should two keys be equal, their records are compared for nothing
+            keys = mix(own_terms[at] + pair * BASE).view(np.int64)
+        bytes_ = head.view(np.uint8).reshape(len(at), _HEAD.itemsize)
+        for words, some, bits in _parities(terms, sizes):
+            number = np.full(len(batch), -1)
+            number[some] = np.arange(len(some))
+            mine = np.flatnonzero(number[row[at]] >= 0)
+            packed = np.concatenate([bytes_[mine], bits[number[row[at[mine]]]]], axis=1)
+            offsets = np.arange(len(mine) + 1, dtype=np.int32) * packed.shape[1]
+            column = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[mine]), column], names=["k", "x"])
 
     marked = own.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c"), "terms")
     sorted_ = arrow_map(marked, spread, "k bigint, x binary").repartition("k").sortWithinPartitions("k")

@@ -214,7 +214,8 @@ def test_parities_bound_what_differs():
     rng = random.Random(8)
     sets = [np.array(rng.sample(range(1, 1 << 40), rng.choice((30, 90, 150, 400, 900))), np.uint64) for _ in range(30)]
     sets += [np.concatenate([x[: len(x) // 2], y[: len(y) // 2]]) for x, y in zip(sets, sets[1:], strict=False)]
-    bits = [clusters._parities(x) for x in sets]
+    bits = [b for x in sets for _, _, b in clusters._parities(x, np.array([len(x)]))]
+    bits = [x.ravel() for x in bits]
     ends = np.cumsum([len(x) for x in bits])
     held = clusters._Parities(np.concatenate(bits), ends - [len(x) for x in bits], ends)
     a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
