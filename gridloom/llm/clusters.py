@@ -86,7 +86,7 @@ _BITS_SCHEMA = ", ".join(f"{c} bigint" for c in _BITS)
 
 
 def sketches(sets: DataFrame) -> DataFrame:
-    """(rep, o, p0, p1, s0..): a row for each order of the forest, with the prefix it is sorted by and the bits."""
+    """(rep, p0, p1, s0..): of each record the bits, and the prefix that each order of the forest sorts it by; a written table."""
 
     def run(batch: pa.RecordBatch):
         n = len(batch)
@@ -109,19 +109,19 @@ def sketches(sets: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([batch.column(0), *lists, *(pa.array(bits[:, i].copy()) for i in range(_WORDS))], names=["rep", "p0", "p1", *_BITS])
 
     # written, for sorting by range reads it twice
-    rows = cut(arrow_map(sets, run, f"rep bigint, p0 array<bigint>, p1 array<bigint>, {_BITS_SCHEMA}"))
-    orders = F.arrays_zip(F.sequence(F.lit(0), F.lit(ORDERS - 1)).alias("o"), "p0", "p1")
-    return rows.select("rep", F.explode(orders).alias("_o"), *_BITS).select("rep", F.col("_o.o").alias("o"), "_o.p0", "_o.p1", *_BITS)
+    return cut(arrow_map(sets, run, f"rep bigint, p0 array<bigint>, p1 array<bigint>, {_BITS_SCHEMA}"))
 
 
-def first_pairs(forest: DataFrame) -> DataFrame:
-    """(a, b, d, x0.., y0..): rows that follow each other in some order and are close, with both sketches; a written table.
+def first_pairs(sketched: DataFrame) -> DataFrame:
+    """(a, b, d): rows that follow each other in some order and are close, and in how many bits they differ; a written table.
 
     The orders are sorted by range, so no group of equal prefixes meets in one task, and each row is
     compared with AHEAD followers whatever the size of its group. The first and last AHEAD rows of every range
     are compared once more across the ranges' ends.
     """
-    names = ["a", "b", "d", "edge", *(f"x{i}" for i in range(_WORDS)), *(f"y{i}" for i in range(_WORDS))]
+    orders = F.arrays_zip(F.sequence(F.lit(0), F.lit(ORDERS - 1)).alias("o"), "p0", "p1")
+    forest = sketched.select("rep", F.explode(orders).alias("_o"), *_BITS).select("rep", F.col("_o.o").alias("o"), "_o.p0", "_o.p1", *_BITS)
+    names = ["a", "b", "d", "edge", "p1", *_BITS]
     keys = ["o", "p0", "p1", "rep"]
 
     def pairs(whole: pa.RecordBatch, fresh: int) -> Iterator[pa.RecordBatch]:
@@ -137,13 +137,12 @@ def first_pairs(forest: DataFrame) -> DataFrame:
             i, j, d = i[ok], j[ok], d[ok]
             swap = ids[i] > ids[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-            sides = [pa.array(words[side, w].view(np.int64)) for side in (i, j) for w in range(_WORDS)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(d.astype(np.int32)), pa.array(np.zeros(len(i), bool)), *sides], names=names)
+            none = pa.nulls(len(i), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(d.astype(np.int32)), pa.array(np.zeros(len(i), bool)), *[none] * (1 + _WORDS)], names=names)
 
     def edge(rows: pa.RecordBatch) -> pa.RecordBatch:
-        """Rows of a range's end under the pairs' names: rep, first word of the prefix, order, sketch, second word."""
-        none = pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(1), pa.array(np.ones(len(rows), bool)), *(rows.column(4 + i) for i in range(_WORDS)), rows.column(3), *[none] * (_WORDS - 1)], names=names)
+        """Rows of a range's end under the pairs' names: rep, first word of the prefix, order, second word, bits."""
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(1), pa.array(np.ones(len(rows), bool)), *(rows.column(3 + i) for i in range(1 + _WORDS))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail, seen = None, 0
@@ -165,12 +164,12 @@ def first_pairs(forest: DataFrame) -> DataFrame:
 
     parts = max(int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = forest.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    schema = "a bigint, b bigint, d int, edge boolean, " + ", ".join([*(f"x{i} bigint" for i in range(_WORDS)), *(f"y{i} bigint" for i in range(_WORDS))])
+    schema = f"a bigint, b bigint, d int, edge boolean, p1 bigint, {_BITS_SCHEMA}"
     near = cut(ranged.mapInArrow(run, schema))
     # at most 2 x AHEAD rows a range
-    ends = near.where("edge").select(F.col("a").alias("rep"), F.col("d").alias("o"), F.col("b").alias("p0"), F.col("y0").alias("p1"), *(F.col(f"x{i}").alias(f"s{i}") for i in range(_WORDS)))
+    ends = near.where("edge").select(F.col("a").alias("rep"), F.col("d").alias("o"), F.col("b").alias("p0"), "p1", *_BITS)
     more = ends.distinct().coalesce(1).sortWithinPartitions(*keys).mapInArrow(across, schema)
-    out = cut(near.where("not edge").union(more).drop("edge").dropDuplicates(["a", "b"]))
+    out = cut(near.where("not edge").union(more).select("a", "b", "d").distinct())
     forget(near)
     return out
 
@@ -184,30 +183,28 @@ def _joined(tail: pa.RecordBatch | None, batch: pa.RecordBatch) -> pa.RecordBatc
 
 
 def _both_ways(pairs: DataFrame, k: int = K) -> DataFrame:
-    """(u, v, d, s0..): the K nearest neighbours of each record, from pairs in either direction."""
-    ahead = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "d", *(F.col(f"y{i}").alias(f"s{i}") for i in range(_WORDS)))
-    back = pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "d", *(F.col(f"x{i}").alias(f"s{i}") for i in range(_WORDS)))
+    """(u, v): the K nearest neighbours of each record, from pairs in either direction."""
+    ways = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "d").union(pairs.select("b", "a", "d"))
     w = Window.partitionBy("u").orderBy("d", "v")
-    return ahead.union(back).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    return ways.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).select("u", "v")
 
 
-def descend(pairs: DataFrame, records: int, rounds: int = ROUNDS) -> DataFrame:
+def descend(pairs: DataFrame, sketched: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """All close pairs after rounds of neighbour descent: neighbours of one record are compared with each other.
 
     A record brings at most K x K pairs to a round, hubs included. Ends early once a round adds fewer pairs than CHANGE of all
     records' K neighbours; links that it leaves between components are found by `bridges`. `pairs` is a written table, which is
     removed once it isn't needed.
     """
-    found = pairs
-    n = found.count()
-    least = CHANGE * K * records
+    found, bits = pairs, sketched.select(F.col("rep").alias("v"), *_BITS)
+    n, least = found.count(), CHANGE * K * sketched.count()
     for _ in range(rounds):
-        near = _both_ways(found)
+        near = _both_ways(found).join(bits, "v")
         one = near.select("u", F.col("v").alias("a"), *(F.col(f"s{i}").alias(f"x{i}") for i in range(_WORDS)))
         two = near.select("u", F.col("v").alias("b"), *(F.col(f"s{i}").alias(f"y{i}") for i in range(_WORDS)))
         d = _differ("x", "y")
-        met = one.join(two, "u").where((F.col("a") < F.col("b")) & (d <= _MOST)).withColumn("d", d).select(*found.columns)
-        old, found = found, cut(found.union(met).dropDuplicates(["a", "b"]))
+        met = one.join(two, "u").where((F.col("a") < F.col("b")) & (d <= _MOST)).select("a", "b", d.cast("int").alias("d"))
+        old, found = found, cut(found.union(met).distinct())
         forget(old)
         before, n = n, found.count()
         if n - before <= least:
@@ -224,7 +221,9 @@ def links(sets: DataFrame, key: str = "page_id", similarity: float = SIMILARITY)
     marked = sets.select(key, copy.alias("_c"))
     members = cut(marked.join(marked.groupBy("_c").agg(F.min(key).alias("rep")), "_c").select(key, "rep"))
     own = sets.join(members.where(F.col(key) == F.col("rep")).select(key), key, "left_semi").select(F.col(key).alias("rep"), "terms")
-    close = descend(first_pairs(sketches(own)), own.count())
+    sketched = sketches(own)
+    close = descend(first_pairs(sketched), sketched)
+    forget(sketched)
     graph = _verified(close.select("a", "b"), own, similarity)
     forget(close)
     parts = cut(connected_components(graph))
