@@ -25,7 +25,8 @@ from gridloom.llm.common import TERM, arrow_map, counted_pages, list_array
 from gridloom.session import cut
 
 #: Share of the record's own model, steps and change at which EM stops, and probability below which a term is dropped.
-OWN, STEPS, CHANGE, LEAST = 0.9, 60, 1e-7, 1e-9
+#: The share is small, so a record keeps what the background can't explain: everyday words hold half of the mass at 0.9, a hundredth at 0.05.
+OWN, STEPS, CHANGE, LEAST = 0.05, 60, 1e-7, 1e-9
 #: Records of a block; bounds the slice of the background that a task holds.
 BLOCK = 2048
 
@@ -51,25 +52,30 @@ def parsimonious(counts: np.ndarray, background: np.ndarray, starts: np.ndarray,
     """Converged probabilities of the terms of several records; starts are the records' first places, none is empty."""
     sizes = np.diff(np.append(starts, len(counts)))
     p = counts / np.repeat(np.add.reduceat(counts, starts), sizes)
-    going = np.ones(len(starts), bool)  # a record stops by its own change, whatever else is in the batch
+    # a record stops by its own change, whatever else is in the batch, and is worked on no more
+    c, q, now, at, size, place = counts, (1 - own) * background, p.copy(), starts, sizes, np.arange(len(counts))
     for _ in range(STEPS):
-        mass = own * p
-        e = counts * np.divide(mass, mass + (1 - own) * background, out=np.zeros_like(p), where=mass > 0)
-        new = e / np.repeat(np.maximum(np.add.reduceat(e, starts), 1e-300), sizes)
+        mass = own * now
+        e = c * np.divide(mass, mass + q, out=np.zeros_like(now), where=now > 0)
+        new = e / np.repeat(np.maximum(np.add.reduceat(e, at), 1e-300), size)
         new[new < LEAST] = 0
-        new = np.where(np.repeat(going, sizes), new, p)
-        change = np.maximum.reduceat(np.abs(new - p), starts)
-        p = new
-        going &= change >= CHANGE
+        going = np.maximum.reduceat(np.abs(new - now), at) >= CHANGE
+        p[place] = new
         if not going.any():
             break
+        if going.all():
+            now = new
+            continue
+        keep = np.repeat(going, size)
+        c, q, now, place, size = c[keep], q[keep], new[keep], place[keep], size[going]
+        at = np.cumsum(size) - size
     return p
 
 
-def scores(docs: DataFrame, key: str, *texts: str, own: float = OWN, block: int = BLOCK, model: bool = True) -> tuple[DataFrame, int]:
+def scores(docs: DataFrame, key: str, *texts: str, own: float = OWN, block: int = BLOCK) -> tuple[DataFrame, int]:
     """(key, terms, counts, records, probabilities) of each record, arrays side by side; and the number of records.
 
-    Terms whose mass went to the background have probability 0. Without the model, probabilities are shares of the record.
+    Terms whose mass went to the background have probability 0.
     """
     vectors = cut(term_vectors(docs, key, *texts), rows_per_file=block)
     n = vectors.count()
@@ -112,12 +118,7 @@ def scores(docs: DataFrame, key: str, *texts: str, own: float = OWN, block: int
         pairs = np.array([table.get(t, none) for t in held], np.int64).reshape(-1, 2)
         cf = np.where(pairs[:, 1] > 0, pairs[:, 1], counts)
         starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-        if not len(held):
-            p = np.empty(0)
-        elif model:
-            p = parsimonious(counts, cf / total, starts, own)
-        else:
-            p = counts / np.repeat(np.add.reduceat(counts, starts), sizes[sizes > 0])
+        p = parsimonious(counts, cf / total, starts, own) if len(held) else np.empty(0)
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(held, pa.string()), pa.array(counts.astype(np.int32)), pa.array(pairs[:, 0].copy()), pa.array(p))]
         return pa.RecordBatch.from_arrays([rows.column(1), *lists], names=names)
@@ -133,12 +134,16 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def top_terms(pages: DataFrame, k: int = 10) -> DataFrame:
-    """(page_id, rank, term, probability): the k terms of greatest converged probability; ties in code-point order."""
+    """(page_id, rank, term, probability): of the terms that two pages at least hold, the k of greatest converged probability.
+
+    Terms left to the background are none of them; ties to 9 decimals in code-point order.
+    """
     rows, _ = scores(counted_pages(pages, "title", "content"), "page_id", "title", "content")
-    return _best(rows, "page_id", k, lambda counts, records, p: p, lambda counts, records, p: p > 0, "probability")
+    return _best(rows, "page_id", k, lambda counts, records, p: np.where((records > 1) & (p > 0), p, -np.inf), "probability")
 
 
-def _best(rows: DataFrame, key: str, k: int, weigh, keep, name: str, digits: int = 12) -> DataFrame:
+def _best(rows: DataFrame, key: str, k: int, weigh, name: str) -> DataFrame:
+    """The k terms of greatest weight; those of weight minus infinity are none of them."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch):
@@ -147,8 +152,8 @@ def _best(rows: DataFrame, key: str, k: int, weigh, keep, name: str, digits: int
             if not terms:
                 continue
             c, r, q = (x.values.to_numpy() for x in (counts, records, p))
-            w = np.round(weigh(c, r, q), digits)
-            ok = np.flatnonzero(keep(c, r, q))
+            w = np.round(weigh(c, r, q), 9)
+            ok = np.flatnonzero(w > -np.inf)
             # terms are in code-point order, so a stable sort leaves ties in it
             best = ok[np.argsort(-w[ok], kind="stable")[:k]]
             for rank, i in enumerate(best.tolist(), 1):
@@ -164,12 +169,15 @@ def _best(rows: DataFrame, key: str, k: int, weigh, keep, name: str, digits: int
 def found(pages: DataFrame) -> DataFrame:
     """p4_found: of the terms that two pages at least hold, the three of greatest weight.
 
-    The weight is exact: occurrences in the page x ln(pages / pages that hold the term). A term that the model leaves
-    to the background can still be among the three, so the model drops none.
+    The weight is exact: occurrences in the page x ln(pages / pages that hold the term). The model proposes the terms that it
+    keeps; of those it left to the background, all that weigh as much as the third of them are weighed too, so none is lost.
     """
-    rows, n = scores(counted_pages(pages, "title", "content"), "page_id", "title", "content", model=False)
+    rows, n = scores(counted_pages(pages, "title", "content"), "page_id", "title", "content")
 
     def weigh(counts: np.ndarray, records: np.ndarray, p: np.ndarray) -> np.ndarray:
-        return counts * np.log(n / records)
+        w = np.where(records > 1, counts * np.log(n / records), -np.inf)
+        kept = w[(p > 0) & (records > 1)]
+        least = np.partition(kept, len(kept) - 3)[len(kept) - 3] if len(kept) > 2 else -np.inf
+        return np.where((p > 0) | (w >= least - 1e-9), w, -np.inf)
 
-    return _best(rows, "page_id", 3, weigh, lambda counts, records, p: records > 1, "weight", 9).select("page_id", "term")
+    return _best(rows, "page_id", 3, weigh, "weight").select("page_id", "term")

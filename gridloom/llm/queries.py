@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.llm import clusters, distinctive, encoding, frequency, neardup, neighbours, packing, repetition, sentences, splitting
 from gridloom.llm.common import counted_pages, table
@@ -20,7 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_terms": _over(lambda pages: frequency.marked(counted_pages(pages, "content"), "content"), "page"),
     "p3_found": _over(sentences.found, "page"),
     "p4_found": _over(distinctive.found, "page"),
-    "p4_top_terms": _over(distinctive.top_terms, "page"),
+    "p4_top_terms": _over(lambda pages: distinctive.top_terms(pages).withColumn("probability", F.round("probability", 6)), "page"),
     "p5_found": _over(splitting.found, "page", "passage"),
     "p6_found": _over(clusters.found, "page"),
     "p6_clusters": _over(clusters.clusters, "page"),
@@ -61,6 +61,15 @@ SELECT DISTINCT coll, least(a, b) AS id_a, greatest(a, b) AS id_b FROM top""",
 tf AS (SELECT page_id, term, count(*) AS n FROM words GROUP BY ALL), df AS (SELECT term, count(*) AS d FROM tf GROUP BY term HAVING count(*) > 1)
 SELECT page_id, term FROM tf JOIN df USING (term)
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY round(n * ln((SELECT count(*) FROM pages) / d), 9) DESC, encode(term)) <= 3""",
+    "p4_top_terms": f"""WITH RECURSIVE {_PAGES}, words AS (SELECT page_id, unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(content, '')), {_TERMS})) AS term FROM pages),
+tf AS (SELECT page_id, term, count(*)::DOUBLE AS c FROM words GROUP BY ALL), total AS (SELECT sum(c) AS n FROM tf),
+bg AS (SELECT term, sum(c) / n AS q, count(*) AS d FROM tf, total GROUP BY term, n),
+em AS (SELECT page_id, term, c, q, d, c / sum(c) OVER (PARTITION BY page_id) AS p, 0 AS step, true AS going FROM tf JOIN bg USING (term)
+  UNION ALL SELECT page_id, term, c, q, d, p2, step + 1, max(abs(p2 - p)) OVER (PARTITION BY page_id) >= {distinctive.CHANGE} FROM
+    (SELECT *, CASE WHEN m < {distinctive.LEAST} THEN 0.0::DOUBLE ELSE m END AS p2 FROM (SELECT *, e / greatest(sum(e) OVER (PARTITION BY page_id), 1e-300) AS m FROM
+      (SELECT *, CASE WHEN p > 0 THEN c * {distinctive.OWN}::DOUBLE * p / ({distinctive.OWN}::DOUBLE * p + (1 - {distinctive.OWN}::DOUBLE) * q) ELSE 0.0::DOUBLE END AS e FROM em WHERE going AND step < {distinctive.STEPS})))),
+done AS (SELECT * FROM em QUALIFY step = max(step) OVER (PARTITION BY page_id))
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY round(p, 9) DESC, encode(term))::INT AS rank, term, round(round(p, 9), 6) AS probability FROM done WHERE d > 1 AND p > 0 QUALIFY rank <= 10""",
     "p6_found": f"""WITH RECURSIVE {_PAGES}, words AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || content), {_TERMS})) AS term FROM pages WHERE content IS NOT NULL),
 sizes AS (SELECT page_id, count(*) AS n FROM words GROUP BY page_id HAVING count(*) >= 30),
 shared AS (SELECT a.page_id AS a, b.page_id AS b, count(*) AS s FROM words a JOIN words b ON a.term = b.term AND a.page_id <> b.page_id GROUP BY ALL),

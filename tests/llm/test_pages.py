@@ -57,6 +57,16 @@ def test_distinctive(spark):
     assert {r["rank"] for r in top} == {1, 2} and all(r["probability"] > 0 for r in top)
 
 
+def test_everyday_words_are_left_to_the_background(spark):
+    rng = random.Random(12)
+    everyday = "the of and a this each that one in near above along was to".split()
+    topics = [[f"{w}{t}" for w in ("tower", "river", "mill", "bridge", "wall")] for t in range(12)]
+    texts = [" ".join(rng.choice(everyday) if rng.random() < 0.5 else rng.choice(topics[i % 12]) for _ in range(rng.randrange(40, 200))) for i in range(60)]
+    rows = [(i, None, x, "en", time(i), time(i), "r", "t", 1, 1, "k") for i, x in enumerate(texts)]
+    top = distinctive.top_terms(pages(spark, rows), 3).collect()
+    assert len(top) == 180 and not [r for r in top if r["term"] in everyday]
+
+
 def test_parsimonious_moves_mass():
     counts = np.array([5.0, 5.0, 4.0])
     p = distinctive.parsimonious(counts, np.array([0.5, 0.001, 0.4]), np.array([0]), own=0.3)
