@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from time import perf_counter as time_of_day
 
 import numpy as np
 import pytest
@@ -283,6 +284,16 @@ CASES = [
     ("ja", "「行った。」と彼は書いた。誰か？分からない！", ["「行った。」と彼は書いた。", "誰か？", "分からない！"]),
     ("hi", "डॉ. राम ने नं. 5 रखा। “वह गया!” राम ने लिखा। मूल्य रु. 9 था॥", ["डॉ. राम ने नं. 5 रखा।", "“वह गया!” राम ने लिखा।", "मूल्य रु. 9 था॥"]),
     ("th", "กาขา คางา 25 งาจา ตา", ["กาขา", "คางา 25 งาจา", "ตา"]),
+    ("en", "He said no. Then he left. Choose plan b. Then go. Vitamin C. It helps. It was I. He went.", ["He said no.", "Then he left.", "Choose plan b.", "Then go.", "Vitamin C.", "It helps.", "It was I.", "He went."]),
+    ("en", "Work ended in 1388. 1313 brought rain. See No. 5. It rained on 3 Oct. 1901 at 3. 40 men left.", ["Work ended in 1388.", "1313 brought rain.", "See No. 5.", "It rained on 3 Oct. 1901 at 3.", "40 men left."]),
+    ("en", "At 5 p.m. The U.S. The U.S. Army. By J. R. Hall.\u2029One (" + "long. Words. " * 60 + "end). Two.", ["At 5 p.m.", "The U.S.", "The U.S. Army.", "By J. R. Hall.", "One (" + "long. Words. " * 60 + "end).", "Two."]),
+    ("en", "An open ( bracket. Never closed.\n\nA ) here. End.", ["An open ( bracket.", "Never closed.", "A ) here.", "End."]),
+    ("ru", "Он жил в 1945 г. Потом уехал. В г. Москва.", ["Он жил в 1945 г.", "Потом уехал.", "В г. Москва."]),
+    ("de", "Es waren 12. Der Rest ging. Der 12. Mai kam.", ["Es waren 12.", "Der Rest ging.", "Der 12. Mai kam."]),
+    ("it", "Il sig. Rossi arriva con la dott.ssa Verdi. Bene.", ["Il sig. Rossi arriva con la dott.ssa Verdi.", "Bene."]),
+    ("pt", "O Sr. Silva chegou. Bom.", ["O Sr. Silva chegou.", "Bom."]),
+    (None, "O Sr. Silva viu o sig. Rossi.", ["O Sr. Silva viu o sig. Rossi."]),
+    ("lo", "ກາຂາ ຄາງາ 25 ຕາ", ["ກາຂາ", "ຄາງາ 25 ຕາ"]),
     (None, "Der Hund und die Katze, der 5. Band.", ["Der Hund und die Katze, der 5. Band."]),
     ("en", "", []),
     ("en", " \n \t", []),
@@ -295,6 +306,13 @@ def test_sentence_spans(lang, text, want):
     assert [text[a:b] for a, b in sentences.spans(text, lang)] == want
 
 
+def test_sentences_of_long_runs_take_linear_time():
+    for piece in ("a.b", "(", "Mr. A ", "A.", "x/"):
+        began = time_of_day()
+        sentences.spans(piece * 60000 + " End. Of it.", "en")
+        assert time_of_day() - began < 5
+
+
 def test_language_of_the_whole_text():
     assert sentences.language("1,204 " * 150 + "\n\n" + "Der Turm und die Mauer sind alt. " * 20, None) == "de"
     assert sentences.language("Нижний Новгород, " * 40 + "\n\n" + "The wall of the old town and that tower. " * 100, None) == "en"
