@@ -9,8 +9,9 @@ STOP_WORDS = (
     "a an and are as at be been by for from had has have he her his i if in is it its of on or s t that the their them they this to was were which who will with"
 ).split()
 
-#: Queries that ask how things are connected.
+# Queries that ask how things are connected, and the numbers of a query. Fixed values.
 CONNECTIVE = r"(?i)\b(links|connect|together|learned about)\b"
+NUMBERS = r"\b(\d{1,4})(s?)\b"
 
 
 def _column(x: Column | str) -> Column:
@@ -35,8 +36,9 @@ def page_id(x: Column | str) -> Column:
 
 
 def entry_text(title: Column | str, content: Column | str) -> Column:
-    """Title, a blank line, content."""
-    return F.concat(text_of(title), F.lit("\n\n"), text_of(content))
+    """Title, a blank line, content, without white space at both ends; content alone where there is no title."""
+    name, body = text_of(title), text_of(content)
+    return strip(F.when(name != "", F.concat(name, F.lit("\n\n"), body)).otherwise(body))
 
 
 def sentences(x: Column | str) -> Column:
@@ -65,7 +67,7 @@ def connective(x: Column | str) -> Column:
 def number_groups(x: Column | str) -> Column:
     """The numbers of a query as arrays of alternatives: a decade such as 1820s stands for its ten years, any other number for itself."""
     low = F.lower(text_of(x))
-    pattern = F.lit(r"\b(\d{1,4})(s?)\b")
+    pattern = F.lit(NUMBERS)
     digits = F.regexp_extract_all(low, pattern, F.lit(1))
     plural = F.regexp_extract_all(low, pattern, F.lit(2))
 

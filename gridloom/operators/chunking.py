@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridloom.functions.text import chunk_spans, sentences, text_of, words
+from gridloom.functions.text import chunk_spans, sentences, strip, text_of, words
 
 GRANULARITIES = (100, 150)
 
@@ -12,10 +12,10 @@ GRANULARITIES = (100, 150)
 def chunks(pages: DataFrame, target: int = 100) -> DataFrame:
     """(page_id, chunk_id, text) of pages (page_id, title, content): whole sentences up to `target` words a passage.
 
-    Each passage opens with the title. A page without sentences has its title, or its id, as the only one. No shuffle: a
+    Each passage opens with the title, stripped of white space. A page without sentences has its title, or its id, as the only one. No shuffle: a
     page's passages come from folds over its own sentences.
     """
-    title = text_of("title")
+    title = strip(text_of("title"))
     own = F.array(F.when(title != "", title).otherwise(F.col("page_id").cast("string")))
     found = pages.select("page_id", title.alias("_t"), sentences("content").alias("_s"), own.alias("_o"))
     found = found.withColumn("_s", F.when(F.size("_s") > 0, F.col("_s")).otherwise(F.col("_o")))

@@ -51,6 +51,9 @@ def test_sentences_and_words(spark):
         (None, "A b c d e.", ["A b c d e."]),
         ("T", "", ["T. T"]),
         (None, None, ["7"]),
+        ("  ", "A b c d e.", ["A b c d e."]),
+        (" T\t", " A b c d e. ", ["T. A b c d e."]),
+        ("  ", " ", ["7"]),
     ],
 )
 def test_chunks(spark, title, content, chunks):
@@ -60,6 +63,12 @@ def test_chunks(spark, title, content, chunks):
     assert [r["chunk_id"] for r in rows] == list(range(len(chunks)))
 
 
+@pytest.mark.parametrize(("title", "content", "entry"), [("T", "x ", "T\n\nx"), ("", " x", "x"), (None, "x", "x"), ("  ", "x", "x"), ("T", None, "T"), (None, None, "")])
+def test_entry_text(spark, title, content, entry):
+    row = spark.createDataFrame([(title, content)], "t string, c string").select(text.entry_text("t", "c").alias("x")).first()
+    assert row["x"] == entry
+
+
 def test_connective(spark):
     assert one(spark, "How do A and B Connect?", text.connective) is True
     assert one(spark, "reconnection", text.connective) is False
