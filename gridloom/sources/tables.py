@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridloom.functions.text import page_id
@@ -30,20 +34,53 @@ def pages_json(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumnRenamed("_stem", "position")
 
 
-def queries_json(spark: SparkSession, path: str, as_set: bool = False) -> DataFrame:
-    """(query_id, query, relevant) of a JSON list of queries with relevant page ids; as sets without repeats."""
-    raw = spark.read.schema("query_id string, query string, relevant_page_ids array<string>").option("multiLine", True).json(path)
+def queries_json(spark: SparkSession, path: str, as_set: bool = False, lines: bool = False) -> DataFrame:
+    """(query_id, query, relevant) of a JSON list of queries, or of one query a line, with relevant page ids; as sets without repeats."""
+    raw = spark.read.schema("query_id string, query string, relevant_page_ids array<string>").option("multiLine", not lines).json(path)
     ids = F.transform(F.coalesce("relevant_page_ids", F.array().cast("array<string>")), page_id)
     return raw.select("query_id", "query", (F.array_distinct(ids) if as_set else ids).alias("relevant"))
 
 
-def manifest_json(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, op, batch, queries, gt) of a scenario's manifest, in order."""
+def manifest_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(dim, seq, op, batch, queries, gt) of a scenario's manifest, in order; or of one manifest a line."""
     op = "type string, batch string, ids string, queries string, gt string"
-    raw = spark.read.schema(f"dim int, operations array<struct<{op.replace(' ', ':')}>>".replace(",:", ",")).option("multiLine", True).json(path)
+    raw = spark.read.schema(f"dim int, operations array<struct<{op.replace(' ', ':')}>>".replace(",:", ",")).option("multiLine", not lines).json(path)
     return raw.select("dim", F.posexplode("operations").alias("seq", "_o")).select("dim", "seq", F.col("_o.type").alias("op"), F.coalesce("_o.batch", "_o.ids").alias("batch"), F.col("_o.queries").alias("queries"), F.col("_o.gt").alias("gt"))
 
 
+def manifest_totals(spark: SparkSession, path: str) -> dict[str, int]:
+    """The totals of inserts, deletes and searches that a manifest's config states, 1 at least."""
+    raw = spark.read.schema("config struct<total_insert:bigint,total_delete:bigint,total_search:bigint>").option("multiLine", True).json(path).first()
+    held = raw["config"] if raw else None
+    return {op: max(1, (held[f"total_{op}"] if held else None) or 1) for op in ("insert", "delete", "search")}
+
+
+def truth_json(spark: SparkSession, path: str) -> DataFrame:
+    """(file, succeeded, failed): the expected ids of mutations, one JSON object a file; missing lists are empty."""
+    raw = spark.read.schema("succeeded array<bigint>, failed array<bigint>").option("multiLine", True).json(path)
+    none = F.array().cast("array<bigint>")
+    return raw.select(F.input_file_name().alias("file"), *(F.coalesce(c, none).alias(c) for c in ("succeeded", "failed")))
+
+
+def arrays_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, values) of saved number arrays: ids (a number a row), query vectors and expected search results (a list a row).
+
+    Files are read by the tasks, each by one; arrays of Python objects are refused, for reading them runs code.
+    """
+    prepare(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.load(io.BytesIO(data.as_buffer()), allow_pickle=False)
+                x = x.reshape(len(x), -1).astype(np.float64)
+                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array(np.arange(len(x))), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["file", "row", "values"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, row bigint, values array<double>")
+
+
 def batch_rows(changelog: DataFrame) -> DataFrame:
     """(batch, op, pos, vec_id, embedding): a batch as a map of ids, repeats of one id folded: last vector, first position.
 

@@ -24,6 +24,22 @@ def test_queries_and_manifest_json(spark, tmp_path):
     assert [(r["seq"], r["op"], r["batch"]) for r in rows] == [(0, "insert", "b"), (1, "delete", "d"), (2, "search", None)]
 
 
+def test_totals_and_truths(spark, tmp_path):
+    import numpy as np
+
+    (tmp_path / "m.json").write_text(json.dumps({"dim": 2, "config": {"total_insert": 7, "total_delete": 0}, "operations": []}))
+    assert tables.manifest_totals(spark, str(tmp_path / "m.json")) == {"insert": 7, "delete": 1, "search": 1}
+    (tmp_path / "gt.json").write_text(json.dumps({"succeeded": [3, 1]}))
+    assert [(r["succeeded"], r["failed"]) for r in tables.truth_json(spark, str(tmp_path / "gt.json")).collect()] == [([3, 1], [])]
+    np.save(tmp_path / "ids.npy", np.array([5, 6], np.int64))
+    np.save(tmp_path / "gt.npy", np.array([[1, 2], [3, 4]], np.int64))
+    assert [r["values"] for r in tables.arrays_npy(spark, str(tmp_path / "ids.npy")).orderBy("row").collect()] == [[5.0], [6.0]]
+    assert [r["values"] for r in tables.arrays_npy(spark, str(tmp_path / "gt.npy")).orderBy("row").collect()] == [[1.0, 2.0], [3.0, 4.0]]
+    np.save(tmp_path / "objects.npy", np.array([{"a": 1}], object), allow_pickle=True)
+    with pytest.raises(Exception, match="allow_pickle"):
+        tables.arrays_npy(spark, str(tmp_path / "objects.npy")).count()
+
+
 def test_matrix_and_timings(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "SHARD_BYTES", 80)
     rows = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(50)], "vec_id bigint, embedding array<float>").coalesce(1)
@@ -44,10 +60,32 @@ def test_stream_of_changes(spark, tmp_path):
     schema = "batch string, pos int, op string, vec_id bigint, embedding array<float>, logged_at timestamp"
     first = [("a", 0, "insert", 1, [1.0], t(0)), ("a", 1, "insert", 2, [2.0], t(1)), ("a", 2, "insert", 1, [9.0], t(2)), ("a", 3, "delete", 2, None, t(3))]
     second = [("b", 0, "insert", 1, [5.0], t(10)), ("b", 1, "insert", 2, [6.0], t(11)), ("b", 2, "delete", 1, None, t(12)), ("b", 3, "insert", 1, [7.0], t(13)), ("b", 4, "delete", 8, None, t(14))]
-    live = changelog.LiveTable(spark, str(tmp_path / "live"))
     for i, rows in enumerate((first, second)):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        changelog.follow(stream, live, str(tmp_path / "check")).awaitTermination()
-        got = {r["vec_id"]: r["embedding"] for r in live.read().collect()}
+        # a new object each time, as after a restart
+        changelog.follow(stream, changelog.LiveTable(spark, str(tmp_path / "live")), str(tmp_path / "check")).awaitTermination()
+        got = {r["vec_id"]: r["embedding"] for r in changelog.LiveTable(spark, str(tmp_path / "live")).read().collect()}
         assert got == ({1: [1.0]} if i == 0 else {1: [7.0], 2: [6.0]})
+
+
+def test_live_table_over_many_batches(spark, tmp_path):
+    import datetime as dt
+    import random
+
+    rng, live, want = random.Random(3), changelog.LiveTable(spark, str(tmp_path / "live")), {}
+    schema = "op string, vec_id bigint, embedding array<float>, logged_at timestamp, pos int"
+    for number in range(12):
+        rows = []
+        for pos in range(6):
+            i, op = rng.randrange(6), rng.choice(["insert", "insert", "delete"])
+            rows.append((op, i, [float(number * 10 + pos)] if op == "insert" else None, dt.datetime(2024, 1, 1, number), pos))
+            if op == "delete":
+                want.pop(i, None)
+            else:
+                want.setdefault(i, rows[-1][2])
+        changelog.LiveTable(spark, live.path).apply(spark.createDataFrame(rows, schema), number)
+        live.apply(spark.createDataFrame([("insert", 99, [1.0], dt.datetime(2025, 1, 1), 0)], schema), number)  # the batch again
+    live.apply(spark.createDataFrame([("insert", 99, [1.0], dt.datetime(2025, 1, 1), 0)], schema), 0, "other")
+    assert {r["vec_id"]: r["embedding"] for r in live.read().collect()} == want | {99: [1.0]}
+    assert len(list((tmp_path / "live").iterdir())) <= 2 * live.COMPACT + 3
