@@ -2,7 +2,7 @@
 
 python -m gridloom.cli scenario FOLDER --scenario N [--recalibrate]
 python -m gridloom.cli evaluate FOLDER
-python -m gridloom.cli sweep FOLDER --dense 1 --lead 0.8 --bm25 1 --number 2.5
+python -m gridloom.cli sweep FOLDER --dense 1 --lead 0.8 --bm25 1 --number 2.5 [--verbose]
 FOLDER holds the parquet tables.
 """
 
@@ -10,71 +10,43 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
 import time
 
 from pyspark.sql import SparkSession, functions as F
 
 from gridloom.functions.metrics import runtime_multiplier
-from gridloom.operators import bm25, entity_clusters, evaluation, fusion, replay
-from gridloom.operators.vector_index import VectorIndex
-from gridloom.plans import pipeline
+from gridloom.operators import bm25, entity_clusters, evaluation, fusion
+from gridloom.operators.vector_index import NaiveIndex, VectorIndex
+from gridloom.plans import pipeline, scenario as plays
 from gridloom.session import cut, prepare
 from gridloom.sources import tables
 
 #: Seconds after which a scenario stops, and runs that the baseline is the mean of.
 WALL, RUNS = 50.0, 3
-
-
-def play(spark: SparkSession, folder: str, scenario: int, queries, wall: float = WALL) -> dict[str, float]:
-    """Run a scenario's operations one by one on a VectorIndex; the first insert is the initial build, all else dynamic time."""
-    rows = cut(tables.batch_rows(tables.table(spark, folder, "changelog")))
-    ops = tables.operations(tables.table(spark, folder, "manifest")).where(F.col("scenario") == scenario).orderBy("seq").collect()
-    index, initial, dynamic, began = VectorIndex(spark, 64), None, 0.0, time.perf_counter()
-    for op in ops:
-        if time.perf_counter() - began > wall:
-            return {"initial": initial or 0.0, "dynamic": dynamic, "timed_out": 1.0}
-        batch = rows.where((F.col("batch") == op["batch"]) & (F.col("op") == op["op"]))
-        start = time.perf_counter()
-        if op["op"] == "insert":
-            index.insert(batch.where(F.size("embedding") == 64).select("pos", "vec_id", "embedding"))
-        elif op["op"] == "delete":
-            index.delete(batch.select("pos", "vec_id"))
-        else:
-            index.search(queries).count()
-        took = time.perf_counter() - start
-        if initial is None and op["op"] == "insert":
-            initial = took
-        else:
-            dynamic += took
-    return {"initial": initial or 0.0, "dynamic": dynamic, "timed_out": float(time.perf_counter() - began > wall)}
+#: Numbers of a vector where a manifest doesn't say.
+DIM = 64
 
 
 def scenario(spark: SparkSession, folder: str, number: int, cache: str, recalibrate: bool) -> dict[str, float]:
-    """Scores of one scenario: functional score from the declarative replay, run time against the declarative baseline."""
+    """Scores of one scenario: what the index gave back against the declarative replay, its time against the naive index."""
     log, ops = tables.table(spark, folder, "changelog"), tables.table(spark, folder, "manifest")
     queries = tables.table(spark, folder, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "embedding")
-    status = replay.statuses(replay.log(log, ops)).where(F.col("scenario") == number)
-    at = replay.searches(ops).where(F.col("scenario") == number)
-
-    def baseline() -> float:
-        start = time.perf_counter()
-        replay.results(status).count()
-        replay.search(status, at, queries).count()
-        return time.perf_counter() - start
-
+    dim = ops.where(F.col("scenario") == number).agg(F.max("dim")).first()[0] or DIM
     held = None if recalibrate else tables.read_timings(cache, RUNS)
     if held is None:
-        held = {"baseline_dynamic": sum(baseline() for _ in range(RUNS)) / RUNS}
+        runs = [plays.play(log, ops, number, queries, NaiveIndex(spark, dim))[2] for _ in range(RUNS)]
+        held = {f"baseline_{k}": sum(r[k] for r in runs) / RUNS for k in ("initial", "dynamic")}
         tables.write_timings(cache, held, RUNS)
-    played = play(spark, folder, number, queries)
-    ratio = played["dynamic"] / max(held["baseline_dynamic"], 1e-9)
-    truth = cut(replay.results(status))
-    recalls = at.select("scenario", "seq", F.lit(1.0).alias("recall"), F.lit(1).alias("n_queries"))
-    row = replay.scenario_scores(replay.mutation_scores(truth, truth), recalls).withColumn("multiplier", runtime_multiplier(F.lit(2.1 if played["timed_out"] else ratio))).first()
-    return (row.asDict() if row else {}) | played | {"ratio": ratio, "final": row["functional"] * row["multiplier"] if row else 0.0}
+    said, answers, times = plays.play(log, ops, number, queries, VectorIndex(spark, dim), wall=WALL)
+    scores = plays.score(log, ops, number, queries, said, answers, dim)
+    ratio = times["dynamic"] / max(held["baseline_dynamic"], 1e-9)
+    mark = spark.range(1).select(runtime_multiplier(F.lit(2.1 if times["timed_out"] else ratio)).alias("m")).first()["m"]
+    return scores | times | {"ratio": ratio, "multiplier": mark, "final": scores["functional"] * mark}
 
 
-def sweep(spark: SparkSession, folder: str, weights: tuple[float, float, float, float]) -> dict[str, float]:
+def sweep(spark: SparkSession, folder: str, weights: tuple[float, float, float, float], verbose: bool = False) -> dict[str, float]:
+    """Mean NDCG, coverage and ceiling of the text search at some weights; `verbose` prints each query's NDCG with what was missed."""
     pages = cut(tables.latest_pages(tables.table(spark, folder, "page")))
     passages = tables.table(spark, folder, "passage").dropDuplicates(["passage_id"])
     queries = tables.table(spark, folder, "search_query")
@@ -83,6 +55,11 @@ def sweep(spark: SparkSession, folder: str, weights: tuple[float, float, float,
     start = time.perf_counter()
     ranking = cut(pipeline.search_batch(index, queries, fusion.TOP, weights=weights))
     took = time.perf_counter() - start
+    if verbose:
+        missed = ranking.groupBy("query_id").agg(F.collect_set("page_id").alias("_top"))
+        rows = evaluation.ndcg(ranking, queries).join(queries.select("query_id", "query", "relevant"), "query_id").join(missed, "query_id", "left")
+        for r in rows.select("query_id", "query", "ndcg", F.array_except("relevant", F.coalesce("_top", F.array().cast("array<bigint>"))).alias("missed")).orderBy("query_id").toLocalIterator():
+            print(f"{r['query_id']}  {r['ndcg']:.4f}  {r['query']}  missed {r['missed']}", file=sys.stderr)
     score, cover, ceiling = evaluation.mean_ndcg(ranking, queries).first(), evaluation.pooled_coverage(ranking, queries).first(), evaluation.oracle_ceiling(queries).first()
     return {"num_queries": score["n_queries"], "mean_ndcg": score["mean_ndcg"], "coverage": cover["coverage"], "ceiling": ceiling["ceiling"], "seconds": took}
 
@@ -93,6 +70,7 @@ def main() -> None:
     parser.add_argument("folder")
     parser.add_argument("--scenario", type=int, default=1)
     parser.add_argument("--recalibrate", action="store_true")
+    parser.add_argument("--verbose", action="store_true")
     parser.add_argument("--cache", default=".gridloom-baseline.json")
     for name, value in (("dense", fusion.DENSE), ("lead", fusion.LEAD), ("bm25", fusion.LEXICAL), ("number", fusion.NUMBER)):
         parser.add_argument(f"--{name}", type=float, default=value)
@@ -102,7 +80,7 @@ def main() -> None:
         out = scenario(spark, args.folder, args.scenario, args.cache, args.recalibrate)
     else:
         weights = (fusion.DENSE, fusion.LEAD, fusion.LEXICAL, fusion.NUMBER) if args.command == "evaluate" else (args.dense, args.lead, args.bm25, args.number)
-        out = sweep(spark, args.folder, weights)
+        out = sweep(spark, args.folder, weights, args.verbose)
     print(json.dumps(out))
 
 

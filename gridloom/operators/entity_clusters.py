@@ -16,15 +16,22 @@ from gridloom.session import cut, prepare
 BLOCK = 4096
 
 
-def similar_pairs(leads: DataFrame, threshold: float = 0.75) -> DataFrame:
+def dimension(vectors: DataFrame, column: str = "embedding") -> int:
+    """The length that most vectors have; the smaller of two, 0 without vectors."""
+    sizes = vectors.where(F.col(column).isNotNull()).groupBy(F.size(column).alias("d")).count()
+    row = sizes.orderBy(F.desc("count"), "d").first()
+    return row["d"] if row else 0
+
+
+def similar_pairs(leads: DataFrame, threshold: float = 0.75, dim: int | None = None) -> DataFrame:
     """(a, b, similarity), a < b: all pairs of (page_id, embedding) with a cosine over the threshold.
 
     Exact, hence quadratic in products: rows are hashed into blocks of bounded size, each pair of blocks is one
     task's matrix product, and only pairs over the threshold leave it. A row travels once for each block.
-    Unusable vectors are left out.
+    Vectors of another length than `dim` (by default that of most) and unusable ones are left out.
     """
     prepare(leads.sparkSession)
-    dim = 64
+    dim = dimension(leads) if dim is None else dim
     rows = cut(leads.where(F.col("page_id").isNotNull() & usable(F.col("embedding"), dim)).select("page_id", "embedding").dropDuplicates(["page_id"]))
     n = max(1, -(-rows.count() // BLOCK))
     own = F.pmod(F.xxhash64("page_id"), F.lit(n)).cast("int")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridloom.functions import metrics, text
 from gridloom.functions.embedding import hash_embed
@@ -12,8 +13,9 @@ from gridloom.functions.vectors import half
 from gridloom.operators import bm25, chunking, components, entity_clusters, evaluation, fusion, replay, vector_index
 from gridloom.plans import pipeline
 from gridloom.plans.oracle import ORACLE
-from gridloom.session import cut
-from gridloom.sources.tables import batch_rows, latest_pages, table
+from gridloom.session import cut, shared_dir
+from gridloom.sources.tables import batch_rows, latest_pages, manifest_json, operations, pages_json, queries_json, read_matrix, read_postings, table, write_matrix, write_postings
+from gridloom.streaming.changelog import LiveTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +39,11 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "search_query")
 
 
+def _fresh(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}/trip-{uuid.uuid4().hex}"
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", "embedding")
 
@@ -86,8 +93,44 @@ def _initial(rows: DataFrame) -> DataFrame:
 def vec_insert_status(spark, d):
     """Every insert batch of the log as if it came right after the initial build."""
     rows = batch_rows(table(spark, d, "changelog"))
-    known = _initial(rows).select("vec_id", F.lit(True).alias("_live"))
-    return rows.where("op = 'insert'").join(known, "vec_id", "left").select("batch", "pos", "vec_id", F.col("_live").isNull().alias("succeeded"))
+    return vector_index.insert_status(_initial(rows), rows.where("op = 'insert'"), "batch").select("batch", "pos", "vec_id", "succeeded")
+
+
+def _played(spark, d):
+    """A VectorIndex after an insert of all vectors, a delete of every seventh and one more, and an insert of every third again, negated."""
+    rows, index = _vectors(spark, d), vector_index.VectorIndex(spark, 64)
+    first = index.insert(rows.select(F.col("vec_id").alias("pos"), "vec_id", "embedding"))
+    gone = rows.where("vec_id % 7 = 0").select(F.col("vec_id").alias("pos"), "vec_id")
+    second = index.delete(gone.union(spark.createDataFrame([(10**9, 10**9)], gone.schema)))
+    again = rows.where("vec_id % 3 = 0").select(F.col("vec_id").alias("pos"), "vec_id", F.transform("embedding", lambda v: -v).alias("embedding"))
+    return index, (first, second, index.insert(again))
+
+
+@query
+def vec_index_status(spark, d):
+    _, said = _played(spark, d)
+    out = None
+    for call, got in enumerate(said):
+        for name in ("succeeded", "failed"):
+            part = got[name].select(F.lit(call).alias("call"), "vec_id", F.lit(name == "succeeded").alias("succeeded"))
+            out = part if out is None else out.union(part)
+    return out
+
+
+@query
+def vec_index_search(spark, d):
+    """The same search twice, before and after the cache holds it, with more neighbours than a block of the prescreen."""
+    index, _ = _played(spark, d)
+    some = _vector_queries(spark, d)
+    index.search(some, 70)
+    return index.search(some, 70).select("q", "rank", "vec_id", _r("score"))
+
+
+@query
+def vec_naive_search(spark, d):
+    index = vector_index.NaiveIndex(spark, 64)
+    index.insert(_vectors(spark, d).select(F.col("vec_id").alias("pos"), "vec_id", "embedding"))
+    return index.search(_vector_queries(spark, d), 10).select("q", "rank", "vec_id", _r("score"))
 
 
 @query
@@ -132,19 +175,33 @@ def jaccard_scores(spark, d):
     return got.select("scenario", "seq", F.round(metrics.jaccard(F.col("succeeded"), whole), 6).alias("j_succeeded"), F.round(metrics.jaccard(F.col("failed"), whole), 6).alias("j_failed"))
 
 
-def _mutations(spark, d):
-    """An index that lets every operation succeed, scored against the replay."""
-    truth = cut(replay.results(_status(spark, d)))
-    none = F.array().cast("array<bigint>")
-    got = truth.select("scenario", "seq", "op", F.concat("succeeded", "failed").alias("succeeded"), none.alias("failed"))
-    return replay.mutation_scores(got, truth)
+def _stale(status: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An index that never removes what it holds: its statuses, and what it takes to be live.
+
+    An id's first insert succeeds, and every delete of an id that was ever inserted.
+    """
+    w = Window.partitionBy("scenario", "vec_id").orderBy("seq", "pos")
+    before = F.coalesce(F.sum(F.when(F.col("op") == "insert", 1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    said = status.withColumn("succeeded", F.when(F.col("op") == "insert", before == 0).otherwise(before > 0))
+    live = said.where("op = 'insert' and succeeded").select("scenario", "vec_id", "embedding", F.col("seq").alias("born"), F.lit(None).cast("int").alias("died"))
+    return said, live
 
 
 @query
 def functional_score(spark, d):
-    recalls = replay.searches(table(spark, d, "manifest")).select("scenario", "seq", F.lit(1.0).alias("recall"), F.lit(1).alias("n_queries"))
+    """The scores of an index that never removes anything, whose searches are answered from all it ever took in."""
+    status, at, some = cut(_status(spark, d)), replay.searches(table(spark, d, "manifest")), _vector_queries(spark, d)
+    said, live = _stale(status)
+    found = replay.recalls(cut(replay.search_lives(live, at, some)), cut(replay.search(status, at, some)), at, some)
     names = ("insert_score", "delete_score", "search_score", "functional")
-    return replay.scenario_scores(_mutations(spark, d), recalls).select("scenario", *[_r(n) for n in names])
+    return replay.scenario_scores(replay.mutation_scores(said, status), found).select("scenario", *[_r(n) for n in names])
+
+
+@query
+def search_recall(spark, d):
+    status, at, some = cut(_status(spark, d)), replay.searches(table(spark, d, "manifest")), _vector_queries(spark, d)
+    got, truth = replay.search_lives(_stale(status)[1], at, some), replay.search(status, at, some)
+    return replay.recalls(cut(got), cut(truth), at, some).select("scenario", "seq", _r("recall"), "n_queries")
 
 
 @query
@@ -170,7 +227,83 @@ def page_id_normalize(spark, d):
 
 @query
 def entry_text(spark, d):
-    return _pages(spark, d).select("page_id", text.entry_text("title", "content").alias("entry"))
+    rows = _pages(spark, d).select("page_id", "title", "content", F.explode(F.array(F.lit(True), F.lit(False))).alias("titled"))
+    return rows.select("page_id", "titled", text.entry_text(F.when(F.col("titled"), F.col("title")).otherwise(""), "content").alias("entry"))
+
+
+# readers and writers, by round trip
+
+@query
+def corpus_scan(spark, d):
+    """Every page as a JSON file of its own, read back."""
+    path = _fresh(spark)
+    rows = _pages(spark, d).select(F.col("page_id").alias("k"), F.concat(F.lit(" "), F.col("page_id").cast("string")).alias("page_id"), "title", "content")
+    rows.repartition("k").write.partitionBy("k").json(path)
+    return pages_json(spark, f"{path}/*").select("page_id", "title", "content")
+
+
+@query
+def query_scan(spark, d):
+    """The stated queries as JSON with ids as strings, read back as lists and as sets."""
+    path = _fresh(spark)
+    doubled = F.transform(F.concat("relevant", "relevant"), lambda i: i.cast("string")).alias("relevant_page_ids")
+    _queries(spark, d).select("query_id", "query", doubled).write.json(path)
+    lists, sets = queries_json(spark, f"{path}/*.json", lines=True), queries_json(spark, f"{path}/*.json", as_set=True, lines=True)
+    return lists.select("query_id", F.size("relevant").cast("bigint").alias("n_list")).join(sets.select("query_id", "query", F.array_sort("relevant").alias("relevant")), "query_id")
+
+
+@query
+def batch_scan(spark, d):
+    """Every batch of the log as a map of ids."""
+    return batch_rows(table(spark, d, "changelog")).select("batch", "op", F.col("pos").cast("bigint").alias("pos"), "vec_id", F.coalesce(F.size("embedding"), F.lit(0)).cast("bigint").alias("n"))
+
+
+@query
+def operation_scan(spark, d):
+    """The operations of the manifest's scenarios, written as JSON manifests, read back with their totals."""
+    ops = operations(table(spark, d, "manifest"))
+    one = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("op").alias("type"), "batch"))), lambda o: F.struct(o["type"].alias("type"), o["batch"].alias("batch")))
+    path = _fresh(spark)
+    ops.groupBy("scenario").agg(one.alias("operations")).withColumn("dim", F.lit(64)).write.json(path)
+    return manifest_json(spark, f"{path}/*.json", lines=True).groupBy("op", "batch", "dim").agg(F.count("*").alias("n"))
+
+
+@query
+def matrix_round_trip(spark, d):
+    path = _fresh(spark)
+    write_matrix(_vectors(spark, d), path, 64)
+    return read_matrix(spark, path).select("vec_id", F.transform("embedding", lambda v: F.round(v.cast("double"), 6)).alias("embedding"))
+
+
+@query
+def postings_round_trip(spark, d):
+    path = _fresh(spark)
+    write_postings(_index(spark, d), path)
+    held = read_postings(spark, path)
+    return held["postings"].join(held["vocab"], "term").join(held["lengths"], "page_id").select("term", "page_id", "tf", "df", "doc_len")
+
+
+@query
+def live_table(spark, d):
+    """The vectors that are live after every batch of the log, by logged_at: each batch a micro-batch, on objects that know the path only."""
+    rows = table(spark, d, "changelog").select("vec_id", "op", "logged_at", "pos", "embedding")
+    path = _fresh(spark)
+    cuts = F.ntile(3).over(Window.orderBy("at"))
+    times = cut(rows.select(F.date_trunc("day", "logged_at").alias("at")).distinct().select("at", cuts.alias("part")))
+    parts = cut(rows.withColumn("at", F.date_trunc("day", "logged_at")).join(times, "at", "left"))
+    for number in range(3):
+        LiveTable(spark, path).apply(parts.where(F.col("part") == number + 1), number)
+    return LiveTable(spark, path).read().select("vec_id", F.size("embedding").cast("bigint").alias("n"))
+
+
+@query
+def corpus_search(spark, d):
+    """From pages as JSON files to answers: chunks, embeddings, clusters and postings are built, written and loaded, then searched."""
+    path = _fresh(spark)
+    rows = _pages(spark, d).select(F.col("page_id").alias("k"), F.col("page_id").cast("string").alias("page_id"), "title", "content")
+    rows.repartition("k").write.partitionBy("k").json(f"{path}/pages")
+    pipeline.build_index(pages_json(spark, f"{path}/pages/*").drop("position"), f"{path}/index")
+    return pipeline.search_batch(pipeline.load_index(spark, f"{path}/index"), _queries(spark, d), 10)
 
 
 @query
@@ -189,17 +322,19 @@ def _chunks(pages: DataFrame, target: int) -> DataFrame:
 
 @query
 def chunk_w100(spark, d):
-    return _chunks(_pages(spark, d).withColumn("title", F.lit("")), 100)
+    return _chunks(_pages(spark, d), 100)
 
 
 @query
 def chunk_w150(spark, d):
-    return _chunks(_pages(spark, d).withColumn("title", F.lit("")), 150)
+    return _chunks(_pages(spark, d), 150)
 
 
 @query
-def chunk_titled(spark, d):
-    return _chunks(_pages(spark, d), 100)
+def chunk_untitled(spark, d):
+    """Titles of white space alone, and titles within white space: every page has one of the two."""
+    blank = F.col("page_id") % 2 == 0
+    return _chunks(_pages(spark, d).withColumn("title", F.when(blank, "  ").otherwise(F.concat(F.lit(" \t"), text.text_of("title"), F.lit(" ")))), 100)
 
 
 @query
@@ -210,8 +345,24 @@ def hash_embeddings(spark, d):
 
 # lexical index
 
+#: What was built of a folder's tables, by application and folder: queries of one session share it.
+_BUILT: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, build: Callable[[], object]):
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
+def build_all(spark: SparkSession, d: str) -> None:
+    """Postings, embedded passages and entity clusters of a folder, which the queries of this session then read."""
+    _with_clusters(spark, d)
+
+
 def _index(spark, d):
-    return bm25.build(cut(_pages(spark, d)))
+    return _once(spark, d, "postings", lambda: bm25.build(cut(_pages(spark, d))))
 
 
 def _bm25(spark, d):
@@ -271,6 +422,10 @@ def connective_flag(spark, d):
 # dense scores and fusion
 
 def _embedded(spark, d):
+    return _once(spark, d, "passages", lambda: _embed(spark, d))
+
+
+def _embed(spark, d):
     return cut(pipeline.embed_passages(_passages(spark, d).select("granularity", "page_id", "chunk_id", "text")))
 
 
@@ -301,10 +456,8 @@ def zscore_sparse(spark, d):
 
 
 def _with_clusters(spark, d):
-    leads = _leads(spark, d)
-    pages = cut(_pages(spark, d))
-    index = bm25.build(pages)
-    return index | {"passages": _embedded(spark, d), "clusters": cut(entity_clusters.clusters(pages, entity_clusters.similar_pairs(leads, 0.75)))}
+    groups = _once(spark, d, "clusters", lambda: cut(entity_clusters.clusters(_pages(spark, d), entity_clusters.similar_pairs(_leads(spark, d), 0.75))))
+    return _index(spark, d) | {"passages": _embedded(spark, d), "clusters": groups}
 
 
 def _fused(spark, d):

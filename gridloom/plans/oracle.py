@@ -64,7 +64,7 @@ _PARTS = {
   WHERE op = 'insert'""",
     "initial": "SELECT vec_id FROM rows_ WHERE op = 'insert' AND batch = 'scenario_000/op_0000_insert.npy'",
     # texts
-    "sentences": rf"""SELECT page_id, title, list_filter(list_transform(string_split(regexp_replace(coalesce(content, ''), '([.!?])\s+', '\1' || {_CUT}, 'g'), {_CUT}), lambda s: {_strip('s')}), lambda s: s <> '') AS s FROM pages""",
+    "sentences": rf"""SELECT page_id, {_strip("coalesce(title, '')")} AS title, list_filter(list_transform(string_split(regexp_replace(coalesce(content, ''), '([.!?])\s+', '\1' || {_CUT}, 'g'), {_CUT}), lambda s: {_strip('s')}), lambda s: s <> '') AS s FROM pages""",
     "units": "SELECT page_id, title, CASE WHEN len(s) > 0 THEN s ELSE [CASE WHEN coalesce(title, '') <> '' THEN title ELSE page_id::VARCHAR END] END AS s FROM sentences",
     "docs": f"SELECT page_id, {_tokens('coalesce(title, ' + chr(39) * 2 + ') || ' + chr(39) + ' ' + chr(39) + ' || coalesce(content, ' + chr(39) * 2 + ')')} AS tokens FROM pages",
     "lens": "SELECT page_id, len(tokens)::BIGINT AS doc_len FROM docs",
@@ -115,31 +115,75 @@ _NEEDS = {
 }
 
 
-def _chunks(target: int, titled: bool) -> str:
+def _fold(target: int, n: str = "") -> str:
     """Passages by a recursion over sentences: from every row the next sentence joins the open passage or closes it."""
-    prefix = "CASE WHEN coalesce(title, '') <> '' THEN title || '. ' ELSE '' END" if titled else "''"
-    units = "units" if titled else "(SELECT page_id, '' AS title, CASE WHEN len(s) > 0 THEN s ELSE [page_id::VARCHAR] END AS s FROM sentences)"
     words = rf"len(string_split(regexp_replace({_strip('x')}, '\s+', ' ', 'g'), ' '))"
-    steps = f"""WITH RECURSIVE pages AS ({_PARTS['pages']}), sentences AS ({_PARTS['sentences']}), units AS ({_PARTS['units']}),
-own AS (SELECT page_id, title, s, list_transform(s, lambda x: CASE WHEN {_strip('x')} = '' THEN 0 ELSE {words} END) AS w FROM {units}),
-fold AS (SELECT page_id, 0 AS i, 0 AS st, 0::BIGINT AS acc, NULL::INT AS cs, NULL::INT AS ce FROM own
+    return f"""own{n} AS (SELECT page_id, title, s, list_transform(s, lambda x: CASE WHEN {_strip('x')} = '' THEN 0 ELSE {words} END) AS w FROM units),
+fold{n} AS (SELECT page_id, 0 AS i, 0 AS st, 0::BIGINT AS acc, NULL::INT AS cs, NULL::INT AS ce FROM own{n}
   UNION ALL SELECT f.page_id, i + 1,
     CASE WHEN acc + w[i + 1] >= {target} THEN CASE WHEN w[i + 1] <= {target // 2} THEN i ELSE i + 1 END ELSE st END,
     CASE WHEN acc + w[i + 1] >= {target} THEN CASE WHEN w[i + 1] <= {target // 2} THEN w[i + 1] ELSE 0 END ELSE acc + w[i + 1] END,
     CASE WHEN acc + w[i + 1] >= {target} THEN st END, CASE WHEN acc + w[i + 1] >= {target} THEN i END
-  FROM fold f JOIN own USING (page_id) WHERE i < len(s)),
-spans AS (SELECT page_id, cs, ce, i FROM fold WHERE cs IS NOT NULL UNION ALL SELECT page_id, st, i - 1, i + 1 FROM fold JOIN own USING (page_id) WHERE i = len(s) AND acc > 0)
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS chunk_id, {prefix} || array_to_string(s[cs + 1:ce + 1], ' ') AS text FROM spans JOIN own USING (page_id)"""
-    return steps
+  FROM fold{n} f JOIN own{n} USING (page_id) WHERE i < len(s)),
+spans{n} AS (SELECT page_id, cs, ce, i FROM fold{n} WHERE cs IS NOT NULL UNION ALL SELECT page_id, st, i - 1, i + 1 FROM fold{n} JOIN own{n} USING (page_id) WHERE i = len(s) AND acc > 0),
+chunks{n} AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS chunk_id, CASE WHEN title <> '' THEN title || '. ' ELSE '' END || array_to_string(s[cs + 1:ce + 1], ' ') AS text
+  FROM spans{n} JOIN own{n} USING (page_id))"""
+
+
+def _chunks(target: int, title: str = "title") -> str:
+    return f"""WITH RECURSIVE pages AS (SELECT page_id, {title} AS title, content FROM ({_PARTS['pages']})), sentences AS ({_PARTS['sentences']}), units AS ({_PARTS['units']}),
+{_fold(target)} SELECT page_id, chunk_id, text FROM chunks"""
+
+
+_HALF = "list_transform({0}, lambda v: CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE round_even(v / pow(2, greatest(floor(log2(abs(v))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(v))), -14) - 10) END)"
+
+
+def _corpus() -> str:
+    """The whole of `hybrid_search` over passages that are made from the pages."""
+    own = {
+        "passages": "SELECT NULL AS passage_id, 100 AS granularity, page_id, chunk_id, text FROM chunks100 UNION ALL SELECT NULL, 150, page_id, chunk_id, text FROM chunks150",
+        "p_emb": f"SELECT * EXCLUDE e, {_HALF.format('e')} AS e FROM ({_PARTS['p_emb']})",
+        "leads": "SELECT page_id, e::DOUBLE[64] AS e FROM p_emb WHERE granularity = 100 AND chunk_id = 0 AND list_inner_product(e, e) > 0",
+    }
+    names = "docs lens tf vocab terms lexical found_numbers number_terms number_best numbers passages p_emb q_emb dense z lex_m num_m fused leads pairs reach labels candidates members weighed regrouped asks".split()
+    rest = ",\n".join(f"{x} AS ({own.get(x, _PARTS[x])})" for x in names)
+    head = f"pages AS ({_PARTS['pages']}), sentences AS ({_PARTS['sentences']}), units AS ({_PARTS['units']}),\n{_fold(100, n='100')},\n{_fold(150, n='150')}"
+    return f"WITH RECURSIVE {head},\n{rest}\n{_ANSWERS}"
+
+
+_ANSWERS = """SELECT query_id, page_id, r AS rank FROM candidates JOIN asks USING (query_id) WHERE NOT flag AND r <= 10
+UNION ALL SELECT query_id, page_id, rank FROM regrouped JOIN asks USING (query_id) WHERE flag"""
 
 
 def _top(where: str = "", k: int = 10) -> str:
     return f"SELECT q, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, vec_id) AS rank, vec_id, round(score, 6) AS score FROM products {where} QUALIFY rank <= {k}"
 
 
-_MUTATION = """(SELECT scenario, seq, op, len(succeeded) + len(failed) AS items, 0.5 * (CASE WHEN len(succeeded) + len(failed) = 0 THEN 1 ELSE len(list_distinct(succeeded)) / len(list_distinct(list_concat(succeeded, failed))) END + CASE WHEN len(failed) = 0 THEN 1.0 ELSE 0.0 END) AS score FROM results)"""
+# an index that never removes what it holds
+_STALE = f"""stale AS (SELECT * EXCLUDE (succeeded), succeeded AS t, CASE WHEN op = 'insert' THEN n = 0 ELSE n > 0 END AS g
+  FROM (SELECT *, count(*) FILTER (op = 'insert') OVER (PARTITION BY scenario, vec_id ORDER BY seq, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM status)),
+ids AS (SELECT scenario, seq, op, vec_id, bool_or(t)::INT AS ts, bool_or(NOT t)::INT AS tf, bool_or(g)::INT AS gs, bool_or(NOT g)::INT AS gf, count(*) AS items FROM stale GROUP BY ALL),
+mutations AS (SELECT scenario, seq, op, sum(items) AS items, 0.5 * (CASE WHEN sum(greatest(ts, gs)) = 0 THEN 1.0 ELSE sum(least(ts, gs)) / sum(greatest(ts, gs)) END
+  + CASE WHEN sum(greatest(tf, gf)) = 0 THEN 1.0 ELSE sum(least(tf, gf)) / sum(greatest(tf, gf)) END) AS score FROM ids GROUP BY ALL),
+times AS (SELECT DISTINCT scenario, seq FROM ops WHERE op NOT IN ('insert', 'delete')),
+kept AS (SELECT scenario, vec_id, embedding, seq AS born, NULL::INT AS died FROM stale WHERE op = 'insert' AND g),
+{{truth}}, {{got}},
+per AS (SELECT t.scenario, t.seq, t.q, count(g.vec_id) / count(*) AS r FROM truth t LEFT JOIN got g ON g.scenario = t.scenario AND g.seq = t.seq AND g.q = t.q AND g.vec_id = t.vec_id
+  AND g.rank <= (SELECT count(*) FROM truth x WHERE x.scenario = t.scenario AND x.seq = t.seq AND x.q = t.q) GROUP BY ALL),
+recalls AS (SELECT scenario, seq, (coalesce(sum(r), 0) + (SELECT count(*) FROM vq) - count(q)) / (SELECT count(*) FROM vq) AS recall, (SELECT count(*) FROM vq) AS n_queries FROM times LEFT JOIN per USING (scenario, seq) GROUP BY scenario, seq)"""
+_BEST = """{0} AS (SELECT scenario, o.seq, q, vec_id, row_number() OVER (PARTITION BY scenario, o.seq, q ORDER BY round(list_inner_product(e, embedding::DOUBLE[]), 9) DESC, vec_id) AS rank
+  FROM times o JOIN (SELECT * FROM {1} WHERE {2}) l USING (scenario), vq WHERE born < o.seq AND (died IS NULL OR died > o.seq) QUALIFY rank <= 10)"""
+_STALE = _STALE.replace("{truth}", _BEST.format("truth", "lives", _FINE.format("embedding"))).replace("{got}", _BEST.format("got", "kept", _FINE.format("embedding")))
 _SUM = "coalesce(sum(score * items) FILTER (op = '{0}'), 0.0) / greatest(coalesce(sum(items) FILTER (op = '{0}'), 0), 1)"
 
+
+def _stale(select: str) -> str:
+    return _with("status", "lives", "ops", "vq", select="").rstrip() + ",\n" + _STALE + "\n" + select
+
+
+# vectors of `_played` after its three calls
+_KEPT = """SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda v: -v) ELSE embedding END::DOUBLE[] AS e FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id % 3 = 0"""
+
 ORACLE: dict[str, str] = {
     "vec_topk": _with("products", select=_top()),
     "vec_topk_sql": _with("products", select=_top()),
@@ -156,18 +200,36 @@ FROM (SELECT scenario, o.seq, q, vec_id, list_inner_product(e, embedding::DOUBLE
   round(round_even(v / pow(2, greatest(floor(log2(abs(v))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(v))), -14) - 10), 9) END) AS embedding FROM embeddings""",
     "jaccard_scores": _with("results", select="""SELECT scenario, seq, round(CASE WHEN n = 0 THEN 1 ELSE len(list_distinct(succeeded)) / n END, 6) AS j_succeeded, round(CASE WHEN n = 0 THEN 1 ELSE len(list_distinct(failed)) / n END, 6) AS j_failed
 FROM (SELECT *, len(list_distinct(list_concat(succeeded, failed))) AS n FROM results)"""),
-    "functional_score": _with("results", "ops", select=f"""SELECT scenario, round(i, 6) AS insert_score, round(d, 6) AS delete_score, round(s, 6) AS search_score, round(0.5 * s + 0.3 * i + 0.2 * d, 6) AS functional
-FROM (SELECT scenario, {_SUM.format('insert')} AS i, {_SUM.format('delete')} AS d, CASE WHEN scenario IN (SELECT scenario FROM ops WHERE op = 'search') THEN 1.0 ELSE 0.0 END::DOUBLE AS s FROM {_MUTATION} GROUP BY scenario)"""),
+    "functional_score": _stale(f"""SELECT scenario, round(i, 6) AS insert_score, round(d, 6) AS delete_score, round(s, 6) AS search_score, round(0.5 * s + 0.3 * i + 0.2 * d, 6) AS functional
+FROM (SELECT scenario, {_SUM.format('insert')} AS i, {_SUM.format('delete')} AS d FROM mutations GROUP BY scenario) JOIN (SELECT scenario, coalesce(sum(recall * n_queries) / greatest(sum(n_queries), 1), 0.0) AS s
+  FROM (SELECT DISTINCT scenario FROM mutations) LEFT JOIN recalls USING (scenario) GROUP BY scenario) USING (scenario)"""),
+    "search_recall": _stale("SELECT scenario, seq, round(recall, 6) AS recall, n_queries FROM recalls"),
+    "vec_index_status": """SELECT 0 AS call, vec_id, true AS succeeded FROM embeddings UNION ALL SELECT 1, vec_id, true FROM embeddings WHERE vec_id % 7 = 0 UNION ALL SELECT 1, 1000000000, false
+UNION ALL SELECT 2, vec_id, vec_id % 7 = 0 FROM embeddings WHERE vec_id % 3 = 0""",
+    "vec_index_search": f"""WITH vq AS ({_PARTS['vq']}), kept AS ({_KEPT}), products AS (SELECT q, vec_id, list_inner_product(vq.e, kept.e) AS score FROM vq, kept) {_top(k=70)}""",
+    "vec_naive_search": _with("products", select=_top()),
+    "corpus_scan": _with("pages", select="SELECT page_id, coalesce(title, '') AS title, coalesce(content, '') AS content FROM pages"),
+    "query_scan": "SELECT query_id, query, 2 * len(relevant) AS n_list, list_sort(list_distinct(relevant)) AS relevant FROM search_query",
+    "batch_scan": _with("rows_", select="SELECT batch, op, pos, vec_id, coalesce(len(embedding), 0) AS n FROM rows_"),
+    "operation_scan": _with("ops", select="SELECT op, batch, 64 AS dim, count(*) AS n FROM ops GROUP BY ALL"),
+    "matrix_round_trip": "SELECT vec_id, list_transform(embedding, lambda v: round(v::DOUBLE, 6)) AS embedding FROM embeddings",
+    "postings_round_trip": _with("vocab", "lens", select="SELECT term, page_id, tf, df, doc_len FROM tf JOIN vocab USING (term) JOIN lens USING (page_id)"),
+    "live_table": """WITH rows_ AS (SELECT DISTINCT vec_id, op, logged_at, pos, embedding FROM changelog WHERE vec_id IS NOT NULL),
+days AS (SELECT d, ntile(3) OVER (ORDER BY d) AS part FROM (SELECT DISTINCT date_trunc('day', logged_at) AS d FROM changelog)),
+parts AS (SELECT r.*, part FROM rows_ r JOIN days ON d = date_trunc('day', logged_at)),
+ends AS (SELECT *, max((part, logged_at, pos)) FILTER (op = 'delete') OVER (PARTITION BY vec_id) AS gone FROM parts)
+SELECT vec_id, len(arg_min(embedding, (part, logged_at, pos))) AS n FROM ends WHERE op = 'insert' AND embedding IS NOT NULL AND (gone IS NULL OR (part, logged_at, pos) > gone) GROUP BY vec_id""",
+    "corpus_search": _corpus(),
     "runtime_multiplier": "SELECT doc_id, CASE WHEN n_chars / 1000.0 <= 0.5 THEN 1.0 WHEN n_chars / 1000.0 <= 1 THEN 0.9 WHEN n_chars / 1000.0 <= 2 THEN 0.75 ELSE 0.5 END::DOUBLE AS multiplier FROM documents",
     "recall_at_k": _with("lexical_top", select="""SELECT query_id, round(CASE WHEN n = 0 THEN 1.0 ELSE len(list_intersect(coalesce(result, [])[:n], relevant[:n])) / n END, 6) AS recall
 FROM (SELECT query_id, relevant, least(10, len(relevant)) AS n, result FROM search_query LEFT JOIN (SELECT query_id, list(page_id ORDER BY rank) AS result FROM lexical_top GROUP BY query_id) USING (query_id))"""),
     "page_id_normalize": _with("pages", select="SELECT len(page_id::VARCHAR) + 3 AS raw_length, page_id FROM pages"),
-    "entry_text": _with("pages", select="SELECT page_id, coalesce(title, '') || chr(10) || chr(10) || coalesce(content, '') AS entry FROM pages"),
+    "entry_text": _with("pages", select=f"""SELECT page_id, t AS titled, {_strip("CASE WHEN t AND coalesce(title, '') <> '' THEN title || chr(10) || chr(10) ELSE '' END || coalesce(content, '')")} AS entry FROM pages, (VALUES (true), (false)) v(t)"""),
     "sentence_split": _with("sentences", select="SELECT page_id, unnest(range(len(s))) AS sent_id, unnest(s) AS sentence FROM sentences"),
     "word_count": _with("pages", select=rf"SELECT page_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS n_words FROM (SELECT page_id, trim(regexp_replace(coalesce(content, ''), '\s+', ' ', 'g')) AS t FROM pages)"),
-    "chunk_w100": _chunks(100, False),
-    "chunk_w150": _chunks(150, False),
-    "chunk_titled": _chunks(100, True),
+    "chunk_w100": _chunks(100),
+    "chunk_w150": _chunks(150),
+    "chunk_untitled": _chunks(100, "CASE WHEN page_id % 2 = 0 THEN '  ' ELSE ' ' || chr(9) || coalesce(title, '') || ' ' END"),
     "hash_embeddings": _with("p_emb", select="SELECT passage_id, list_transform(e, lambda x: round(x, 6)) AS embedding FROM p_emb"),
     "tokenize": _with("docs", select="SELECT page_id, tokens FROM docs"),
     "doc_length": _with("lens", select="SELECT page_id, doc_len FROM lens"),
@@ -189,8 +251,7 @@ FROM (SELECT query_id, relevant, least(10, len(relevant)) AS n, result FROM sear
     "clusters": _with("labels", select="SELECT page_id, cluster_id FROM labels", recursive=True),
     "connected_pairs": _with("reach", select="SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a", recursive=True),
     "cluster_rerank": _with("regrouped", select="SELECT query_id, page_id, rank FROM regrouped", recursive=True),
-    "hybrid_search": _with("regrouped", "asks", select="""SELECT query_id, page_id, r AS rank FROM candidates JOIN asks USING (query_id) WHERE NOT flag AND r <= 10
-UNION ALL SELECT query_id, page_id, rank FROM regrouped JOIN asks USING (query_id) WHERE flag""", recursive=True),
+    "hybrid_search": _with("regrouped", "asks", select=_ANSWERS, recursive=True),
     "dcg": _with("gains", select=f"SELECT query_id, round(sum(gain * {_discount('rank')}), 6) AS dcg FROM gains GROUP BY query_id"),
     "ndcg_at_k": _with("ndcgs", select="SELECT query_id, round(ndcg, 6) AS ndcg FROM ndcgs"),
     "mean_ndcg": _with("ndcgs", select="SELECT count(*) AS n_queries, round(coalesce(avg(ndcg), 0), 6) AS mean_ndcg FROM ndcgs"),

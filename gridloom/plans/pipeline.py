@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.functions.embedding import hash_embed
 from gridloom.functions.text import connective
+from gridloom.functions.vectors import half
 from gridloom.operators import bm25, chunking, entity_clusters, fusion
 from gridloom.session import cut
 from gridloom.sources import tables
@@ -27,9 +28,11 @@ def embed_queries(queries: DataFrame, embed=hash_embed) -> DataFrame:
 def build_index(pages: DataFrame, path: str, granularities: tuple[int, ...] = chunking.GRANULARITIES, embed=hash_embed, entity: float = ENTITY) -> None:
     """Chunk, embed, cluster and count pages (page_id, title, content), and write all artefacts under a path."""
     passages = chunking.passages(pages, granularities)
-    embed_passages(passages, embed).write.mode("overwrite").partitionBy("granularity").parquet(f"{path}/passages")
+    # half precision, as numbers of 4 bytes of which most bits are 0: they compress to what 2 bytes take
+    halved = half(F.col("embedding")).cast("array<float>")
+    embed_passages(passages, embed).withColumn("embedding", halved).write.mode("overwrite").partitionBy("granularity").parquet(f"{path}/passages")
     vectors = pages.sparkSession.read.parquet(f"{path}/passages")
-    leads = vectors.where((F.col("granularity") == granularities[0]) & (F.col("chunk_id") == 0)).select("page_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    leads = vectors.where((F.col("granularity") == granularities[0]) & (F.col("chunk_id") == 0)).select("page_id", "embedding")
     entity_clusters.clusters(pages, entity_clusters.similar_pairs(leads, entity)).write.mode("overwrite").parquet(f"{path}/clusters")
     tables.write_postings(bm25.build(pages), path)
 

@@ -115,6 +115,70 @@ def test_similar_pairs(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_similar_pairs_of_any_dimension(spark):
+    rows = [(i, v) for i, v in enumerate([[1.0] * 384, [1.0] * 384, [2.0] * 383 + [1.9], [-1.0] * 384])] + [(9, [1.0] * 64)]
+    got = {(r["a"], r["b"]) for r in similar_pairs(spark.createDataFrame(rows, "page_id bigint, embedding array<float>")).collect()}
+    assert got == {(0, 1), (0, 2), (1, 2)}
+    assert similar_pairs(spark.createDataFrame([], "page_id bigint, embedding array<float>")).count() == 0
+
+
+def scenario_rows():
+    rng = np.random.default_rng(3)
+    vector = lambda: rng.normal(size=8).astype(np.float32).tolist()
+    log = [("a", "insert", i, i, vector()) for i in range(40)] + [("d", "delete", p, i, None) for p, i in enumerate([3, 3, 7, 99])]
+    log += [("b", "insert", p, i, vector()) for p, i in enumerate([3, 5, 50])] + [("b", "insert", 9, 60, [1.0])]
+    ops = [(0, 0, "insert", "a", 8), (0, 1, "search", None, 8), (0, 2, "delete", "d", 8), (0, 3, "search", None, 8), (0, 4, "insert", "b", 8), (0, 5, "other", None, 8)]
+    queries = [(q, vector()) for q in range(4)] + [(9, log[7][4])]
+    return log, ops, queries
+
+
+def test_scores_of_what_was_played(spark):
+    from gridloom.operators.vector_index import NaiveIndex, VectorIndex
+    from gridloom.plans import scenario
+
+    class Stale(VectorIndex):
+        def delete(self, batch):
+            before = self.live
+            got = super().delete(batch)
+            self.live = before
+            return got
+
+    log, ops, queries = scenario_rows()
+    log = spark.createDataFrame(log, "batch string, op string, pos int, vec_id bigint, embedding array<float>")
+    ops = spark.createDataFrame(ops, "scenario int, seq int, op string, batch string, dim int")
+    queries = spark.createDataFrame(queries, "q bigint, embedding array<float>")
+    for kind, right in ((VectorIndex, True), (NaiveIndex, True), (Stale, False)):
+        said, answers, times = scenario.play(log, ops, 0, queries, kind(spark, 8), 10)
+        got = scenario.score(log, ops, 0, queries, said, answers, 8)
+        assert times["timed_out"] == 0 and times["dynamic"] > 0
+        if right:
+            assert got == pytest.approx({"insert_score": 1, "delete_score": 1, "search_score": 1, "functional": 1})
+        else:
+            assert got["insert_score"] < 1 and 0.5 < got["search_score"] < 1 and got["functional"] < 1
+    said, answers, times = scenario.play(log, ops, 0, queries, VectorIndex(spark, 8), 10, wall=0.0)
+    assert times["timed_out"] == 1 and answers.count() == 0
+    assert scenario.score(log, ops, 0, queries, said, answers, 8)["search_score"] == 0
+    assert scenario.score(log, ops, 0, queries, said, answers, 8, totals={"insert": 400, "delete": 1, "search": 1})["insert_score"] < 0.2
+
+
+@pytest.mark.parametrize("sent", [100_000, 1])
+def test_search_of_lives(spark, monkeypatch, sent):
+    monkeypatch.setattr(replay, "SENT", sent)
+    monkeypatch.setattr(replay, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 4)).round(3)
+    lives = [(i % 2, i, x[i].tolist(), int(i % 5), None if i % 3 else 6) for i in range(60)] + [(0, 100, None, 0, None), (0, 101, [0.0] * 4, 0, None)]
+    at = [(s, t) for s in (0, 1, 2) for t in (1, 3, 8)]
+    q = rng.normal(size=(5, 4)).round(3)
+    got = replay.search_lives(spark.createDataFrame(lives, "scenario int, vec_id bigint, embedding array<double>, born int, died int").repartition(5), spark.createDataFrame(at, "scenario int, seq int"), spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "q bigint, embedding array<double>"), 3).collect()
+    want = set()
+    for s, t in at:
+        for i, v in enumerate(q):
+            live = sorted((-round(float(v @ x[j]), 9), j) for j in range(60) if j % 2 == s and j % 5 < t and (j % 3 or t < 6))
+            want |= {(s, t, i, r + 1, j) for r, (_, j) in enumerate(live[:3])}
+    assert {(r["scenario"], r["seq"], r["q"], r["rank"], r["vec_id"]) for r in got} == want
+
+
 def test_half(spark):
     from pyspark.sql import functions as F
 
