@@ -19,7 +19,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.common import list_array
 
@@ -240,8 +241,15 @@ class Bpe:
 _LOADED: dict[str, Bpe] = {}
 
 
-def vocabulary(path: str) -> Bpe:
-    """The vocabulary of a file; a worker loads it once."""
+def shipped(spark: SparkSession, tokenizers: str, name: str) -> str:
+    """Have a vocabulary's file sent to every executor, which needn't have the folder; the name that `vocabulary` finds it by."""
+    spark.sparkContext.addFile(f"{tokenizers}/{name}.json")
+    return f"{name}.json"
+
+
+def vocabulary(file: str) -> Bpe:
+    """The vocabulary of a file that was sent; a worker loads it once."""
+    path = SparkFiles.get(file)
     if path not in _LOADED:
         _LOADED[path] = Bpe(path)
     return _LOADED[path]
@@ -249,10 +257,10 @@ def vocabulary(path: str) -> Bpe:
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """(key, ids): every row's ids without special tokens; strings that look like special tokens are ordinary text."""
-    path = f"{tokenizers}/{name}.json"
+    file = shipped(docs.sparkSession, tokenizers, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids in vocabulary(path).stream(batches):
+        for batch, ids in vocabulary(file).stream(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), list_array(ids, pa.int32())], names=[key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -1,8 +1,8 @@
 """Problem 9: filling containers of fixed capacity with texts, along a space-filling curve.
 
-Each document's token ids are hashed to a few dimensions by a fixed random projection; ranks along each dimension
-give a cell, and the cell's place on the Hilbert curve a key. Range partitions of the key hold stretches of the
-curve. In a stretch, documents fill containers window by window: best fit, largest first, among a bounded number
+Each document's token ids are hashed to a few dimensions by a fixed random projection; each dimension, squeezed by the
+hyperbolic tangent, is cut into equal cells, and the cell's place on the Hilbert curve is a key. Stretches of the curve hold
+about equally many pieces and follow from the pieces' keys alone, not from cores or partitions. In a stretch, documents fill containers window by window: best fit, largest first, among a bounded number
 of containers that stay open, so neighbours on the curve share containers and little room is left over. What is
 still open at a stretch's end is filled up once more over all stretches, as wholes, by the same rule.
 
@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gridloom.llm.common import BASE, mix
-from gridloom.llm.encoding import TOKENIZERS, distinct, vocabulary
+from gridloom.llm.encoding import TOKENIZERS, distinct, shipped, vocabulary
 from gridloom.session import cut
 
 CAPACITY = 2048
@@ -30,8 +30,8 @@ CAPACITY = 2048
 DIMS, BITS = 4, 8
 #: Items sorted by size together, and containers kept open between such windows.
 WINDOW, OPEN = 2048, 64
-#: Items of a stretch, about, and stretches whose open containers are merged together.
-STRETCH, MERGED = 500_000, 4096
+#: Pieces of a stretch, about; bits of a key that stretches are counted by; stretches whose open containers are merged together.
+STRETCH, COUNTED, MERGED = 32_768, 16, 4096
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -69,10 +69,10 @@ def _projection(width: int) -> np.ndarray:
 
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """(key, n_tokens, place): the size of each text in tokens, and its place on the curve."""
-    path = f"{tokenizers}/{name}.json"
+    file = shipped(docs.sparkSession, tokenizers, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path)
+        bpe = vocabulary(file)
         signs = _projection(bpe.width)
         for batch, ids in bpe.stream(batches):
             # a term counts once a document: frequent pieces would else drown the rest
@@ -122,46 +122,73 @@ def fill(sizes: np.ndarray, capacity: int, window: int = WINDOW, most: int = OPE
     return boxes, filler
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, partitions: int | None = None, **names: str) -> DataFrame:
+def stretches(pieces: DataFrame, size: int) -> DataFrame:
+    """The pieces with the number of their stretch: neighbouring cells of the curve with about `size` pieces together.
+
+    A cell of more than that is cut by a hash of its pieces' keys. At most 2**COUNTED counts reach the driver and the tasks.
+    """
+    spark = pieces.sparkSession
+    cell = F.shiftright("place", DIMS * BITS - COUNTED).cast("int")
+    counts = sorted((r[0], r[1]) for r in pieces.groupBy(cell.alias("cell")).count().collect())
+    rows, at, held = [], 0, 0
+    for c, n in counts:
+        parts = max(1, -(-n // (2 * size)))
+        if held and held + n > size:
+            at, held = at + 1, 0
+        rows.append((c, at, parts))
+        held += n
+        if parts > 1:
+            at, held = at + parts, 0
+    known = spark.createDataFrame(rows, "cell int, first int, parts int")
+    part = F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts").cast("bigint")).cast("int")
+    return pieces.withColumn("cell", cell).join(F.broadcast(known), "cell").withColumn("stretch", F.col("first") + part).drop("cell", "first", "parts")
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, stretch: int = STRETCH, **names: str) -> DataFrame:
     """(doc_id, piece, token_start, n_tokens, container): every token of every text in one container.
 
-    A stretch is packed by one task that holds the keys and sizes of about STRETCH items. The stretches' open
+    A stretch is packed by one task that holds the keys and sizes of at most twice `stretch` pieces. The stretches' open
     containers, at most OPEN each, are merged by further tasks, each over at most MERGED neighbouring stretches.
     """
     items = cut(sized(docs, **names))
-    spark = docs.sparkSession
     whole = F.col("n_tokens").cast("bigint")
     n_pieces = F.greatest(F.lit(1), F.ceil(whole / capacity)).cast("int")
     pieces = items.select("doc_id", "place", "n_tokens", F.posexplode(F.sequence(F.lit(0), n_pieces - 1)).alias("piece", "_p")).select(
         "doc_id", "place", "piece", (F.col("piece").cast("bigint") * capacity).alias("token_start"), F.least(F.lit(capacity), whole - F.col("piece").cast("bigint") * capacity).alias("n_tokens")
     )
-    stretches = partitions or max(spark.sparkContext.defaultParallelism, -(-items.count() // STRETCH))
-    ranged = pieces.repartitionByRange(stretches, "place", "doc_id", "piece").sortWithinPartitions("place", "doc_id", "piece")
+    order = ["stretch", "place", "doc_id", "piece", "n_tokens"]
+    sorted_ = stretches(pieces, stretch).select(*order, "token_start").repartition("stretch").sortWithinPartitions(*order)
     schema = "doc_id bigint, piece int, token_start bigint, n_tokens bigint, stretch int, box bigint, open boolean, fill bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         sizes = rows.column("n_tokens").to_numpy()
         boxes, filler = fill(sizes, capacity)
         filled = np.zeros(filler.made, np.int64)
         np.add.at(filled, boxes, sizes)
         still = np.zeros(filler.made, bool)
         still[[b for _, b in filler.room]] = True
-        from pyspark import TaskContext
-
-        stretch = np.full(len(sizes), TaskContext.get().partitionId(), np.int32)
         out = pa.Table.from_arrays(
-            [rows.column("doc_id"), rows.column("piece"), rows.column("token_start"), rows.column("n_tokens"), pa.array(stretch), pa.array(boxes), pa.array(still[boxes]), pa.array(filled[boxes])],
+            [*(rows.column(c) for c in ("doc_id", "piece", "token_start", "n_tokens", "stretch")), pa.array(boxes), pa.array(still[boxes]), pa.array(filled[boxes])],
             names=[c.split()[0] for c in schema.split(", ")],
         )
         yield from out.combine_chunks().to_batches(max_chunksize=65536)
 
-    packed = cut(ranged.mapInArrow(run, schema))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(batch)] if len(batch) else [0]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if held and held[0].column(0)[0].as_py() != at[s]:
+                    yield from solve(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    packed = cut(sorted_.mapInArrow(run, schema))
     group = F.floor(F.col("stretch") / MERGED).cast("int").alias("group")
-    open_boxes = packed.where("open").select(group, "stretch", "box", "fill").distinct().repartition(-(-stretches // MERGED), "group").sortWithinPartitions("group", "stretch", "box")
+    open_boxes = packed.where("open").select(group, "stretch", "box", "fill").distinct().repartition("group").sortWithinPartitions("group", "stretch", "box")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -177,3 +204,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, partitions: int | None = Non
     shared = open_boxes.mapInArrow(merge, "stretch int, box bigint, shared string")
     name = F.coalesce("shared", F.concat(F.col("stretch"), F.lit("-"), F.col("box")))
     return packed.join(shared, ["stretch", "box"], "left").select("doc_id", "piece", "token_start", "n_tokens", name.alias("container"))
+
+
+def summary(docs: DataFrame, capacity: int = CAPACITY, **names: str) -> DataFrame:
+    """(n_documents, n_over, n_wrong, n_split), one row: containers over the capacity, documents whose pieces aren't all of their tokens
+    once and in order, and documents in several pieces that would have fitted in one container."""
+    sizes = sized(docs, **names).groupBy("doc_id").agg(F.sum("n_tokens").alias("_n"), F.count("*").alias("_rows"))
+    packed = cut(pack(docs, capacity, **names))
+    over = packed.groupBy("container").agg(F.sum("n_tokens").alias("_fill")).agg(F.count_if(F.col("_fill") > capacity).alias("n_over"))
+    w = Window.partitionBy("doc_id").orderBy("token_start")
+    placed = packed.withColumn("_gap", F.col("token_start") - F.coalesce(F.lag(F.col("token_start") + F.col("n_tokens")).over(w), F.lit(0)))
+    held = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("_sum"), F.count("*").alias("_pieces"), F.max(F.abs("_gap")).alias("_gap"))
+    both = sizes.join(held, "doc_id", "full")
+    right = (F.col("_sum") == F.col("_n")) & ((F.col("_gap") == 0) | (F.col("_rows") > 1))
+    counts = both.agg(F.count("*").alias("n_documents"), F.count_if(~F.coalesce(right, F.lit(False))).alias("n_wrong"), F.count_if((F.col("_pieces") > F.col("_rows")) & (F.col("_n") <= capacity)).alias("n_split"))
+    return counts.join(over).select("n_documents", "n_over", "n_wrong", "n_split")

@@ -86,7 +86,7 @@ def test_rank_queue():
 
 @needs_files
 def test_packing(spark):
-    rows = packing.pack(docs(spark), partitions=3).collect()
+    rows = packing.pack(docs(spark), stretch=20).collect()
     sizes = {r["doc_id"]: len(r["ids"]) for r in encoding.encode(docs(spark)).collect()}
     by_doc, by_box = {}, {}
     for r in rows:
@@ -102,6 +102,18 @@ def test_packing(spark):
     assert len(by_box) <= -(-sum(sizes.values()) // packing.CAPACITY) * 1.15 + 1
 
 
+@needs_files
+def test_packing_does_not_depend_on_cores(spark):
+    same = doc_rows(n=90) + [(900 + i, "the same text over and over", "en", "s", None, None, None, 0, 0) for i in range(90)]
+    found = []
+    for parts, size in (("2", 16), ("9", 16)):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append({tuple(r) for r in packing.pack(docs(spark, same).repartition(int(parts)), stretch=size).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1]
+    assert [tuple(r) for r in packing.summary(docs(spark, same)).collect()] == [(len(same), 0, 0, 0)]
+
+
 def test_hilbert_is_a_curve():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
     keys = packing.hilbert(cells, 3)
