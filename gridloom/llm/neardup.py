@@ -33,6 +33,8 @@ VALUES = ROUNDS * BINS
 GROUP, MISS, SAMPLE = 4, 1e-4, 4096
 #: Candidates may differ in this many of the 128 bits: the mean at the limit and 4.5 deviations.
 BITS = int(128 * (1 - SIMILARITY) / 2 + 4.5 * (128 * (1 - SIMILARITY) / 2 * (1 + SIMILARITY) / 2) ** 0.5)
+#: Records of a probe's key from which they meet in pairs of blocks of about this size.
+HOT = 4096
 #: Ids that are sent to every task at most (8 bytes each); beyond, texts are joined by shuffle.
 SENT = 100_000
 
@@ -136,7 +138,8 @@ def allocate(values: np.ndarray, groups: list[list[int]], similarity: float = SI
     """The threshold of each partition: -1 not probed, 0 all values agree, 1 all but one.
 
     A dynamic program over the partitions and the logarithm of the chance of a miss, in small units, finds the
-    least sum of estimated candidates. Where even probing all partitions with threshold 1 misses more, all get 1.
+    least sum of estimated candidates. Where even probing all partitions with threshold 1 misses more, as it can only at a lower
+    similarity or with fewer partitions than the module's own, that is an error, for the bound couldn't be kept.
     """
     unit = 0.02
     need = int(np.ceil(-np.log(miss) / unit))
@@ -162,7 +165,7 @@ def allocate(values: np.ndarray, groups: list[list[int]], similarity: float = SI
         choice.append((took, where))
         best = new
     if not np.isfinite(best[need]):
-        return [1] * len(groups)
+        raise ValueError(f"no thresholds keep the chance of a miss under {miss}")
     at, out = need, []
     for took, where in reversed(choice):
         out.append(int(took[at]))
@@ -188,9 +191,21 @@ def candidates(reps: DataFrame, sample: np.ndarray, most_bits: int = BITS) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(keys), *again], names=["k", "a", "b0", "b1"])
 
     rows = arrow_map(reps.select("rep", "sketch", "b0", "b1"), run, "k bigint, a bigint, b0 bigint, b1 bigint")
-    other = rows.select("k", F.col("a").alias("b"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
+    # near copies share many keys: a key of many records is met block by block, so no task holds them all
+    hot = cut(rows.groupBy("k").count().where(F.col("count") > HOT).select("k", F.ceil(F.col("count") / HOT).cast("int").alias("n")))
+    if hot.isEmpty():
+        spread = rows.select("k", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("o"), "a", "b0", "b1")
+    else:
+        known = F.broadcast(hot) if hot.count() <= SENT else hot
+        n = F.coalesce("n", F.lit(1))
+        own = F.pmod(F.xxhash64("a"), n.cast("bigint")).cast("int")
+        placed = rows.join(known, "k", "left").withColumn("o", own).withColumn("j", F.explode(F.sequence(F.lit(0), n - 1)))
+        spread = placed.select("k", F.least("o", "j").alias("i"), F.greatest("o", "j").alias("j"), "o", "a", "b0", "b1")
+    other = spread.select("k", "i", "j", F.col("o").alias("p"), F.col("a").alias("b"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
     near = F.bit_count(F.col("b0").bitwiseXOR(F.col("c0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("c1"))) <= most_bits
-    return rows.join(other, "k").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    # within a block by the records' order, between two blocks from the one to the other
+    ordered = F.when(F.col("i") == F.col("j"), F.col("a") < F.col("b")).otherwise((F.col("o") == F.col("i")) & (F.col("p") == F.col("j")))
+    return spread.join(other, ["k", "i", "j"]).where(ordered & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:

@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_classes": _over(neardup.classes, "page"),
     "p8_ids": _over(encoding.encode, "documents"),
     "p9_containers": _over(packing.pack, "documents"),
+    "p9_summary": _over(packing.summary, "documents"),
     "p10_found": _over(repetition.found, "documents"),
     "p10_share": _over(lambda docs: repetition.repeated_share(docs).select("doc_id", "n_windows", "n_repeated"), "documents"),
     "p10_lines": _over(repetition.line_frequency, "documents"),
@@ -36,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _PAGES = "pages AS (SELECT page_id, title, content FROM page WHERE page_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY crawled_at DESC NULLS LAST) = 1)"
 _TERMS = r"'[\p{L}\p{M}\p{N}]+'"
 _SQUEEZE = r"regexp_replace(lower({}), '[ \t\r\n]+', ' ', 'g')"
+_BLANK = "[' ', chr(9), chr(13), chr(10)]"
 _USABLE = "len({0}) = 64 AND len(list_filter({0}, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter({0}, lambda v: v <> 0)) > 0"
 _COUNTS = f"""WITH {_PAGES}, words AS (SELECT page_id, unnest(regexp_extract_all(lower(content), {_TERMS})) AS term FROM pages),
 counts AS (SELECT term, count(*) AS n_occurrences, count(DISTINCT page_id) AS n_records FROM words GROUP BY term),
@@ -81,6 +83,25 @@ grams AS (SELECT DISTINCT page_id, unnest(list_transform(range(1, length(t) - 3)
 sizes AS (SELECT page_id, count(*) AS n FROM grams GROUP BY page_id),
 shared AS (SELECT a.page_id AS a, b.page_id AS b, count(*) AS s FROM grams a JOIN grams b ON a.g = b.g AND a.page_id < b.page_id GROUP BY ALL)
 SELECT a AS page_a, b AS page_b FROM shared JOIN sizes x ON x.page_id = a JOIN sizes y ON y.page_id = b WHERE 10 * s >= 7 * (x.n + y.n - s)""",
+    "p5_found": f"""WITH RECURSIVE {_PAGES}, items AS (SELECT 'page' AS item_kind, page_id AS item_id, content AS t FROM pages WHERE length(content) > 1500
+  UNION ALL SELECT DISTINCT 'passage', passage_id, text FROM passage WHERE passage_id IS NOT NULL AND length(text) > 1500),
+walk AS (SELECT item_kind, item_id, t, 0 AS s, -1 AS e, 0 AS k FROM items
+  UNION ALL SELECT item_kind, item_id, t, q, CASE WHEN length(t) <= q + 1500 THEN length(t) ELSE q + coalesce(
+      list_filter(range(1500, 750, -1), lambda p: c[p] = chr(10) AND c[p - 1] = chr(10) AND c[p + 1] <> chr(10))[1],
+      list_filter(range(1500, 750, -1), lambda p: list_contains(['。', '！', '？'], c[p]) OR list_contains(['.', '!', '?', '।'], c[p]) AND list_contains({_BLANK}, c[p + 1]))[1],
+      list_filter(range(1500, 750, -1), lambda p: list_contains({_BLANK}, c[p]))[1], 1500) END, k + 1
+    FROM (SELECT *, string_split(substring(t, q + 1, 1502), '') AS c FROM (SELECT *, CASE WHEN k = 0 THEN 0 ELSE e - 150 + coalesce(list_filter(range(150), lambda i: list_contains({_BLANK}, d[i + 1]))[1], 0) END AS q
+      FROM (SELECT *, string_split(substring(t, e - 150, 150), '') AS d FROM walk WHERE k = 0 OR e < length(t)))))
+SELECT item_kind, item_id, s::INT AS piece_start, e::INT AS piece_end FROM walk WHERE k > 0""",
+    "p7_classes": f"""WITH RECURSIVE {_PAGES}, texts AS (SELECT page_id, {_SQUEEZE.format('content')} AS t FROM pages WHERE content IS NOT NULL AND length({_SQUEEZE.format('content')}) >= 200),
+reps AS (SELECT min(page_id) AS rep, t FROM texts GROUP BY t),
+grams AS (SELECT DISTINCT rep, unnest(list_transform(range(1, length(t) - 3), lambda i: substring(t, i, 5))) AS g FROM reps),
+sizes AS (SELECT rep, count(*) AS n FROM grams GROUP BY rep),
+shared AS (SELECT a.rep AS a, b.rep AS b, count(*) AS s FROM grams a JOIN grams b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.rep = a JOIN sizes y ON y.rep = b WHERE 10 * s >= 7 * (x.n + y.n - s)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT page_id, least(rep, coalesce((SELECT min(b) FROM reach WHERE a = rep), rep)) AS class_id, (SELECT count(*) FROM links WHERE a = rep) AS n_links FROM texts JOIN reps USING (t)""",
+    "p9_summary": "SELECT count(DISTINCT doc_id) AS n_documents, 0::BIGINT AS n_over, 0::BIGINT AS n_wrong, 0::BIGINT AS n_split FROM documents",
     "p10_found": _WINDOWS + "SELECT doc_id FROM sums JOIN texts USING (doc_id) WHERE length(t) >= 100 AND 4 * n_repeated >= n_windows",
     "p10_share": _WINDOWS + "SELECT doc_id, coalesce(n_windows, 0) AS n_windows, coalesce(n_repeated, 0) AS n_repeated FROM texts LEFT JOIN sums USING (doc_id)",
     "p10_lines": r"""WITH split AS (SELECT doc_id, coalesce(source, '') AS host, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents),
