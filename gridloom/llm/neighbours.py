@@ -2,12 +2,13 @@
 
 Coarse centroids and residual codebooks are fitted on a bounded sample; every vector is indexed. A vector goes to the
 lists of its nearest centroids, as item and as query alike: two vectors are compared if they share a list. In a list,
-a query's table of products with all code words gives the approximate similarity of every item as a sum of
-table entries; all that can be among the best within the error of their codes are compared with their whole vectors.
-Lists over a size are cut into blocks of items, each of which meets the list's queries in blocks, so no task holds a
-hot list at once.
+a query's table entries sum up to the approximate similarity of every item; all that can be among the best within the error
+of their codes are compared with their whole vectors. A list that grows over SPLIT has a quantiser of its own, fitted on
+a bounded sample of its members, and is split into lists of a second level in the same way. Lists over a size are cut into
+blocks of items, each of which meets the list's queries in blocks, so no task holds a hot list at once.
 
-Vectors are scaled to length 1 (similarity is the cosine). Equal vectors are one representative until the end, and
+Every row is a query, so whole vectors travel to the lists anyway: codes needn't travel, and are made where a list is
+compared. Vectors are scaled to length 1 (similarity is the cosine). Equal vectors are one representative until the end, and
 only the least ids of a group are ever listed as somebody's neighbours, so copies of a third of all rows stay linear.
 Unusable vectors (null, of another length, not finite, all zero) are left out. Ties go to the smaller id.
 """
@@ -29,8 +30,12 @@ DIM, K, SIMILARITY = 64, 10, 0.85
 SAMPLE, LISTS, PROBES, AIM = 32_768, 4096, 4, 256
 #: Sub-vectors of the residual, code words of each, rounds of fitting.
 PARTS, WORDS, FIT = 8, 64, 8
+#: Rows of a list over which it is split by a quantiser of its own, lists of the second level that a vector goes to, list size aimed at.
+SPLIT, DEEPER, FINE = 16_384, 8, 1024
 #: Rows of a block of a list; what single precision may add to the error of an approximate similarity.
 BLOCK, SLACK = 2048, 1e-5
+#: Copies of a group's few rows, so that a group of a third of all rows isn't joined in one task.
+SALTS = 16
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -69,14 +74,24 @@ class Index:
         self.centroids = _fit(sample, lists, FIT, 1)
         residual = sample - self.centroids[_nearest(sample, self.centroids)]
         width = sample.shape[1] // PARTS
+        self.all, self.deeper = self.centroids, {}
         self.books = np.stack([_fit(np.ascontiguousarray(residual[:8192, i * width : (i + 1) * width]), WORDS, FIT, 2 + i) for i in range(PARTS)])
 
     def probe(self, x: np.ndarray, probes: int = PROBES) -> np.ndarray:
         """The nearest centroids' numbers, nearest first."""
-        score = x @ self.centroids.T - (self.centroids**2).sum(axis=1) / 2
-        m = min(probes, score.shape[1])
-        top = np.argpartition(-score, m - 1, axis=1)[:, :m]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, axis=1), axis=1, kind="stable"), axis=1)
+        return _probe(x, self.centroids, probes)
+
+    def split(self, samples: dict[int, np.ndarray], counts: dict[int, int]) -> None:
+        """Fit quantisers of the lists with samples. Their lists are numbered on from the coarse ones."""
+        self.deeper: dict[int, tuple[int, np.ndarray]] = {}
+        own, at = [self.centroids], len(self.centroids)
+        for listed in sorted(samples):
+            x = samples[listed].astype(np.float32)
+            means = _fit(x, int(np.clip(counts[listed] // FINE, 1, max(1, len(x) // 8))), FIT, listed)
+            self.deeper[listed] = at, means
+            own.append(means)
+            at += len(means)
+        self.all = np.concatenate(own)
 
     def codes(self, residual: np.ndarray) -> np.ndarray:
         width = residual.shape[1] // self.books.shape[0]
@@ -85,16 +100,20 @@ class Index:
     def decoded(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], axis=1)
 
-    def approximate(self, queries: np.ndarray, centroid: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    def approximate(self, queries: np.ndarray, centroid: np.ndarray, decoded: np.ndarray) -> np.ndarray:
         """Products of queries with coded items: the centroid's product plus the sums of the queries' table entries.
 
-        The sum over table entries is taken as a product with the items' 0/1 code matrix.
+        An entry is the product of a query's part with a code word, so an item's entries sum up to the product
+        with its decoded residual: one matrix product takes all sums, where adding entries one by one takes ten times as long.
         """
-        parts, words, width = self.books.shape
-        table = np.einsum("qpw,pcw->qpc", queries.reshape(len(queries), parts, width), self.books, optimize=True)
-        flags = np.zeros((len(codes), parts * words), np.float32)
-        flags[np.arange(len(codes))[:, None], codes + np.arange(parts) * words] = 1
-        return table.reshape(len(queries), -1) @ flags.T + (queries @ centroid)[:, None]
+        return queries @ decoded.T + (queries @ centroid)[:, None]
+
+
+def _probe(x: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    score = x @ centroids.T - (centroids**2).sum(axis=1) / 2
+    m = min(probes, score.shape[1])
+    top = np.argpartition(-score, m - 1, axis=1)[:, :m]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, axis=1), axis=1, kind="stable"), axis=1)
 
 
 def _compare(index: Index, listed: int, queries: np.ndarray, q_ids: np.ndarray, items: np.ndarray, i_ids: np.ndarray, k: int, least: float) -> list[np.ndarray]:
@@ -103,14 +122,14 @@ def _compare(index: Index, listed: int, queries: np.ndarray, q_ids: np.ndarray,
     An approximate similarity is off by no more than the length of what the item's code leaves of it, as queries have
     length 1. Every item that can reach the least similarity and the query's k-th by this bound is compared exactly.
     """
-    centroid = index.centroids[listed]
-    codes = index.codes(items - centroid)
-    off = np.linalg.norm(items - centroid - index.decoded(codes), axis=1) + SLACK
+    centroid = index.all[listed]
+    decoded = index.decoded(index.codes(items - centroid))
+    off = np.linalg.norm(items - centroid - decoded, axis=1) + SLACK
     whole = _double(items)
     out = []
     for s in range(0, len(queries), 1024):
         q, ids = queries[s : s + 1024], q_ids[s : s + 1024]
-        score = index.approximate(q, centroid, codes)
+        score = index.approximate(q, centroid, decoded)
         score[ids[:, None] == i_ids[None, :]] = -np.inf
         floor = np.maximum(_kth(score - off, k), least)
         may = score + off >= floor[:, None]
@@ -170,17 +189,23 @@ def similar(reps: DataFrame, index: Index, k: int = K, least: float = SIMILARITY
     probed = cut(arrow_map(reps.select("id", "embedding"), spread, "ls array<int>, id bigint, x binary"))
     rows = probed.select(F.explode("ls").alias("l"), "id", "x")
     # one count a list: at most LISTS rows reach the driver
-    blocks = {r[0]: -(-r[1] // BLOCK) for r in rows.select("l").groupBy("l").count().where(F.col("count") > BLOCK).collect()}
-    if blocks:
-        count = F.coalesce(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("l")], F.lit(1))
-    else:
-        count = F.lit(1)
+    counts = dict(rows.select("l").groupBy("l").count().where(F.col("count") > BLOCK).collect())
+    large = {l: n for l, n in counts.items() if n > SPLIT}
+    if large:
+        index.split(_samples(rows, large, dim), large)
+        shared = spark.sparkContext.broadcast(index)  # and at most SAMPLE / 8 centroids more
+        rows = _split(rows, shared, large, dim)
+        rows = cut(rows)
+        counts = dict(rows.select("l").groupBy("l").count().where(F.col("count") > BLOCK).collect())
+    blocks = spark.createDataFrame([(l, -(-n // BLOCK)) for l, n in counts.items()], "l int, n int")
+    count = F.coalesce("n", F.lit(1))
+    rows = rows.join(F.broadcast(blocks), "l", "left")
     own = F.pmod(F.xxhash64("id"), count.cast("bigint")).cast("int")
     hot = F.col("n") > 1
     numbered = rows.withColumn("n", count).withColumn("own", own)
     plain = numbered.where(~hot).select("l", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "id", "x")
     todo = plain
-    if blocks:
+    if counts:
         # block pairs (i, j): block i of the items meets block j of the queries
         item = numbered.where(hot).select("l", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"), F.lit(1).alias("side"), "id", "x")
         query = numbered.where(hot).select("l", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.col("own").alias("j"), F.lit(2).alias("side"), "id", "x")
@@ -217,6 +242,53 @@ def similar(reps: DataFrame, index: Index, k: int = K, least: float = SIMILARITY
     return met
 
 
+def _samples(rows: DataFrame, large: dict[int, int], dim: int) -> dict[int, np.ndarray]:
+    """About SAMPLE vectors of the large lists together, drawn by a hash of the id, as many a list as its share."""
+    spark = rows.sparkSession
+    share = min(1.0, SAMPLE / sum(large.values()))
+    some = rows.join(F.broadcast(spark.createDataFrame([(l,) for l in large], "l int")), "l", "left_semi")
+    got = some.where(F.xxhash64("id", "l") < F.lit(min(int(-(2**63) + share * (2**64 - 1)), 2**63 - 1))).select("l", "id", "x").limit(2 * SAMPLE).toArrow()
+    lists, ids = got.column(0).to_numpy(), got.column(1).to_numpy()
+    x = np.frombuffer(b"".join(got.column(2).to_pylist()), np.float32).reshape(len(got), dim)
+    out = {}
+    for l in large:
+        at = np.flatnonzero(lists == l)
+        if len(at):
+            out[l] = x[at[np.argsort(ids[at])]]
+    return out
+
+
+def _split(rows: DataFrame, shared, large: dict[int, int], dim: int) -> DataFrame:
+    """Rows of large lists in the lists of their second level, others as they are."""
+    keys = set(large)
+
+    def run(batch: pa.RecordBatch):
+        if not len(batch):
+            return
+        lists = batch.column(0).to_numpy()
+        whole = np.isin(lists, list(keys), invert=True)
+        if whole.any():
+            yield batch.filter(pa.array(whole))
+        for l in np.unique(lists[~whole]).tolist():
+            some = batch.filter(pa.array(lists == l))
+            if l not in shared.value.deeper:
+                yield some
+                continue
+            first, means = shared.value.deeper[l]
+            x = np.frombuffer(b"".join(some.column(2).to_pylist()), np.float32).reshape(len(some), dim)
+            own = first + _probe(x, means, DEEPER)
+            again = pa.array(np.repeat(np.arange(len(some)), own.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(own.ravel().astype(np.int32)), some.column(1).take(again), some.column(2).take(again)], names=["l", "id", "x"])
+
+    return arrow_map(rows, run, "l int, id bigint, x binary")
+
+
+def _salted(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """The join of two tables on a key that most rows of the first may share; the second has few rows of each key."""
+    salts = few.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_s", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salts, [key, "_s"]).drop("_s")
+
+
 def _exact(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """The pairs with their cosine in double precision, if it reaches the least."""
     one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -246,7 +318,7 @@ def most_similar(vectors: DataFrame, k: int = K, least: float = SIMILARITY) -> D
     w = Window.partitionBy("_c").orderBy("id")
     heads = groups.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k + 1).select("_c", F.col("id").alias("head"))
     copied = cut(sizes.where("n > 1"))
-    repeats = groups.join(copied.select("_c", "rep"), "_c").where(F.col("id") != F.col("rep")).select("id")
+    repeats = _salted(groups, copied.select("_c", "rep"), "_c", "id").where(F.col("id") != F.col("rep")).select("id")
     reps = cut(unit.join(repeats, "id", "left_anti"))
     n = reps.count()
     if not n:
@@ -261,8 +333,8 @@ def most_similar(vectors: DataFrame, k: int = K, least: float = SIMILARITY) -> D
     listed = spelled.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k).drop("_rn")
     single = listed.join(copied.select(F.col("rep").alias("a")), "a", "left_anti").select(F.col("a").alias("id"), "other", "similarity")
     # members of a group of copies: the other copies first
-    member = groups.join(copied.select("_c", "rep", "n"), "_c").select("id", "rep", "n")
-    own = member.join(heads, "rep").where(F.col("id") != F.col("head")).select("id", F.col("head").alias("other"), F.lit(1.0).alias("similarity"))
+    member = _salted(groups, copied.select("_c", "rep", "n"), "_c", "id").select("id", "rep", "n")
+    own = _salted(member, heads, "rep", "id").where(F.col("id") != F.col("head")).select("id", F.col("head").alias("other"), F.lit(1.0).alias("similarity"))
     beyond = member.where(F.col("n") <= k).select("id", F.col("rep").alias("a")).join(listed, "a").select("id", "other", "similarity")
     again = Window.partitionBy("id").orderBy(F.round("similarity", 9).desc(), "other")
     many = own.union(beyond).withColumn("_rn", F.row_number().over(again)).where(F.col("_rn") <= k).drop("_rn")

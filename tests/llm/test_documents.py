@@ -202,6 +202,18 @@ def test_neighbours_closer_than_half_precision(spark, monkeypatch, block):
     assert {(min(r["id"], r["other"]), max(r["id"], r["other"])) for r in got} == brute_pairs(dict(enumerate(x)))
 
 
+def test_a_list_of_a_third_of_all_vectors_is_split(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SPLIT", 600)
+    monkeypatch.setattr(neighbours, "FINE", 256)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    x[::3] = rng.normal(size=64) * 2 + rng.normal(size=(2000, 16)) @ rng.normal(size=(16, 64)) * 0.1
+    x = x.astype(np.float32)
+    got = neighbours.most_similar(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id bigint, embedding array<float>")).collect()
+    have, want = {(min(r["id"], r["other"]), max(r["id"], r["other"])) for r in got}, brute_pairs(dict(enumerate(x)))
+    assert len(want) > 10_000 and len(want & have) >= 0.9 * len(want)
+
+
 def test_neighbours_of_nothing(spark):
     none = spark.createDataFrame([], LOG)
     assert neighbours.found(none, spark.createDataFrame([(1, [1.0] * 64)], "passage_id bigint, embedding array<float>")).count() == 0
