@@ -34,6 +34,8 @@ PARTS, WORDS, FIT = 8, 64, 8
 SPLIT, DEEPER, FINE = 16_384, 8, 1024
 #: Rows of a block of a list; what single precision may add to the error of an approximate similarity.
 BLOCK, SLACK = 2048, 1e-5
+#: Ids that are sent to every task at most (8 bytes each); beyond, vectors are joined by shuffle.
+SENT = 100_000
 #: Copies of a group's few rows, so that a group of a third of all rows isn't joined in one task.
 SALTS = 16
 
@@ -138,7 +140,7 @@ def _compare(index: Index, listed: int, queries: np.ndarray, q_ids: np.ndarray,
             continue
         ids, may, exact = ids[some], may[some], _double(q[some]) @ whole.T
         exact[~may] = -2
-        rows, cols = np.nonzero(exact >= np.maximum(_kth(exact, k) - 2e-9, least - 1e-9)[:, None])
+        rows, cols = np.nonzero(exact >= np.maximum(_kth(exact, k) - 2e-9, least)[:, None])
         sim = exact[rows, cols]
         order = np.lexsort((i_ids[cols], -np.round(sim, 9), rows))
         rows, cols, sim = rows[order], cols[order], sim[order]
@@ -169,7 +171,7 @@ def fit(reps: DataFrame, n: int) -> Index:
 
 
 def similar(reps: DataFrame, index: Index, k: int = K, least: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity): for every vector the k most similar of those it shares a list with. `reps` is a written table of id and unit embedding."""
+    """(a, b, similarity): for every vector the k most similar of those it shares a list with, once a list or block. `reps` is a written table of id and unit embedding."""
     dim = index.centroids.shape[1]
     spark = reps.sparkSession
     shared = spark.sparkContext.broadcast(index)  # at most LISTS centroids and PARTS x WORDS code words, whatever the input
@@ -238,8 +240,7 @@ def similar(reps: DataFrame, index: Index, k: int = K, least: float = SIMILARITY
         if held:
             yield from flush()
 
-    met = sorted_.mapInArrow(run, "a bigint, b bigint, similarity double").dropDuplicates(["a", "b"])
-    return met
+    return sorted_.mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
 def _samples(rows: DataFrame, large: dict[int, int], dim: int) -> dict[int, np.ndarray]:
@@ -289,15 +290,6 @@ def _salted(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
     return many.withColumn("_s", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salts, [key, "_s"]).drop("_s")
 
 
-def _exact(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """The pairs with their cosine in double precision, if it reaches the least."""
-    one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = one.join(reps.select(F.col("id").alias("a"), F.col("embedding").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("embedding").alias("y")), "b")
-    product = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    cosine = product(F.col("x"), F.col("y")) / F.sqrt(product(F.col("x"), F.col("x")) * product(F.col("y"), F.col("y")))
-    return both.select("a", "b", cosine.alias("similarity")).where(F.col("similarity") >= least)
-
-
 def most_similar(vectors: DataFrame, k: int = K, least: float = SIMILARITY) -> DataFrame:
     """(id, other, similarity): for every vector its k most similar others at or over the least similarity.
 
@@ -319,13 +311,16 @@ def most_similar(vectors: DataFrame, k: int = K, least: float = SIMILARITY) -> D
     heads = groups.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k + 1).select("_c", F.col("id").alias("head"))
     copied = cut(sizes.where("n > 1"))
     repeats = _salted(groups, copied.select("_c", "rep"), "_c", "id").where(F.col("id") != F.col("rep")).select("id")
-    reps = cut(unit.join(repeats, "id", "left_anti"))
+    repeats = cut(repeats)
+    few = F.broadcast(repeats) if repeats.count() <= SENT else repeats
+    reps = cut(unit.join(few, "id", "left_anti"))
     n = reps.count()
     if not n:
         return vectors.sparkSession.createDataFrame([], "id bigint, other bigint, similarity double")
     near = similar(reps, fit(reps, n), k, least)
-    exact = _exact(near, reps, least)
-    ways = cut(exact.select("a", "b", "similarity").union(exact.select(F.col("b"), F.col("a"), "similarity")))
+    # either side may have found a pair, in several lists; its cosine is that of the whole vectors each time
+    ways = near.union(near.select(F.col("b"), F.col("a"), "similarity")).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    ways = cut(ways)
     heads = heads.join(copied.select("_c", "rep"), "_c").select("rep", "head")
     # representatives' neighbours, spelled out by the smallest ids of their groups
     spelled = ways.join(heads.withColumnRenamed("rep", "b"), "b", "left").select("a", F.coalesce("head", "b").alias("other"), "similarity")
