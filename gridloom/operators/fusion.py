@@ -8,12 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridloom.session import prepare
+from gridloom.operators.entity_clusters import dimension
+from gridloom.session import cut, prepare
 
 DENSE, LEAD, LEXICAL, NUMBER = 1.0, 0.8, 1.0, 2.5
 CANDIDATES, TOP = 200, 10
 #: Queries that are sent to every task at once.
 QUERY_BLOCK = 4096
+#: Pairs of a query and a page that are sent to every task at most (12 bytes each); beyond, pages are joined by shuffle.
+SENT = 500_000
 #: Least deviation that a z-score is divided by.
 LEAST_SPREAD = 1e-9
 
@@ -108,6 +111,177 @@ def fuse(z: DataFrame, bm25: DataFrame, numbers: DataFrame, n_pages: int, weight
     return out
 
 
+def nest(passages: DataFrame) -> DataFrame:
+    """(page_id, g, c, x): a row a page with its passages' granularities, places and vectors, one after another.
+
+    So a page is never in two tasks, and searches scan pages without a shuffle. Vectors of another length than most are left out.
+    """
+    dim = dimension(passages)
+    fit = F.col("granularity").isNotNull() & F.col("page_id").isNotNull() & (F.size("embedding") == dim)
+    one = F.struct("granularity", F.coalesce("chunk_id", F.lit(-1)).cast("int").alias("chunk_id"), "embedding")
+    rows = passages.where(fit).groupBy("page_id").agg(F.array_sort(F.collect_list(one)).alias("_p"))
+    return rows.select("page_id", F.transform("_p", lambda p: p["granularity"]).alias("g"), F.transform("_p", lambda p: p["chunk_id"]).alias("c"), F.flatten(F.transform("_p", lambda p: p["embedding"])).alias("x"))
+
+
+def unnest(pages: DataFrame) -> DataFrame:
+    """(granularity, page_id, chunk_id, embedding) of nested pages."""
+    dim = (F.size("x") / F.size("g")).cast("int")
+    rows = pages.select("page_id", "c", "x", dim.alias("_d"), F.posexplode("g").alias("_i", "granularity"))
+    return rows.select("granularity", "page_id", F.element_at("c", F.col("_i") + 1).alias("chunk_id"), F.slice("x", F.col("_i") * F.col("_d") + 1, F.col("_d")).alias("embedding"))
+
+
+def _scored(batch: pa.RecordBatch, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of passages of one page and granularity: the page's row, the granularity, and for each query the best and the lead product."""
+    sizes = np.diff(batch.column(1).offsets.to_numpy())
+    g, c = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+    row = np.repeat(np.arange(len(batch)), sizes)
+    starts = np.concatenate([[0], np.flatnonzero((g[1:] != g[:-1]) | (row[1:] != row[:-1])) + 1])
+    products = q @ batch.column(3).flatten().to_numpy().astype(np.float64).reshape(len(g), -1).T
+    # passages are in order of their places, so a lead is the first of its run
+    return row[starts], g[starts], np.maximum.reduceat(products, starts, axis=1), np.where(c[starts] == 0, products[:, starts], np.nan)
+
+
+_MOMENTS = "q int, granularity int, " + ", ".join(f"{n}_{c} double" for c in ("best", "lead") for n in ("n", "s", "ss", "lo", "hi"))
+
+
+def moments(pages: DataFrame, shared) -> DataFrame:
+    """(q, granularity, number, sum, sum of squares, least and greatest of best and lead): a row a task, query and granularity, summed up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not sum(batch.column(1).flatten().to_numpy().shape) or not len(q):
+                continue
+            _, g, best, lead = _scored(batch, q)
+            for one in np.unique(g).tolist():
+                at = g == one
+                parts = []
+                for x in (best[:, at], lead[:, at]):
+                    there = ~np.isnan(x)
+                    zero = np.where(there, x, 0.0)
+                    parts += [there.sum(axis=1).astype(float), zero.sum(axis=1), (zero * zero).sum(axis=1), np.where(there, x, np.inf).min(axis=1), np.where(there, x, -np.inf).max(axis=1)]
+                new = np.stack(parts)
+                if one in held:
+                    old = held[one]
+                    new = np.concatenate([*(f(old[5 * k + i : 5 * k + i + 1], new[5 * k + i : 5 * k + i + 1]) for k in range(2) for i, f in enumerate((np.add, np.add, np.add, np.minimum, np.maximum)))])
+                held[one] = new
+        for one, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(x.shape[1], dtype=np.int32)), pa.array(np.full(x.shape[1], one, np.int32)), *(pa.array(v) for v in x)], names=[c.split()[0] for c in _MOMENTS.split(", ")])
+
+    rows = pages.select("page_id", "g", "c", "x").mapInArrow(run, _MOMENTS)
+    folds = {"n": F.sum, "s": F.sum, "ss": F.sum, "lo": F.min, "hi": F.max}
+    return rows.groupBy("q", "granularity").agg(*(f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("best", "lead") for n, f in folds.items()))
+
+
+def best_pages(queries: DataFrame, pages: DataFrame, bm25: DataFrame, numbers: DataFrame, n_pages: int, weights: tuple[float, float, float, float] = (DENSE, LEAD, LEXICAL, NUMBER), k: int = CANDIDATES) -> DataFrame:
+    """(query_id, page_id, score): for each query (query_id, embedding) at least its k best of the nested pages, with the scores of `fuse`.
+
+    Two passes over the pages, neither of which leaves a row for every query and page. The first sums moments. Between the two, the
+    pages with lexical or number matches are reduced to those that can be among the k best, given the range of the dense part. In the
+    second, a task keeps its k best pages by the dense part, for a page without a match is no better than that, and the pages
+    reduced to; their scores are completed by joins of what is left.
+    """
+    spark = prepare(pages.sparkSession)
+    w_dense, w_lead, w_bm25, w_number = weights
+    parts = [(rows, w) for rows, w in ((bm25, w_bm25), (numbers, w_number)) if w > 0]
+    # what a match adds to the score of a page without any, and that page's score
+    added, base = None, None
+    for rows, weight in parts:
+        z, rest = z_sparse(rows, n_pages)
+        own = z.join(rest, "query_id").select("query_id", "page_id", (weight * (F.col("z") - F.col("z0"))).alias("_a"))
+        added = own if added is None else added.union(own)
+        some = rest.select("query_id", (weight * F.col("z0")).alias("_b"))
+        base = some if base is None else base.union(some)
+    none = spark.createDataFrame([], "query_id string, page_id bigint, _a double")
+    added = cut((none if added is None else added).groupBy("query_id", "page_id").agg(F.sum("_a").alias("_a")))
+    base = cut((none.select("query_id", F.col("_a").alias("_b")) if base is None else base).groupBy("query_id").agg(F.sum("_b").alias("_b")))
+    out = None
+    for names, q in _query_blocks(queries):
+        shared = spark.sparkContext.broadcast(q)
+        found = moments(pages, shared).collect()  # a row a query of the block and granularity
+        known = sorted({r["granularity"] for r in found})
+        table = np.zeros((len(known), 4, len(names)))  # mean and deviation of best and lead
+        table[:, 1::2] = 1.0
+        low, high = np.zeros(len(names)), np.zeros(len(names))
+        for r in found:
+            lows, highs = 0.0, 0.0
+            for i, (c, w) in enumerate((("best", w_dense), ("lead", w_lead))):
+                n = r[f"n_{c}"]
+                if n:
+                    mean = r[f"s_{c}"] / n
+                    spread = max(np.sqrt(max(r[f"ss_{c}"] / n - mean * mean, 0.0)), LEAST_SPREAD)
+                    table[known.index(r["granularity"]), 2 * i : 2 * i + 2, r["q"]] = mean, spread
+                    ends = sorted(w * (r[f"{e}_{c}"] - mean) / spread for e in ("lo", "hi"))
+                    lows, highs = lows + min(0.0, ends[0]), highs + max(0.0, ends[1])
+            low[r["q"]] += lows
+            high[r["q"]] += highs
+        ranges = spark.createDataFrame([(n, i, float(h - l) + 1e-6) for i, (n, l, h) in enumerate(zip(names, low, high, strict=True))], "query_id string, q int, _r double")
+        w = Window.partitionBy("query_id").orderBy(F.col("_a").desc())
+        kth = added.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == k).select("query_id", F.col("_a").alias("_k"))
+        may = added.join(F.broadcast(ranges), "query_id").join(F.broadcast(kth), "query_id", "left").where(F.col("_k").isNull() | (F.col("_a") >= F.col("_k") - F.col("_r")))
+        wanted = cut(may.groupBy("page_id").agg(F.sort_array(F.collect_list("q")).alias("wanted")))  # at most a block of queries a page
+        few = F.broadcast(wanted) if wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0] <= SENT else wanted
+        rows = pages.select("page_id", "g", "c", "x").join(few, "page_id", "left")
+        part = _kept(rows, shared, spark.sparkContext.broadcast((known, table)), (w_dense, w_lead), k)
+        part = part.join(F.broadcast(ranges.select("q", "query_id")), "q").select("query_id", "page_id", "dense")
+        out = part if out is None else out.union(part)
+    if out is None:
+        return spark.createDataFrame([], "query_id string, page_id bigint, score double")
+    out = out.join(added, ["query_id", "page_id"], "left").join(base, "query_id", "left")
+    return out.select("query_id", "page_id", (F.col("dense") + F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))).alias("score"))
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
+    """At most QUERY_BLOCK stated queries at a time."""
+    held: list = []
+    for row in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
+        held.append(row)
+        if len(held) == QUERY_BLOCK:
+            yield [r[0] for r in held], np.array([r[1] for r in held], np.float64)
+            held = []
+    if held:
+        yield [r[0] for r in held], np.array([r[1] for r in held], np.float64)
+
+
+def _kept(rows: DataFrame, shared, moments_, weights: tuple[float, float], k: int) -> DataFrame:
+    """(q, page_id, dense): a task's k best pages by the dense part for each query, and all that are wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, (known, table) = shared.value, moments_.value
+        best = np.empty((len(q), 0))
+        who = np.empty((len(q), 0), np.int64)
+        taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            if not sum(batch.column(1).flatten().to_numpy().shape) or not len(q):
+                continue
+            row, g, top, lead = _scored(batch, q)
+            ids, scores = batch.column(0).to_numpy(), np.zeros((len(q), len(batch)))
+            for i, one in enumerate(known):
+                at = g == one
+                mean_b, dev_b, mean_l, dev_l = (x[:, None] for x in table[i])
+                z = weights[0] * (top[:, at] - mean_b) / dev_b + weights[1] * np.nan_to_num((lead[:, at] - mean_l) / dev_l)
+                scores[:, row[at]] += z  # a page has one run of a granularity
+            asked = batch.column(4)
+            counts = np.diff(asked.offsets.to_numpy())
+            if asked.null_count:
+                counts = np.where(asked.is_null().to_numpy(zero_copy_only=False), 0, counts)
+            if counts.sum():
+                page, who_asks = np.repeat(np.arange(len(batch)), counts), asked.flatten().to_numpy()
+                taken.append((who_asks, ids[page], scores[who_asks, page]))
+            best, who = np.concatenate([best, scores], axis=1), np.concatenate([who, np.broadcast_to(ids, scores.shape)], axis=1)
+            if best.shape[1] > k:
+                # scores are compared to 9 decimals later, and equal ones by page; some more stay for those that differ in the tenth
+                order = np.lexsort((who, -np.round(best, 9)), axis=1)[:, : k + 16]
+                best, who = np.take_along_axis(best, order, axis=1), np.take_along_axis(who, order, axis=1)
+        if best.shape[1]:
+            taken.append((np.repeat(np.arange(len(q)), best.shape[1]), who.ravel(), best.ravel()))
+        for a, b, c in taken:
+            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b), pa.array(c)], names=["q", "page_id", "dense"])
+
+    return rows.select("page_id", "g", "c", "x", "wanted").mapInArrow(run, "q int, page_id bigint, dense double").dropDuplicates(["q", "page_id"])
+
+
 def ranked(scores: DataFrame, k: int = TOP) -> DataFrame:
     """(query_id, page_id, score, rank) of the k best; ties to 9 decimals go to the smaller page."""
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "page_id")

@@ -457,7 +457,8 @@ def zscore_sparse(spark, d):
 
 def _with_clusters(spark, d):
     groups = _once(spark, d, "clusters", lambda: cut(entity_clusters.clusters(_pages(spark, d), entity_clusters.similar_pairs(_leads(spark, d), 0.75))))
-    return _index(spark, d) | {"passages": _embedded(spark, d), "clusters": groups}
+    nested = _once(spark, d, "vectors", lambda: cut(fusion.nest(_embedded(spark, d))))
+    return _index(spark, d) | {"passages": _embedded(spark, d), "vectors": nested, "clusters": groups}
 
 
 def _fused(spark, d):

@@ -30,16 +30,16 @@ def build_index(pages: DataFrame, path: str, granularities: tuple[int, ...] = ch
     passages = chunking.passages(pages, granularities)
     # half precision, as numbers of 4 bytes of which most bits are 0: they compress to what 2 bytes take
     halved = half(F.col("embedding")).cast("array<float>")
-    embed_passages(passages, embed).withColumn("embedding", halved).write.mode("overwrite").partitionBy("granularity").parquet(f"{path}/passages")
-    vectors = pages.sparkSession.read.parquet(f"{path}/passages")
-    leads = vectors.where((F.col("granularity") == granularities[0]) & (F.col("chunk_id") == 0)).select("page_id", "embedding")
+    fusion.nest(cut(embed_passages(passages, embed).withColumn("embedding", halved))).write.mode("overwrite").parquet(f"{path}/vectors")
+    leads = fusion.unnest(pages.sparkSession.read.parquet(f"{path}/vectors")).where((F.col("granularity") == granularities[0]) & (F.col("chunk_id") == 0)).select("page_id", "embedding")
     entity_clusters.clusters(pages, entity_clusters.similar_pairs(leads, entity)).write.mode("overwrite").parquet(f"{path}/clusters")
     tables.write_postings(bm25.build(pages), path)
 
 
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The artefacts that `build_index` wrote."""
-    return tables.read_postings(spark, path) | {"passages": spark.read.parquet(f"{path}/passages"), "clusters": spark.read.parquet(f"{path}/clusters")}
+    vectors = spark.read.parquet(f"{path}/vectors")
+    return tables.read_postings(spark, path) | {"vectors": vectors, "passages": fusion.unnest(vectors), "clusters": spark.read.parquet(f"{path}/clusters")}
 
 
 def signals(index: dict[str, DataFrame], queries: DataFrame, embed=hash_embed, weights: tuple[float, float, float, float] | None = None) -> DataFrame:
@@ -51,7 +51,10 @@ def signals(index: dict[str, DataFrame], queries: DataFrame, embed=hash_embed, w
 
 def search_batch(index: dict[str, DataFrame], queries: DataFrame, k: int = fusion.TOP, embed=hash_embed, weights: tuple[float, float, float, float] | None = None) -> DataFrame:
     """(query_id, page_id, rank): fused ranking, re-ranked by entity cluster for queries that ask how things are connected."""
-    scores = cut(signals(index, queries, embed, weights))
+    n_pages = index["corpus"].first()["n_docs"]
+    own = weights or (fusion.DENSE, fusion.LEAD, fusion.LEXICAL, fusion.NUMBER)
+    vectors = index["vectors"] if "vectors" in index else cut(fusion.nest(index["passages"]))
+    scores = cut(fusion.best_pages(embed_queries(queries, embed), vectors, bm25.scores(index, queries), bm25.number_scores(index, queries), n_pages, own, max(k, fusion.CANDIDATES)))
     asks = queries.select("query_id", connective("query").alias("_ask"))
     plain = fusion.ranked(scores.join(asks.where("not _ask").select("query_id"), "query_id", "left_semi"), k).select("query_id", "page_id", "rank")
     regrouped = fusion.rerank(scores.join(asks.where("_ask").select("query_id"), "query_id", "left_semi"), index["clusters"], k)

@@ -69,6 +69,27 @@ def test_ndcg(spark):
         evaluation.evaluate(["a"], [(5,)], [[7]], spark)
 
 
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_best_pages_are_those_of_all_scores(spark, monkeypatch, sent):
+    import numpy as np
+
+    monkeypatch.setattr(fusion, "SENT", sent)
+    monkeypatch.setattr(fusion, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(4)
+    rows = [(g, p, c, rng.normal(size=4).round(2).tolist()) for p in range(80) for g in (100, 150) for c in range(rng.integers(0, 4)) if (p + g) % 7]
+    passages = spark.createDataFrame([*rows, (100, 900, 1, [1.0] * 4), (100, 901, 0, None), (None, 902, 0, [1.0] * 4)], "granularity int, page_id bigint, chunk_id int, embedding array<double>").repartition(4)
+    queries = spark.createDataFrame([(f"q{i}", rng.normal(size=4).tolist()) for i in range(3)] + [("none", None)], "query_id string, embedding array<double>")
+    hit = lambda m: spark.createDataFrame([(f"q{i}", int(p), float(s)) for i in range(2) for p, s in zip(rng.permutation(95)[:m], rng.random(m) * 9, strict=True)], "query_id string, page_id bigint, score double")
+    bm25_, numbers = hit(40), hit(3)
+    for weights in ((1.0, 0.8, 1.0, 2.5), (1.0, 0.8, 0.1, 0.0)):
+        whole = fusion.fuse(fusion.z_dense(fusion.dense(queries, passages), "best", "lead"), bm25_, numbers, 100, weights)
+        want = {(r["query_id"], r["rank"], r["page_id"], round(r["score"], 6)) for r in fusion.ranked(whole, 6).collect()}
+        got = fusion.best_pages(queries, fusion.nest(passages).repartition(5), bm25_, numbers, 100, weights, 6)
+        assert {(r["query_id"], r["rank"], r["page_id"], round(r["score"], 6)) for r in fusion.ranked(got, 6).collect()} == want and len(want) == 18
+    assert fusion.unnest(fusion.nest(passages)).count() == len(rows) + 1
+    assert fusion.best_pages(queries, fusion.nest(passages.where("false")), bm25_, numbers, 100).count() == 0
+
+
 def test_index_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"Page {i}", f"Page {i} links town{i} and town{i + 1} in 18{i}0. It was built by guild{i % 3}.") for i in range(12)], PAGES)
     pipeline.build_index(pages, str(tmp_path / "index"))
