@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh3_64_intdigest
 
-from gridloom.llm.common import BASE, TERM, arrow_map, counted_pages, list_array, mix
+from gridloom.llm.common import BASE, TERM, arrow_map, counted_pages, list_array, mix, pairs_within
 from gridloom.operators.components import connected_components
 from gridloom.session import cut, forget
 
@@ -610,5 +610,4 @@ def found(pages: DataFrame) -> DataFrame:
     graph, members, parts = links(sets)
     label = joined(graph, communities(graph, parts))
     grouped = cut(members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("page_id", F.coalesce("component", "rep").alias("_g")))
-    x, y = grouped.select(F.col("page_id").alias("page_a"), "_g"), grouped.select(F.col("page_id").alias("page_b"), "_g")
-    return x.join(y, "_g").where("page_a < page_b").select("page_a", "page_b")
+    return pairs_within(grouped, "_g", "page_id").select(F.col("a").alias("page_a"), F.col("b").alias("page_b"))

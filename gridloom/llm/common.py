@@ -33,6 +33,16 @@ def counted_pages(pages: DataFrame, *columns: str) -> DataFrame:
     return kept.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "crawled_at")
 
 
+def pairs_within(members: DataFrame, group: str, key: str, size: int = 4096) -> DataFrame:
+    """(a, b), a < b: all pairs of keys of one group. A group of over `size` members is met in pairs of blocks, so no task has it all."""
+    blocks = members.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("_n")).where("_n > 1")
+    n = F.coalesce("_n", F.lit(1))
+    own = members.join(F.broadcast(blocks) if blocks.isEmpty() else blocks, group, "left").select(group, F.col(key).alias("a"), n.alias("_n"), F.pmod(F.xxhash64(key), n.cast("bigint")).cast("int").alias("_o"))
+    x = own.select(group, "a", F.col("_o").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_j"))
+    y = own.select(group, F.col("a").alias("b"), F.col("_o").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
+    return x.join(y, [group, "_i", "_j"]).where("a < b").select("a", "b")
+
+
 def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """About 1.5 x `most` rows drawn by a hash of the key, cut to `most`: for fitting only, never for what is found.
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridloom.llm.common import BASE, arrow_map, bounded_sample, codepoints, counted_pages, mix, squeeze, window_hashes
+from gridloom.llm.common import BASE, arrow_map, bounded_sample, codepoints, counted_pages, mix, pairs_within, squeeze, window_hashes
 from gridloom.session import cut
 
 WIDTH, SIMILARITY, LEAST_CHARS = 5, 0.7, 200
@@ -35,6 +35,8 @@ GROUP, MISS, SAMPLE = 4, 1e-4, 4096
 BITS = int(128 * (1 - SIMILARITY) / 2 + 4.5 * (128 * (1 - SIMILARITY) / 2 * (1 + SIMILARITY) / 2) ** 0.5)
 #: Records of a probe's key from which they meet in pairs of blocks of about this size.
 HOT = 4096
+#: Parts of a class of copies that meet its links in turn.
+PARTS = 8
 #: Ids that are sent to every task at most (8 bytes each); beyond, texts are joined by shuffle.
 SENT = 100_000
 
@@ -255,12 +257,14 @@ def found(pages: DataFrame) -> DataFrame:
     """p7_found: the pairs of pages with at least 0.7 of their 5-character substrings in common."""
     pairs, members = near_duplicates(pages)
     pairs = cut(pairs)
-    copies = members.groupBy("rep").count().where("count > 1").select("rep", F.col("rep").alias("other"))
-    links = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(copies)
-    x = members.select(F.col("page_id").alias("x"), "rep")
-    y = members.select(F.col("page_id").alias("y"), F.col("rep").alias("other"))
-    both = links.join(x, "rep").join(y, "other").where((F.col("rep") != F.col("other")) | (F.col("x") < F.col("y")))
-    return both.select(F.least("x", "y").alias("page_a"), F.greatest("x", "y").alias("page_b"))
+    within = pairs_within(members, "rep", "page_id").select(F.col("a").alias("page_a"), F.col("b").alias("page_b"))
+    # a class of copies that is linked to many others is met by a hashed part of its members at a time
+    part = F.pmod(F.xxhash64("page_id"), F.lit(PARTS)).cast("int")
+    links = pairs.select("a", "b").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    x = members.select(F.col("page_id").alias("x"), F.col("rep").alias("a"), part.alias("_s"))
+    y = members.select(F.col("page_id").alias("y"), F.col("rep").alias("b"))
+    both = links.join(x, ["a", "_s"]).select("x", "b").join(y, "b")
+    return within.union(both.select(F.least("x", "y").alias("page_a"), F.greatest("x", "y").alias("page_b")))
 
 
 def classes(pages: DataFrame) -> DataFrame:

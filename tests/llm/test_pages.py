@@ -174,6 +174,26 @@ def test_clusters_joined_by_one_link(spark):
     assert {tuple(r) for r in clusters.found(set_pages(spark, sets)).collect()} == want
 
 
+def test_pairs_within_blocks(spark):
+    from gridloom.llm.common import pairs_within
+
+    rows = spark.createDataFrame([(i, i % 3 if i > 40 else 0) for i in range(70)], "page_id bigint, g int")
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r["g"], []).append(r["page_id"])
+    want = sorted((a, b) for held in groups.values() for a in held for b in held if a < b)
+    for size in (4096, 7):
+        assert sorted(tuple(r) for r in pairs_within(rows, "g", "page_id", size).collect()) == want
+
+
+def test_hot_probe_keys(spark, monkeypatch):
+    rows = counted(page_rows())
+    want = {tuple(r) for r in neardup.found(pages(spark)).collect()}
+    monkeypatch.setattr(neardup, "HOT", 2)
+    got = [tuple(r) for r in neardup.found(pages(spark)).collect()]
+    assert want and set(got) == want and len(got) == len(want) and rows
+
+
 def test_clusters_need_no_sketch(spark, monkeypatch):
     monkeypatch.setattr(clusters, "_MOST", -1)  # every pair is over the limit of differing bits
     monkeypatch.setattr(clusters, "HOT", 20, raising=False)
