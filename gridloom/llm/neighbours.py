@@ -319,8 +319,8 @@ def most_similar(vectors: DataFrame, k: int = K, least: float = SIMILARITY) -> D
         return vectors.sparkSession.createDataFrame([], "id bigint, other bigint, similarity double")
     near = similar(reps, fit(reps, n), k, least)
     # either side may have found a pair, in several lists; its cosine is that of the whole vectors each time
-    ways = near.union(near.select(F.col("b"), F.col("a"), "similarity")).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    ways = cut(ways)
+    both = F.array(F.struct("a", "b", "similarity"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    ways = cut(near.select(F.explode(both).alias("_w")).select("_w.*").groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
     heads = heads.join(copied.select("_c", "rep"), "_c").select("rep", "head")
     # representatives' neighbours, spelled out by the smallest ids of their groups
     spelled = ways.join(heads.withColumnRenamed("rep", "b"), "b", "left").select("a", F.coalesce("head", "b").alias("other"), "similarity")
