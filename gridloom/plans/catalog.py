@@ -13,7 +13,7 @@ from gridloom.functions.vectors import half
 from gridloom.operators import bm25, chunking, components, entity_clusters, evaluation, fusion, replay, vector_index
 from gridloom.plans import pipeline
 from gridloom.plans.oracle import ORACLE
-from gridloom.session import cut, shared_dir
+from gridloom.session import cut, shared_dir, standing
 from gridloom.sources.tables import batch_rows, latest_pages, manifest_json, operations, pages_json, queries_json, read_matrix, read_postings, table, write_matrix, write_postings
 from gridloom.streaming.changelog import LiveTable
 
@@ -351,9 +351,11 @@ _BUILT: dict[tuple[str, str, str], object] = {}
 
 def _once(spark: SparkSession, d: str, name: str, build: Callable[[], object]):
     key = (spark.sparkContext.applicationId, d, name)
-    if key not in _BUILT:
-        _BUILT[key] = build()
-    return _BUILT[key]
+    held = _BUILT.get(key)
+    # `clean`, or somebody else, may have removed the tables since
+    if held is None or not all(standing(x) for x in (held.values() if isinstance(held, dict) else [held])):
+        held = _BUILT[key] = build()
+    return held
 
 
 def build_all(spark: SparkSession, d: str) -> None:

@@ -68,6 +68,16 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, file.rsplit("/", 1)[0])
 
 
+def standing(df: DataFrame) -> bool:
+    """Are the files that a DataFrame reads still there?"""
+    spark = df.sparkSession
+    for file in df.inputFiles():
+        where = spark._jvm.org.apache.hadoop.fs.Path(file)
+        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return False
+    return True
+
+
 def clean(spark: SparkSession) -> None:
     """Remove all tables that `cut` wrote for this application."""
     _delete(spark, f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}")

@@ -4,6 +4,7 @@ import pytest
 
 from gridloom import cli
 from gridloom.plans import catalog
+from gridloom.session import clean
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -25,4 +26,8 @@ def test_sweep(spark, capsys):
 
 
 def test_index_is_built_once(spark):
-    assert catalog._index(spark, FOLDER) is catalog._index(spark, FOLDER)
+    first = catalog._index(spark, FOLDER)
+    assert catalog._index(spark, FOLDER) is first
+    clean(spark)
+    again = catalog._index(spark, FOLDER)
+    assert again is not first and again["postings"].count() > 0
