@@ -433,7 +433,7 @@ def communities(graph: DataFrame, parts: DataFrame | None = None, local: int = L
     """(node, community) of every node of weighted links (a, b, similarity), by moves of greatest modularity gain; a written table.
 
     Nodes move between their neighbours' communities until none can gain; then communities become the nodes of the
-    next level, until a level brings no move. A node only ever moves along links, so a community never
+    next level, until a level joins none. A node only ever moves along links, so a community never
     spans two components (`parts`: node, component). A component of at most `local` links is
     worked on by one task, node by node. In larger ones all nodes move at once, in each round a hashed half of them, so
     neighbours don't swap for ever; a level of more than `rounds` rounds goes on to the next as it is. Ties go to the smaller community.
@@ -453,7 +453,7 @@ def communities(graph: DataFrame, parts: DataFrame | None = None, local: int = L
             nodes, labels = [], []
             edges = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1).tolist(), len(c)]
             for s, e in zip(edges[:-1], edges[1:], strict=True):
-                for node, label in _louvain(a[s:e].tolist(), b[s:e].tolist(), w[s:e].tolist(), whole).items():
+                for node, label in _louvain(a[s:e].tolist(), b[s:e].tolist(), w[s:e].tolist(), whole, 8 * rounds).items():
                     nodes.append(node)
                     labels.append(label)
             return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(labels, pa.int64())], names=["node", "community"])
@@ -476,8 +476,11 @@ def communities(graph: DataFrame, parts: DataFrame | None = None, local: int = L
     return cut(label.union(_by_rounds(placed.join(large, "component", "left_semi"), whole, rounds)))
 
 
-def _louvain(a: list[int], b: list[int], w: list[float], whole: float) -> dict[int, int]:
-    """The community of each node of one component's links; `whole` is the weight of all links of the graph."""
+def _louvain(a: list[int], b: list[int], w: list[float], whole: float, passes: int) -> dict[int, int]:
+    """The community of each node of one component's links; `whole` is the weight of all links of the graph.
+
+    A level ends after so many passes over its nodes, should rounding keep nodes moving; the last level is the one that joins none.
+    """
     near: dict[int, dict[int, float]] = {}
     for x, y, z in zip(a, b, w, strict=True):
         near.setdefault(x, {})[y] = z
@@ -485,8 +488,8 @@ def _louvain(a: list[int], b: list[int], w: list[float], whole: float) -> dict[i
     degree = {x: sum(v.values()) for x, v in near.items()}
     label = {x: x for x in near}
     while True:
-        own, volume, going, moved = {x: x for x in near}, dict(degree), True, False
-        while going:
+        own, volume = {x: x for x in near}, dict(degree)
+        for _ in range(passes):
             going = False
             for x in sorted(near):
                 at, k = own[x], degree[x]
@@ -498,9 +501,11 @@ def _louvain(a: list[int], b: list[int], w: list[float], whole: float) -> dict[i
                 gain = {c: round(z - k * volume[c] / (2 * whole), 9) for c, z in towards.items()}
                 best = min(gain, key=lambda c: (-gain[c], c))
                 if gain[best] > gain[at]:
-                    own[x], going, moved = best, True, True
+                    own[x], going = best, True
                 volume[own[x]] += k
-        if not moved:
+            if not going:
+                break
+        if len(set(own.values())) == len(near):
             return label
         label = {x: own[c] for x, c in label.items()}
         up: dict[int, dict[int, float]] = {}
@@ -517,13 +522,14 @@ def _by_rounds(links: DataFrame, whole: float, rounds: int) -> DataFrame:
     ways = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").union(links.select("b", "a", "w")))
     label = None
     while True:
-        moved, own = _level(ways, 2 * whole, rounds)
+        own = _level(ways, 2 * whole, rounds)
+        joins = own.select("community").distinct().count() < own.count()
         if label is None:
             label = own
-        elif moved:
+        elif joins:
             old, label = label, cut(label.join(own.select(F.col("node").alias("community"), F.col("community").alias("_up")), "community").select("node", F.col("_up").alias("community")))
             forget(old)
-        if not moved:
+        if not joins:
             return label
         u, v = (own.select(F.col("node").alias(x), F.col("community").alias(f"c{x}")) for x in "uv")
         old, ways = ways, cut(ways.join(u, "u").join(v, "v").groupBy("cu", "cv").agg(F.sum("w").alias("w")).select(F.col("cu").alias("u"), F.col("cv").alias("v"), "w"))
@@ -536,11 +542,10 @@ def _by_rounds(links: DataFrame, whole: float, rounds: int) -> DataFrame:
 _SALTS = 16
 
 
-def _level(ways: DataFrame, twice: float, rounds: int) -> tuple[int, DataFrame]:
-    """The number of moves, and (node, community) after moves within one level. `ways` has every link both ways, and loops."""
+def _level(ways: DataFrame, twice: float, rounds: int) -> DataFrame:
+    """(node, community) after moves within one level. `ways` has every link both ways, and loops."""
     degree = cut(ways.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("deg")))
-    label = cut(degree.select("node", F.col("node").alias("community"), F.lit(False).alias("wants"), F.lit(False).alias("moved")))
-    moved = 0
+    label = cut(degree.select("node", F.col("node").alias("community"), F.lit(False).alias("wants")))
     for r in range(rounds):
         here = label.select("node", "community").join(degree, "node")
         volume = here.groupBy("community").agg(F.sum("deg").alias("vol")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
@@ -552,13 +557,11 @@ def _level(ways: DataFrame, twice: float, rounds: int) -> tuple[int, DataFrame]:
         best = options.groupBy("node").agg(F.max_by("community", F.struct(gain, -F.col("community"))).alias("_best"), F.max(gain).alias("_gain"), F.max(F.when(stays, gain)).alias("_stay"), F.first("_own").alias("_own"))
         wants = F.col("_gain") > F.col("_stay")
         moves = wants & (F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0)
-        old, label = label, cut(best.select("node", F.when(moves, F.col("_best")).otherwise(F.col("_own")).alias("community"), wants.alias("wants"), moves.alias("moved")))
+        old, label = label, cut(best.select("node", F.when(moves, F.col("_best")).otherwise(F.col("_own")).alias("community"), wants.alias("wants")))
         forget(old)
-        wanted, now = label.agg(F.count_if("wants"), F.count_if("moved")).first()
-        moved += now
-        if not wanted:
+        if label.where("wants").isEmpty():
             break
-    return moved, label.select("node", "community")
+    return label.select("node", "community")
 
 
 def modularity(graph: DataFrame, label: DataFrame) -> float:
