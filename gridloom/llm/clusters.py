@@ -220,7 +220,11 @@ def links(sets: DataFrame, key: str = "page_id", similarity: float = SIMILARITY)
     copy = F.struct(F.xxhash64("terms").alias("h"), F.hash("terms").alias("g"), F.size("terms").alias("n"))
     marked = sets.select(key, copy.alias("_c"))
     members = cut(marked.join(marked.groupBy("_c").agg(F.min(key).alias("rep")), "_c").select(key, "rep"))
-    own = sets.join(members.where(F.col(key) == F.col("rep")).select(key), key, "left_semi").select(F.col(key).alias("rep"), "terms")
+    # term sets are read several times: copies are left out by sending their ids, or once by a shuffle where they are many
+    copies = cut(members.where(F.col(key) != F.col("rep")).select(key))
+    few = copies.count() <= SENT
+    own = sets.join(F.broadcast(copies) if few else copies, key, "left_anti").select(F.col(key).alias("rep"), "terms")
+    own = own if few else cut(own)
     sketched = sketches(own)
     close = descend(first_pairs(sketched), sketched)
     forget(sketched)
