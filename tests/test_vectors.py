@@ -81,7 +81,11 @@ def test_replay_against_dict(spark, seed):
     assert {r["vec_id"]: r["born"] for r in replay.lives(status).where("died is null").collect()} == live
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [1 << 17, 0])
+def test_components(spark, monkeypatch, local):
+    from gridloom.operators import components
+
+    monkeypatch.setattr(components, "LOCAL", local)
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(1, 1), (None, 3)]
     parent = {}
