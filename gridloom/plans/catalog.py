@@ -298,11 +298,13 @@ def live_table(spark, d):
 
 @query
 def corpus_search(spark, d):
-    """From pages as JSON files to answers: chunks, embeddings, clusters and postings are built, written and loaded, then searched."""
+    """From pages as JSON lines to answers: chunks, embeddings, clusters and postings are built, written and loaded, then searched.
+
+    A file a page, as `corpus_scan` writes, takes more time and disk for the folders and checksums of small files than all that follows.
+    """
     path = _fresh(spark)
-    rows = _pages(spark, d).select(F.col("page_id").alias("k"), F.col("page_id").cast("string").alias("page_id"), "title", "content")
-    rows.repartition("k").write.partitionBy("k").json(f"{path}/pages")
-    pipeline.build_index(pages_json(spark, f"{path}/pages/*").drop("position"), f"{path}/index")
+    _pages(spark, d).select(F.col("page_id").cast("string").alias("page_id"), "title", "content").write.json(f"{path}/pages")
+    pipeline.build_index(pages_json(spark, f"{path}/pages", lines=True).drop("position"), f"{path}/index")
     return pipeline.search_batch(pipeline.load_index(spark, f"{path}/index"), _queries(spark, d), 10)
 
 

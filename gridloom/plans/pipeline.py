@@ -32,7 +32,7 @@ def build_index(pages: DataFrame, path: str, granularities: tuple[int, ...] = ch
     halved = half(F.col("embedding")).cast("array<float>")
     fusion.nest(cut(embed_passages(passages, embed).withColumn("embedding", halved))).write.mode("overwrite").parquet(f"{path}/vectors")
     leads = fusion.unnest(pages.sparkSession.read.parquet(f"{path}/vectors")).where((F.col("granularity") == granularities[0]) & (F.col("chunk_id") == 0)).select("page_id", "embedding")
-    entity_clusters.clusters(pages, entity_clusters.similar_pairs(leads, entity)).write.mode("overwrite").parquet(f"{path}/clusters")
+    entity_clusters.clusters(pages, entity_clusters.similar_links(leads, entity)).write.mode("overwrite").parquet(f"{path}/clusters")
     tables.write_postings(bm25.build(pages), path)
 
 

@@ -22,15 +22,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def pages_json(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, title, content, position) of one JSON file a page; the file's stem stands in for a missing id.
+def pages_json(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """(page_id, title, content, position) of one JSON file a page, or of one page a line; the file's stem stands in for a missing id.
 
-    Null or missing titles and contents are empty. `position` orders pages by file name. A missing folder is an error.
+    Null or missing titles and contents are empty. `position` orders pages by file name. A missing folder is an error, and a line without an id.
     """
-    raw = spark.read.schema("page_id string, title string, content string").option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    raw = spark.read.schema("page_id string, title string, content string").option("multiLine", not lines).option("pathGlobFilter", "*.json").json(folder)
     stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
     rows = raw.withColumn("_stem", F.url_decode(stem))
-    out = rows.select(page_id(F.coalesce("page_id", "_stem")).alias("page_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"), "_stem")
+    out = rows.select(page_id("page_id" if lines else F.coalesce("page_id", "_stem")).alias("page_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"), "_stem")
     return out.withColumnRenamed("_stem", "position")
 
 

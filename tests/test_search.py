@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import metrics
 from gridloom.operators import bm25, evaluation, fusion
 from gridloom.plans import pipeline
+from gridloom.sources import tables
 
 PAGES = "page_id bigint, title string, content string"
 
@@ -97,3 +98,14 @@ def test_index_round_trip(spark, tmp_path):
     assert found.run([]) == []
     lists = found.run(["page 4 town4 town5", "What links town7 and town8?"], 5)
     assert len(lists) == 2 and lists[0][0] == 4 and all(len(set(x)) == 5 for x in lists)
+
+
+def test_corpus_search_writes_no_file_a_page(spark, tmp_path, monkeypatch):
+    from gridloom.plans import catalog
+
+    monkeypatch.setattr(catalog, "_fresh", lambda spark: str(tmp_path / "trip"))
+    data = "/root/testdata/sf0.001"
+    assert catalog.corpus_search(spark, data).count() == 400
+    files = list((tmp_path / "trip" / "pages").rglob("*.json"))
+    n = tables.latest_pages(tables.table(spark, data, "page")).count()
+    assert sum(len(f.read_text().splitlines()) for f in files) >= n > 2 * len(files) > 0

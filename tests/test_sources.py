@@ -15,6 +15,16 @@ def test_pages_json(spark, tmp_path):
         tables.pages_json(spark, str(tmp_path / "missing")).count()
 
 
+def test_pages_json_lines(spark, tmp_path):
+    pages = [{"page_id": " 10", "title": "Ten", "content": "x\ny\r\u2028z"}, {"page_id": 9, "title": None}]
+    (tmp_path / "a.json").write_text("".join(json.dumps(p) + "\n" for p in pages))
+    rows = tables.pages_json(spark, str(tmp_path), lines=True).orderBy("page_id").collect()
+    assert [(r["page_id"], r["title"], r["content"]) for r in rows] == [(9, "", ""), (10, "Ten", "x\ny\r\u2028z")]
+    (tmp_path / "11.json").write_text('{"title": "no id"}\n')
+    with pytest.raises(Exception, match="not a page id"):
+        tables.pages_json(spark, str(tmp_path), lines=True).collect()
+
+
 def test_queries_and_manifest_json(spark, tmp_path):
     (tmp_path / "q.json").write_text(json.dumps([{"query_id": "a", "query": "x", "relevant_page_ids": ["3", "3", " 4"]}]))
     assert tables.queries_json(spark, str(tmp_path / "q.json")).first()["relevant"] == [3, 3, 4]

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 
 from gridloom.operators import replay, vector_index
 from gridloom.operators.components import connected_components
-from gridloom.operators.entity_clusters import similar_pairs
+from gridloom.operators.entity_clusters import similar_links, similar_pairs
 from gridloom.operators.vector_index import VectorIndex
 
 VEC = "vec_id bigint, embedding array<float>"
@@ -126,6 +126,37 @@ def test_similar_pairs_of_any_dimension(spark):
     assert similar_pairs(spark.createDataFrame([], "page_id bigint, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("held", [1 << 20, 20])
+def test_similar_links_join_what_pairs_join(spark, monkeypatch, held):
+    from gridloom.operators import entity_clusters
+
+    for name, value in (("BLOCK", 40), ("SLICE", 7), ("HELD", held)):
+        monkeypatch.setattr(entity_clusters, name, value)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(60, 64))
+    x = np.concatenate([base, base + 0.5 * rng.normal(size=base.shape), base[:20], base[0] + 0.1 * rng.normal(size=(80, 64))])
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(rng.permutation(len(x)), x, strict=True)] + [(900, None), (901, [0.0] * 64)], "page_id bigint, embedding array<float>")
+    for threshold in (0.25, 0.9, 1.0):
+        pairs, links = similar_pairs(rows, threshold).select("a", "b"), similar_links(rows, threshold)
+        want = {(r["node"], r["component"]) for r in connected_components(pairs).collect()}
+        assert {(r["node"], r["component"]) for r in connected_components(links).collect()} == want and bool(want) == (threshold < 1)
+    assert similar_links(spark.createDataFrame([], "page_id bigint, embedding array<float>")).count() == 0
+
+
+def test_similar_links_are_fewer_than_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(1 + 0.1 * rng.normal(size=(300, 64)))] + [(300 + i, [1.0] * 64) for i in range(100)], "page_id bigint, embedding array<float>")
+    assert similar_pairs(rows).count() == 400 * 399 // 2 and similar_links(rows).count() == 399
+
+
+def test_similar_links_at_the_threshold(spark):
+    """Cosines that single precision takes for others: 0.75 alike to 9 decimals isn't over it, a millionth more is."""
+    rows = [(k, [0.0] * (2 * k) + [1.0, 0.0] + [0.0] * (10 - 2 * k)) for k in range(3)]
+    rows += [(10 + k, [0.0] * (2 * k) + [c, (1 - c * c) ** 0.5] + [0.0] * (10 - 2 * k)) for k, c in enumerate([0.75, 0.750001, 0.749999])]
+    got = similar_links(spark.createDataFrame(rows, "page_id bigint, embedding array<double>"), 0.75).collect()
+    assert [sorted((r["a"], r["b"])) for r in got] == [[1, 11]]
+
+
 def scenario_rows():
     rng = np.random.default_rng(3)
     vector = lambda: rng.normal(size=8).astype(np.float32).tolist()
