@@ -1,7 +1,7 @@
 import math
 import random
 from collections import Counter
-from time import perf_counter as time_of_day
+from time import perf_counter as time_of_day, process_time as cpu_time
 
 import numpy as np
 import pytest
@@ -91,6 +91,81 @@ def test_parsimonious_stops_by_record():
         assert (both[:2] == alone).all() and (both[2:] == distinctive.parsimonious(*other, np.array([0]), own=0.3)).all()
 
 
+def least_cpu(fn, *args):
+    """CPU seconds of the fastest of three calls."""
+    took = []
+    for _ in range(3):
+        began = cpu_time()
+        fn(*args)
+        took.append(cpu_time() - began)
+    return min(took)
+
+
+def by_steps(counts, background, starts, own=distinctive.OWN):
+    """EM of all records side by side, every term in every step."""
+    sizes = np.diff(np.append(starts, len(counts)))
+    p, going = counts / np.repeat(np.add.reduceat(counts, starts), sizes), np.ones(len(starts), bool)
+    for _ in range(distinctive.STEPS):
+        e = counts * own * p / (own * p + (1 - own) * background)
+        new = e / np.repeat(np.add.reduceat(e, starts), sizes)
+        new[new < distinctive.LEAST] = 0
+        new = np.where(np.repeat(going, sizes), new, p)
+        going = going & (np.maximum.reduceat(np.abs(new - p), starts) >= distinctive.CHANGE)
+        p = new
+    return p
+
+
+def test_parsimonious_of_many_records():
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate([[1, 1, 30000], rng.integers(1, 180, 1500), [700, 5000]])
+    starts = np.cumsum(sizes) - sizes
+    counts, background = 1.0 + rng.geometric(0.5, sizes.sum()), rng.pareto(1.2, sizes.sum()) * 1e-4 + 1e-7
+    p = distinctive.parsimonious(counts, background, starts)
+    assert np.abs(p - by_steps(counts, background, starts)).max() < 1e-12 and (p == 0).any()
+    for i in (0, 2, 3, 40, len(sizes) - 1):
+        of = slice(starts[i], starts[i] + sizes[i])
+        assert (distinctive.parsimonious(counts[of], background[of], np.array([0])) == p[of]).all()
+    assert distinctive.parsimonious(np.empty(0), np.empty(0), np.empty(0, int)).size == 0
+
+
+def test_count_terms():
+    rng = random.Random(7)
+    odd = ["", " ", "\n", "a", " a", "a ", "b a\nb", "cafe\u0301 caf\u00e9", "\u0301x", "x\u0e33\u0e49 \u0939\u093f\u0928\u094d\u0926\u0940", "\U0001d11e \U00020000\U00020001 z", "\u0130".lower(), "1_2 3\u00bd \u216b", "\ue000a\uffff", "", "y" * 300]
+    spread = ["".join(chr(rng.choice((rng.randrange(32, 128), rng.randrange(128, 0x3000), rng.randrange(0x3000, 0xD800), rng.randrange(0xE000, 0x110000)))) for _ in range(rng.randrange(200))) for _ in range(200)]
+    for texts in (odd, spread, odd + spread, [""], ["", ""], ["!"]):
+        names, sizes, codes, counts = distinctive.count_terms(texts)
+        held, ends = names.to_pylist(), np.cumsum(sizes)
+        assert held == sorted({t for x in texts for t in TERM.findall(x)}) and len(sizes) == len(texts)
+        for text, a, b in zip(texts, ends - sizes, ends, strict=True):
+            assert [(held[c], k) for c, k in zip(codes[a:b], counts[a:b], strict=True)] == sorted(Counter(TERM.findall(text)).items())
+    prose = [" ".join(f"word{rng.randrange(3000)}" for _ in range(200)) for _ in range(1000)]
+    assert least_cpu(distinctive.count_terms, prose) < 0.75 * least_cpu(lambda: [sorted(Counter(TERM.findall(x)).items()) for x in prose])
+
+
+@pytest.mark.parametrize(("block", "chars"), [(1, 1 << 22), (7, 1 << 22), (2048, 1500), (2048, 1 << 22)])
+def test_distinctive_in_blocks(spark, monkeypatch, block, chars):
+    monkeypatch.setattr(distinctive, "CHARS", chars)
+    rows = counted(page_rows())
+    vectors = {i: sorted(Counter(terms(r[1], r[2])).items()) for i, r in rows.items()}
+    cf, df = Counter(), Counter()
+    for v in vectors.values():
+        cf.update(dict(v))
+        df.update(t for t, _ in v)
+    got, n = distinctive.scores(distinctive.counted_pages(pages(spark), "title", "content"), "page_id", "title", "content", block=block)
+    got = {r["page_id"]: r for r in got.collect()}
+    assert n == len(rows) and set(got) == set(rows)
+    for i, v in vectors.items():
+        assert list(zip(got[i]["terms"], got[i]["counts"], strict=True)) == v and got[i]["records"] == [df[t] for t, _ in v]
+        if v:
+            want = by_steps(np.array([c for _, c in v], float), np.array([cf[t] for t, _ in v]) / cf.total(), np.array([0]))
+            assert got[i]["probabilities"] == pytest.approx(want, abs=1e-9)
+
+
+def test_distinctive_sums_terms_without_a_join(spark):
+    plan = distinctive.found(pages(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("MapInArrow") == 1
+
+
 def test_near_duplicates(spark):
     rows = counted(page_rows())
     sets = {}
