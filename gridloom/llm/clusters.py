@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh3_64_intdigest
 
-from gridloom.llm.common import BASE, TERM, arrow_map, counted_pages, list_array, mix, pairs_within
+from gridloom.llm.common import BASE, arrow_map, bounded_sample, codepoints, counted_pages, mix, pairs_within, term_points
 from gridloom.operators.components import connected_components
 from gridloom.session import cut, forget
 
@@ -38,6 +38,8 @@ SLOTS, HOT = 1 << 20, 4096
 LOCAL = 1 << 17
 #: Pairs that a task compares at once.
 STEP = 1 << 19
+#: Rows of `bridges` that a task looks at together, beside those of one term.
+TOGETHER = 1 << 15
 
 _WORDS = VALUES // 64
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * BASE) | np.uint64(1)
@@ -55,18 +57,54 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
     return mix(least)
 
 
+#: Code points of a term up to which all terms of a batch are hashed at once; longer ones one by one.
+LONG = 48
+
+
+def hashed_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of each lower-cased text as ascending 64-bit hashes, text by text, and how many each has.
+
+    The terms are those of TERM.findall, found in whole arrays; three code points at a time are mixed into a term's hash.
+    """
+    cps = codepoints("\n".join(texts) + "\n")
+    inside = np.zeros(len(cps) + 1, bool)
+    np.take(term_points(), cps, out=inside[1:])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, width = edges[::2], edges[1::2] - edges[::2]
+    padded = np.append(cps, np.zeros(3, np.uint32)).astype(np.uint64)
+    hashes = width.astype(np.uint64) * BASE
+    at = np.flatnonzero(width <= LONG)
+    for k in range(0, LONG, 3):
+        at = at[width[at] > k]
+        if not len(at):
+            break
+        place, left = first[at] + k, width[at] - k
+        # 21 bits a code point
+        word = padded[place] | padded[place + 1] * (left > 1) << np.uint64(21) | padded[place + 2] * (left > 2) << np.uint64(42)
+        hashes[at] = mix(hashes[at] ^ word)
+    for i in np.flatnonzero(width > LONG).tolist():
+        hashes[i] = xxh3_64_intdigest(cps[first[i] : first[i] + width[i]].tobytes())
+    hashes = hashes.view(np.int64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    starts = np.searchsorted(first, np.append(0, np.cumsum(sizes)))
+    for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        hashes[i:j].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[starts[:-1][starts[:-1] < len(hashes)]] = True
+    return hashes[new], np.diff(np.append(0, np.cumsum(new))[starts])
+
+
 def term_sets(docs: DataFrame, key: str, *texts: str, least: int = LEAST_TERMS) -> DataFrame:
     """(key, terms): the distinct terms of a record's texts, joined by blanks, as ascending 64-bit hashes."""
 
     def run(batch: pa.RecordBatch):
         columns = [c.to_pylist() for c in batch.columns[1:]]
-        at, sets = [], []
-        for i, values in enumerate(zip(*columns, strict=True)):
-            held = set(TERM.findall(" ".join(v or "" for v in values).lower()))
-            if len(held) >= least:
-                at.append(i)
-                sets.append(np.sort(np.fromiter((xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in held), np.uint64, len(held)).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), list_array(sets, pa.int64())], names=[key, "terms"])
+        terms, sizes = hashed_terms([" ".join(v or "" for v in values).lower() for values in zip(*columns, strict=True)])
+        kept = sizes >= least
+        offsets = pa.array(np.append(0, np.cumsum(sizes[kept])).astype(np.int32))
+        sets = pa.ListArray.from_arrays(offsets, pa.array(terms[np.repeat(kept, sizes)]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(kept)), sets], names=[key, "terms"])
 
     kind = docs.schema[key].dataType.simpleString()
     return arrow_map(docs.select(key, *texts), run, f"{key} {kind}, terms array<bigint>")
@@ -86,13 +124,14 @@ _BITS_SCHEMA = ", ".join(f"{c} bigint" for c in _BITS)
 
 
 def sketches(sets: DataFrame) -> DataFrame:
-    """(rep, p0, p1, s0..): of each record the bits, and the prefix that each order of the forest sorts it by; a written table."""
+    """(rep, p, s0..): of each record the bits, and in p the prefixes, two words each, that the orders of the forest sort it by; a written table."""
 
     def run(batch: pa.RecordBatch):
         n = len(batch)
         if not n:
             return
-        values = np.stack([minwise(np.asarray(x.values.to_numpy()).view(np.uint64)) for x in batch.column(1)])
+        terms, offsets = _flat(batch.column(1))
+        values = np.stack([minwise(terms[i:j].view(np.uint64)) for i, j in zip(offsets[:-1], offsets[1:], strict=True)])
         bits = np.packbits((values & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
         rng = np.random.default_rng(11)
         prefixes = np.empty((n, ORDERS, 2), np.int64)
@@ -104,78 +143,132 @@ def sketches(sets: DataFrame) -> DataFrame:
                 for c in picked[3 * w : 3 * w + 3]:
                     word = word << np.uint64(20) | (values[:, c] >> np.uint64(44))
                 prefixes[:, order, w] = word.view(np.int64)
-        ends = pa.array(np.arange(n + 1, dtype=np.int32) * ORDERS)
-        lists = [pa.ListArray.from_arrays(ends, pa.array(prefixes[:, :, w].ravel())) for w in range(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *lists, *(pa.array(bits[:, i].copy()) for i in range(_WORDS))], names=["rep", "p0", "p1", *_BITS])
+        yield pa.RecordBatch.from_arrays([batch.column(0), _rows(prefixes.reshape(n, -1)), *(pa.array(bits[:, i].copy()) for i in range(_WORDS))], names=["rep", "p", *_BITS])
+
+    # written, for it is read in every round
+    return cut(arrow_map(sets, run, f"rep bigint, p binary, {_BITS_SCHEMA}"))
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, list[int]]:
+    """The values of a column of lists, and where each list begins and ends."""
+    return lists.values.to_numpy(), lists.offsets.to_pylist()
+
+
+def _rows(rows: np.ndarray) -> pa.Array:
+    """A binary column of the bytes of each row of a matrix."""
+    data = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * data.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary column without nulls, one value after another."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+
 
-    # written, for sorting by range reads it twice
-    return cut(arrow_map(sets, run, f"rep bigint, p0 array<bigint>, p1 array<bigint>, {_BITS_SCHEMA}"))
+#: Rows of an order of the forest that one task sorts, about; and ranges of an order at most, whose bounds are sent to every task.
+RANGE, RANGES = 1 << 18, 1 << 12
+#: A record in an order of the forest.
+_PLACE = np.dtype([("o", "<i4"), ("p0", "<i8"), ("p1", "<i8"), ("rep", "<i8"), ("s", "<u8", (_WORDS,))])
 
 
 def first_pairs(sketched: DataFrame) -> DataFrame:
     """(a, b, d): rows that follow each other in some order and are close, and in how many bits they differ; a written table.
 
-    The orders are sorted by range, so no group of equal prefixes meets in one task, and each row is
+    The orders are cut into ranges of like size, so no group of equal prefixes meets in one task, and each row is
     compared with AHEAD followers whatever the size of its group. The first and last AHEAD rows of every range
-    are compared once more across the ranges' ends.
+    are compared once more across the ranges' ends. Rows travel packed, those of a batch and a range as one.
     """
-    orders = F.arrays_zip(F.sequence(F.lit(0), F.lit(ORDERS - 1)).alias("o"), "p0", "p1")
-    forest = sketched.select("rep", F.explode(orders).alias("_o"), *_BITS).select("rep", F.col("_o.o").alias("o"), "_o.p0", "_o.p1", *_BITS)
-    names = ["a", "b", "d", "edge", "p1", *_BITS]
-    keys = ["o", "p0", "p1", "rep"]
-
-    def pairs(whole: pa.RecordBatch, fresh: int) -> Iterator[pa.RecordBatch]:
-        """Close pairs of rows with their followers, of which one at least stands at `fresh` or later."""
-        n = len(whole)
-        ids, order = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-        words = _words(whole)
-        for step in range(1, min(AHEAD, n - 1) + 1):
-            i = np.arange(max(0, fresh - step), n - step)
-            j = i + step
-            d = np.bitwise_count(words[i] ^ words[j]).sum(axis=1)
-            ok = (order[i] == order[j]) & (d <= _MOST) & (ids[i] != ids[j])
-            i, j, d = i[ok], j[ok], d[ok]
-            swap = ids[i] > ids[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            none = pa.nulls(len(i), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(d.astype(np.int32)), pa.array(np.zeros(len(i), bool)), *[none] * (1 + _WORDS)], names=names)
-
-    def edge(rows: pa.RecordBatch) -> pa.RecordBatch:
-        """Rows of a range's end under the pairs' names: rep, first word of the prefix, order, second word, bits."""
-        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(1), pa.array(np.ones(len(rows), bool)), *(rows.column(3 + i) for i in range(1 + _WORDS))], names=names)
+    names = ["a", "b", "d", "edge"]
+    parts = max(int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = sketched.count()
+    each = min(max(1, -(-parts // ORDERS), -(-n // RANGE)), RANGES)
+    # a range is a task's; whole orders may share one
+    tasks = ORDERS * each if each > 1 else min(ORDERS, max(parts, -(-ORDERS * n // RANGE)))
+    bounds = sketched.sparkSession.sparkContext.broadcast(_bounds(sketched, each))
+
+    def spread(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = len(batch)
+        if not n:
+            return
+        rows = np.empty((ORDERS, n), _PLACE)
+        prefixes = _bytes(batch.column(1)).view(np.int64).reshape(n, ORDERS, 2)
+        rows["o"], rows["rep"] = np.arange(ORDERS)[:, None], batch.column(0).to_numpy()
+        rows["p0"], rows["p1"] = prefixes[:, :, 0].T, prefixes[:, :, 1].T
+        rows["s"] = np.stack([batch.column(2 + i).to_numpy() for i in range(_WORDS)], axis=1).view(np.uint64)
+        groups, packed = [], []
+        for o in range(ORDERS):
+            place = np.zeros(n, np.int64) if each == 1 else _range(rows[o], bounds.value[o])
+            order = np.argsort(place, kind="stable")
+            place, mine = place[order], rows[o][order]
+            starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            groups += ((o * each + place[starts]) % tasks).tolist()
+            packed += [mine[i:j].tobytes() for i, j in zip(starts, np.append(starts[1:], n), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(packed, pa.binary())], names=["g", "x"])
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Close pairs of sorted rows with their followers."""
+        for step in range(1, min(AHEAD, len(rows) - 1) + 1):
+            one, two = rows[:-step], rows[step:]
+            d = np.bitwise_count(one["s"] ^ two["s"]).sum(axis=1)
+            ok = (one["o"] == two["o"]) & (d <= _MOST) & (one["rep"] != two["rep"])
+            a, b, d = one["rep"][ok], two["rep"][ok], d[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32)), pa.nulls(len(a), pa.binary())], names=names)
+
+    def gathered(batches: Iterator[pa.RecordBatch], column: int) -> np.ndarray:
+        held = [_bytes(x.column(column)) for x in batches if len(x)]
+        rows = np.concatenate(held).view(_PLACE) if held else np.empty(0, _PLACE)
+        return rows[_sorted(rows)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, seen = None, 0
-        for batch in batches:
-            if seen < AHEAD:
-                yield edge(batch.slice(0, AHEAD - seen))
-            seen += len(batch)
-            whole = _joined(tail, batch)
-            fresh = len(whole) - len(batch)
-            yield from pairs(whole, fresh)
-            tail = whole.slice(max(0, len(whole) - AHEAD))
-        if tail is not None:
-            yield edge(tail)
+        rows = gathered(batches, 1)
+        yield from pairs(rows)
+        if each > 1 and len(rows):
+            ends = np.append(rows[:AHEAD], rows[max(AHEAD, len(rows) - AHEAD) :])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32())), pa.array([ends.tobytes()], pa.binary())], names=names)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if held:
-            yield from pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0], 0)
+        yield from pairs(gathered(batches, 3))
 
-    parts = max(int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = forest.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    schema = f"a bigint, b bigint, d int, edge boolean, p1 bigint, {_BITS_SCHEMA}"
-    near = cut(ranged.mapInArrow(run, schema))
+    schema = "a bigint, b bigint, d int, edge binary"
+    near = arrow_map(sketched, spread, "g int, x binary").repartitionById(tasks, "g").mapInArrow(run, schema)
+    if each == 1:
+        return cut(near.select("a", "b", "d").distinct())
+    near = cut(near)
     # at most 2 x AHEAD rows a range
-    ends = near.where("edge").select(F.col("a").alias("rep"), F.col("d").alias("o"), F.col("b").alias("p0"), "p1", *_BITS)
-    more = ends.distinct().coalesce(1).sortWithinPartitions(*keys).mapInArrow(across, schema)
-    out = cut(near.where("not edge").union(more).select("a", "b", "d").distinct())
+    more = near.where("edge is not null").coalesce(1).mapInArrow(across, schema)
+    out = cut(near.where("edge is null").union(more).select("a", "b", "d").distinct())
     forget(near)
     return out
 
 
-def _words(rows: pa.RecordBatch) -> np.ndarray:
-    return np.stack([rows.column(4 + i).to_numpy() for i in range(_WORDS)], axis=1).view(np.uint64)
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    """The order of rows by order, prefix and record."""
+    return np.lexsort((rows["rep"], rows["p1"], rows["p0"], rows["o"]))
+
+
+def _bounds(sketched: DataFrame, each: int) -> np.ndarray:
+    """For every order the rows at which its ranges but the first begin, from a sample."""
+    if each == 1:
+        return np.empty((ORDERS, 0), _PLACE)
+    drawn = bounded_sample(sketched.select("rep", "p"), "rep", min(32 * each, 32_768)).toArrow().combine_chunks()
+    n = len(drawn)
+    rows = np.zeros((ORDERS, n), _PLACE)
+    if n:
+        prefixes = np.frombuffer(b"".join(drawn.column("p").to_pylist()), np.int64).reshape(n, ORDERS, 2)
+        rows["rep"], rows["p0"], rows["p1"] = drawn.column("rep").to_numpy(), prefixes[:, :, 0].T, prefixes[:, :, 1].T
+    at = np.unique(np.arange(1, each) * n // each) if n else np.empty(0, np.int64)
+    return np.stack([x[_sorted(x)][at] for x in rows])
+
+
+def _range(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of an order's bounds are at or before each row."""
+    whole = np.append(bounds, rows)
+    order = np.lexsort((np.arange(len(whole)), whole["rep"], whole["p1"], whole["p0"]))
+    out = np.empty(len(whole), np.int64)
+    out[order] = np.cumsum(order < len(bounds))
+    return out[len(bounds) :]
 
 
 def _joined(tail: pa.RecordBatch | None, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -183,28 +276,32 @@ def _joined(tail: pa.RecordBatch | None, batch: pa.RecordBatch) -> pa.RecordBatc
 
 
 def _both_ways(pairs: DataFrame, k: int = K) -> DataFrame:
-    """(u, v): the K nearest neighbours of each record, from pairs in either direction."""
-    ways = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "d").union(pairs.select("b", "a", "d"))
+    """(u, v, new): the K nearest neighbours of each record, from pairs in either direction."""
+    ways = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "d", "new").union(pairs.select("b", "a", "d", "new"))
     w = Window.partitionBy("u").orderBy("d", "v")
-    return ways.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).select("u", "v")
+    return ways.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).select("u", "v", "new")
 
 
 def descend(pairs: DataFrame, sketched: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """All close pairs after rounds of neighbour descent: neighbours of one record are compared with each other.
 
-    A record brings at most K x K pairs to a round, hubs included. Ends early once a round adds fewer pairs than CHANGE of all
-    records' K neighbours; links that it leaves between components are found by `bridges`. `pairs` is a written table, which is
-    removed once it isn't needed.
+    A record brings at most K x K pairs to a round, hubs included. Two neighbours that were a record's before the last round have
+    been compared then, for a neighbour only ever drops out of the K nearest; so one of two must be new. Ends early once a round adds
+    fewer pairs than CHANGE of all records' K neighbours; links that it leaves between components are found by `bridges`. `pairs` is a
+    written table, which is removed once it isn't needed.
     """
-    found, bits = pairs, sketched.select(F.col("rep").alias("v"), *_BITS)
-    n, least = found.count(), CHANGE * K * sketched.count()
+    bits = sketched.select(F.col("rep").alias("v"), *_BITS)
+    found, written = pairs.withColumn("new", F.lit(True)), pairs
+    n, least = pairs.count(), CHANGE * K * sketched.count()
     for _ in range(rounds):
         near = _both_ways(found).join(bits, "v")
-        one = near.select("u", F.col("v").alias("a"), *(F.col(f"s{i}").alias(f"x{i}") for i in range(_WORDS)))
-        two = near.select("u", F.col("v").alias("b"), *(F.col(f"s{i}").alias(f"y{i}") for i in range(_WORDS)))
+        one = near.select("u", F.col("v").alias("a"), F.col("new").alias("xn"), *(F.col(f"s{i}").alias(f"x{i}") for i in range(_WORDS)))
+        two = near.select("u", F.col("v").alias("b"), F.col("new").alias("yn"), *(F.col(f"s{i}").alias(f"y{i}") for i in range(_WORDS)))
         d = _differ("x", "y")
-        met = one.join(two, "u").where((F.col("a") < F.col("b")) & (d <= _MOST)).select("a", "b", d.cast("int").alias("d"))
-        old, found = found, cut(found.union(met).distinct())
+        met = one.join(two, "u").where((F.col("a") < F.col("b")) & (F.col("xn") | F.col("yn")) & (d <= _MOST)).select("a", "b", d.cast("int").alias("d"), F.lit(True).alias("new"))
+        whole = found.withColumn("new", F.lit(False)).union(met).groupBy("a", "b").agg(F.min("d").alias("d"), F.bool_and("new").alias("new"))
+        old, found = written, cut(whole)
+        written = found
         forget(old)
         before, n = n, found.count()
         if n - before <= least:
@@ -228,10 +325,10 @@ def links(sets: DataFrame, key: str = "page_id", similarity: float = SIMILARITY)
     sketched = sketches(own)
     close = descend(first_pairs(sketched), sketched)
     forget(sketched)
-    graph = _verified(close.select("a", "b"), own, similarity)
+    graph = _verified(close, own, similarity)
     forget(close)
     parts = cut(connected_components(graph))
-    apart = _verified(bridges(own, parts, similarity), own, similarity)
+    apart = _verified(cut(bridges(own, parts, similarity)), own, similarity)
     if apart.isEmpty():
         return graph, members, parts
     # a bridge's end may have had no link before
@@ -241,19 +338,22 @@ def links(sets: DataFrame, key: str = "page_id", similarity: float = SIMILARITY)
 
 
 def _verified(close: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that reach the similarity on whole term sets, as a written table."""
-    close = cut(close)
+    """(a, b, similarity) of the pairs that reach the similarity on whole term sets, as a written table. `close` is from a written table."""
+    close = close.select("a", "b")
     ids = cut(close.select(F.col("a").alias("rep")).union(close.select("b")).distinct())
     few = F.broadcast(ids) if ids.count() <= SENT else ids
     wanted = own.join(few, "rep", "left_semi")
     left = close.join(wanted.select(F.col("rep").alias("a"), F.col("terms").alias("ta")), "a")
     both = left.join(wanted.select(F.col("rep").alias("b"), F.col("terms").alias("tb")), "b")
+    # sets of too different sizes can't reach it
+    both = both.where(F.least(F.size("ta"), F.size("tb")) >= F.greatest(F.size("ta"), F.size("tb")) * similarity - 1e-6)
 
     def run(batch: pa.RecordBatch):
         scores = np.zeros(len(batch))
-        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            x, y = x.values.to_numpy(), y.values.to_numpy()
-            both = np.sort(np.concatenate([x, y]))
+        (x, xs), (y, ys) = _flat(batch.column(2)), _flat(batch.column(3))
+        for i in range(len(batch)):
+            both = np.concatenate([x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]])
+            both.sort()
             shared = int(np.count_nonzero(both[1:] == both[:-1]))
             scores[i] = shared / (len(both) - shared)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], names=["a", "b", "similarity"])
@@ -417,18 +517,23 @@ def bridges(own: DataFrame, label: DataFrame, similarity: float = SIMILARITY) ->
             s = e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: pa.RecordBatch | None = None
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
             if not len(batch):
                 continue
-            whole = _joined(tail, batch)
-            k = whole.column(0).to_numpy()
-            rest = int(np.searchsorted(k, k[-1]))
-            if rest:
-                yield from compare(whole.slice(0, rest))
-            tail = whole.slice(rest)
-        if tail is not None:
-            yield from compare(tail)
+            held.append(batch)
+            size += len(batch)
+            if size >= TOGETHER:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                k = whole.column(0).to_numpy()
+                rest = int(np.searchsorted(k, k[-1]))
+                if rest:
+                    yield from compare(whole.slice(0, rest))
+                held = [whole.slice(rest)]
+                size = len(whole) - rest
+        if held:
+            yield from compare(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     return sorted_.mapInArrow(run, "a bigint, b bigint").dropDuplicates(["a", "b"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,15 @@ def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
+@cache
+def term_points() -> np.ndarray:
+    """Of every code point, whether it is part of a term."""
+    inside = np.zeros(0x110000, bool)
+    for m in TERM.finditer(np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")):
+        inside[m.start() : m.end()] = True
+    return inside
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 on uint64: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

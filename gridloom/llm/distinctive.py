@@ -15,7 +15,6 @@ Null titles and contents count as empty; records without terms give no row. Repe
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridloom.llm.common import TERM, codepoints, counted_pages
+from gridloom.llm.common import codepoints, counted_pages, term_points
 from gridloom.session import cut
 
 #: Share of the record's own model, steps and change at which EM stops, and probability below which a term is dropped.
@@ -35,15 +34,6 @@ BLOCK, CHARS = 2048, 1 << 22
 CELLS = 1 << 14
 
 
-@cache
-def _inside() -> np.ndarray:
-    """Of every code point, whether it is part of a term."""
-    inside = np.zeros(0x110000, bool)
-    for m in TERM.finditer(np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")):
-        inside[m.start() : m.end()] = True
-    return inside
-
-
 def count_terms(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """The terms of all texts in code-point order; how many different ones each text has; and, text by text, their numbers and counts.
 
@@ -51,7 +41,7 @@ def count_terms(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.
     """
     cps = codepoints("\n".join(texts) + "\n")
     inside = np.zeros(len(cps) + 1, bool)
-    np.take(_inside(), cps, out=inside[1:])
+    np.take(term_points(), cps, out=inside[1:])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     first, last = edges[::2], edges[1::2]
     # what is no term is left out, so the terms lie end to end

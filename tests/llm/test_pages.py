@@ -4,11 +4,14 @@ from collections import Counter
 from time import perf_counter as time_of_day, process_time as cpu_time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
-from helpers import PAGE, counted, page_rows, pages, squeeze, time
+from helpers import PAGE, WORDS, counted, page_rows, pages, prose, squeeze, time
+from xxhash import xxh3_64_intdigest
 
 from gridloom.llm import clusters, distinctive, frequency, neardup, sentences, splitting
+from gridloom.session import cut
 
 TERM = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
@@ -316,6 +319,75 @@ def test_first_pairs_do_not_depend_on_ranges(spark):
     assert found[0] and found[0] <= found[1]
 
 
+def test_hashed_terms():
+    rng = random.Random(21)
+    texts = ["", " \n", "one", "..", "a b a", "ab ba abc cba", "\x00 a\x00", "x" * 48 + " " + "x" * 49 + " " + "x" * 200 + " " + "x" * 201, "naïve nai\u0308ve 中文 ไทย 𝒳𝒴 ½", "a\ud800b", "", *(prose(rng, rng.randrange(400)).lower() for _ in range(40)), "end"]
+    got, sizes = clusters.hashed_terms(texts)
+    ends = np.cumsum(sizes)
+    name = {}
+    for text, i, j in zip(texts, ends - sizes, ends, strict=True):
+        held = got[i:j].tolist()
+        assert held == sorted(set(held)) and len(held) == len(set(TERM.findall(text)))
+        for t in set(TERM.findall(text)):
+            (h,), _ = clusters.hashed_terms([t])
+            assert h in held and name.setdefault(int(h), t) == t
+    assert [len(x) for x in clusters.hashed_terms([])] == [0, 0]
+
+
+def test_term_sets_cost_less_than_a_loop(spark):
+    rng = random.Random(22)
+    texts = pa.array([" ".join(rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(300)) for _ in range(400)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["page_id", "content"])
+    made = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(clusters, "arrow_map", lambda df, fn, schema: made.append(fn))
+        clusters.term_sets(pages(spark), "page_id", "content")
+
+    def loop():
+        for x in texts.to_pylist():
+            held = set(TERM.findall(x.lower()))
+            np.sort(np.fromiter((xxh3_64_intdigest(t.encode()) for t in held), np.uint64, len(held)))
+
+    assert least_cpu(lambda: list(made[0](batch))) < 0.75 * least_cpu(loop)
+
+
+def test_first_pairs_are_all_followers(spark, monkeypatch):
+    sets = clusters.term_sets(clusters.counted_pages(pages(spark), "title", "content"), "page_id", "title", "content").withColumnRenamed("page_id", "rep")
+    sketched = clusters.sketches(sets)
+    rows = sketched.collect()
+    bits = {r["rep"]: [r[f"s{i}"] & (2**64 - 1) for i in range(4)] for r in rows}
+    differ = {(a, b): sum((x ^ y).bit_count() for x, y in zip(bits[a], bits[b], strict=True)) for a in bits for b in bits if a < b}
+    prefixes = {r["rep"]: np.frombuffer(r["p"], np.int64).reshape(-1, 2).tolist() for r in rows}
+    near = set()
+    for o in range(clusters.ORDERS):
+        order = sorted(bits, key=lambda i: (prefixes[i][o], i))
+        near |= {(min(a, b), max(a, b)) for k, a in enumerate(order) for b in order[k + 1 : k + 1 + clusters.AHEAD]}
+    want = {(*p, differ[p]) for p in near if differ[p] <= clusters._MOST}
+    got = {(r["a"], r["b"], r["d"]) for r in clusters.first_pairs(sketched).collect()}
+    assert want and got == want
+    monkeypatch.setattr(clusters, "RANGE", 30)  # ranges of few rows; what follows across their ends is found all the same
+    got = {(r["a"], r["b"], r["d"]) for r in clusters.first_pairs(sketched).collect()}
+    assert want <= got and all(differ[a, b] == d <= clusters._MOST for a, b, d in got)
+
+
+def test_descent_compares_what_is_new(spark):
+    """Pairs of two neighbours that had been compared before add nothing."""
+    rng = random.Random(23)
+    bits = {i: [rng.getrandbits(63) for _ in range(4)] for i in range(3)}
+    for i in range(3, 70):
+        bits[i] = [x ^ (1 << rng.randrange(63) | 1 << rng.randrange(63)) for x in bits[rng.randrange(i)]]
+    differ = {(a, b): sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(bits[a], bits[b], strict=True)) for a in bits for b in bits if a < b}
+    first = {p for p in rng.sample(sorted(differ), 150) if differ[p] <= clusters._MOST}
+    want = set(first)
+    for _ in range(clusters.ROUNDS):
+        near = {i: sorted((differ[min(i, j), max(i, j)], j) for j in bits if j != i and (min(i, j), max(i, j)) in want)[: clusters.K] for i in bits}
+        want |= {(a, b) for held in near.values() for _, a in held for _, b in held if a < b and differ[a, b] <= clusters._MOST}
+    pairs = cut(spark.createDataFrame([(a, b, differ[a, b]) for a, b in sorted(first)], "a bigint, b bigint, d int"))
+    sketched = cut(spark.createDataFrame([(i, *b) for i, b in bits.items()], "rep bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"))
+    got = [(r["a"], r["b"], r["d"]) for r in clusters.descend(pairs, sketched).collect()]
+    assert len(want) > len(first) and sorted(got) == sorted((a, b, differ[a, b]) for a, b in want)
+
+
 def test_parities_bound_what_differs():
     rng = random.Random(8)
     sets = [np.array(rng.sample(range(1, 1 << 40), rng.choice((30, 90, 150, 400, 900))), np.uint64) for _ in range(30)]
